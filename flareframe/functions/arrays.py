@@ -12,6 +12,11 @@ def is_finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
 
 
+def field_of(a: Column | str, name: str) -> Column:
+    """Array of one field of an array of structs."""
+    return F.transform(a, lambda x: x[name])
+
+
 def nan_to_null(x: Column) -> Column:
     """Missing is null, never NaN: NaN would poison averages and maxima."""
     return F.when(~F.isnan(x), x)

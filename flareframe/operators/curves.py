@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flareframe.functions import scores as S
-from flareframe.operators.ordered import running, with_quantile_segment
+from flareframe.operators.ordered import running, whole, with_quantile_segment
 
 CURVE = ["precision", "recall", "f1", "tss", "hss", "mcc", "apss"]
 
@@ -47,7 +47,7 @@ def tick_counts(df: DataFrame, p: str, y: str, ticks: int = 1001,
             .withColumns({"__p": F.lit(0).cast("long"), "__n": F.lit(0).cast("long")})
     full = b.unionByName(grid).groupBy(*by, "tick").agg(F.sum("__p").alias("__p"),
                                                         F.sum("__n").alias("__n"))
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    part = Window.partitionBy(*by) if by else whole()
     up = part.orderBy("tick").rowsBetween(0, Window.unboundedFollowing)
     c = full.withColumns({"tp": F.sum("__p").over(up).cast("double"),
                           "fp": F.sum("__n").over(up).cast("double"),
@@ -92,7 +92,7 @@ def crossing(curves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     gap = F.when((F.col("precision") > 0) & (F.col("recall") > 0),
                  -F.abs(F.col("precision") - F.col("recall")))
     c = curves.withColumn("__ok", F.max(gap.isNotNull()).over(
-        Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))))
+        Window.partitionBy(*by) if by else whole()))
     score = F.when(F.col("__ok"), gap).otherwise(F.col("f1"))
     return argmax_row(c, score, "tick", by).drop("__ok")
 
@@ -189,7 +189,7 @@ def consensus_threshold(curves: DataFrame, run: str = "run", min_recall: float |
         ok = ok & (F.col("mean_recall") >= min_recall)
     if min_precision is not None:
         ok = ok & (F.col("mean_precision") >= min_precision)
-    m = m.withColumn("__ok", ok).withColumn("__any", F.max("__ok").over(Window.partitionBy(F.lit(0))))
+    m = m.withColumn("__ok", ok).withColumn("__any", F.max("__ok").over(whole()))
     score = F.when(F.col("__ok") | ~F.col("__any"), F.col("mean_tss") - penalty * F.col("std_tss"))
     return argmax_row(m, score, "tick").drop("__ok", "__any", "tick") \
         .withColumnRenamed("threshold", "tau")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flareframe.functions.arrays import is_finite, nan_to_null
+from flareframe.functions.arrays import field_of, is_finite, nan_to_null
 from flareframe.operators.ordered import (interval, interval_micros, micros, running,
                                           time_segment)
 
@@ -77,15 +77,20 @@ def fill_linear(df: DataFrame, keys: Sequence[str], order: str, value: str,
                 segment: Column | None = None) -> DataFrame:
     """Linear fill of missing values by row position, nearest value at both ends.
 
-    ``order`` is the 0- or 1-based position inside the key.  Give ``segment``
-    (monotone in ``order``) for long series; windows of bounded length need
-    none beyond the default blocks of 65536 rows.
+    ``order`` is the position inside the key.  Without ``segment`` a key is one
+    window or clip, whose length is fixed by its width.  For whole series give
+    a ``segment`` monotone in ``order``; the fill then crosses segments.
     """
     v = nan_to_null(F.col(value).cast("double"))
     pos = F.col(order)
-    seg = F.floor(pos / 65536) if segment is None else segment
     known = F.when(v.isNotNull(), F.struct(pos.alias("p"), v.alias("v")))
-    out = running(df, keys, [order], seg, __a=("last", known), __b=("next", known))
+    if segment is None:
+        w = Window.partitionBy(*keys).orderBy(order)
+        out = df.withColumns({
+            "__a": F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "__b": F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    else:
+        out = running(df, keys, [order], segment, __a=("last", known), __b=("next", known))
     a, b = F.col("__a"), F.col("__b")
     span = F.nullif((b["p"] - a["p"]).cast("double"), F.lit(0.0))
     filled = F.coalesce(v, a["v"] + (b["v"] - a["v"]) * ((pos - a["p"]) / span), a["v"], b["v"])
@@ -188,7 +193,7 @@ def columns_to_arrays(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequenc
            .agg(F.array_sort(F.collect_list(F.struct(*vals))).alias("__a")))
     stamp = F.transform("__a", lambda x: F.date_format(x[ts], "yyyy-MM-dd'T'HH:mm:ss"))
     return arr.select(*keys, "part", F.size("__a").cast("long").alias("n_points"), stamp.alias(ts),
-                      *[F.transform("__a", lambda x, c=c: x[c]).alias(c) for c in cols])
+                      *[field_of("__a", c).alias(c) for c in cols])
 
 
 __all__ = ["bin_start", "make_grid", "resample_mean", "align", "first_per_day", "fill_linear",

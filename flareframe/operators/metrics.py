@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from flareframe.functions import scores as S
 from flareframe.functions.labels import lookup
+from flareframe.operators.ordered import whole
 
-ALL = Window.partitionBy(F.lit(0))      # over per-class rows only
 
 
 def accuracy(df: DataFrame, y: str, yhat: str) -> DataFrame:
@@ -34,7 +34,7 @@ def confusion(df: DataFrame, y: str, yhat: str, k: int) -> DataFrame:
 
 def one_vs_rest(cm: DataFrame) -> DataFrame:
     """tp, fp, fn, tn and support per class (doubles) from a confusion table."""
-    total = F.sum("n").over(ALL)
+    total = F.sum("n").over(whole())
     parts = cm.withColumn("__all", total).select("__all", F.explode(F.array(
         F.struct(F.col("y").alias("cls"), F.col("n").alias("row"), F.lit(0).cast("long").alias("col"),
                  F.when(F.col("y") == F.col("yhat"), F.col("n")).otherwise(0).alias("diag")),
@@ -102,7 +102,7 @@ def classification_report(cm: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def class_summary(per_class: DataFrame, cols: Sequence[str], eps: float = 1e-7) -> DataFrame:
     """Macro (nulls skipped) and support-weighted mean of per-class scores: one row per score."""
-    share = F.col("support") / (F.sum("support").over(ALL) + eps)
+    share = F.col("support") / (F.sum("support").over(whole()) + eps)
     d = per_class.withColumn("__s", share)
     aggs = d.agg(*[F.struct(F.lit(c).alias("score"), F.avg(c).alias("macro"),
                             F.sum(F.col(c) * F.col("__s")).alias("weighted")).alias(c) for c in cols])

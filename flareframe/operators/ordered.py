@@ -26,6 +26,12 @@ BLOCK = "__block"
 BLOCK_ROWS = 65536
 
 
+def whole():
+    """Window over everything, in one task: only for tables whose row count is fixed by a
+    parameter (classes, ticks, splits), never for data rows."""
+    return Window.partitionBy(F.lit(0))
+
+
 def micros(col: Column | str) -> Column:
     """Microseconds since the epoch of a (UTC) timestamp with or without zone."""
     c = F.col(col) if isinstance(col, str) else col

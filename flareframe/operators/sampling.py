@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flareframe.operators.ordered import (number_rows, running, uniform_segment,
+from flareframe.operators.ordered import (number_rows, running, uniform_segment, whole,
                                           with_quantile_segment)
+from flareframe.session import materialise
 
 
 def uniform(seed: int | str, *ids: Column | str) -> Column:
@@ -66,15 +67,18 @@ def weighted_sample(df: DataFrame, id: str, w: str, k: int, seed: int | str) ->
 
 def downsample_targets(df: DataFrame, label: str, target_total: int | None = None,
                        targets: dict[str, int] | None = None,
-                       removable: Sequence[str] = ("NONE", "C")) -> DataFrame:
-    """Rows to keep per label: label, n, target.
+                       removable: Sequence[str] = ("NONE", "C"),
+                       count: str | None = None) -> DataFrame:
+    """Rows to keep per label: label, n, target.  ``count`` names a column of row
+    counts when ``df`` is already aggregated.
 
     With ``target_total`` the removable labels give up rows in their order until
     the total fits; it must not be below the other labels' count (the plan then
     fails when run).  With ``targets`` the named labels are cut to the given
     sizes, clamped to what is there.
     """
-    n = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    rows = F.count(F.lit(1)) if count is None else F.sum(count)
+    n = df.groupBy(F.col(label).alias("label")).agg(rows.alias("n"))
     if target_total is None:
         if not targets:
             raise ValueError("give target_total or targets")
@@ -87,7 +91,7 @@ def downsample_targets(df: DataFrame, label: str, target_total: int | None = Non
     for i, lab in enumerate(removable):
         order = F.when(F.col("label") == lab, i).otherwise(order)
     n = n.withColumn("__o", order)
-    one = Window.partitionBy(F.lit(0))      # one row per label
+    one = whole()      # one row per label
     fixed = F.coalesce(F.sum(F.when(F.col("__o") == len(removable), F.col("n"))).over(one), F.lit(0))
     earlier = F.coalesce(F.sum(F.when(F.col("__o") < len(removable), F.col("n"))).over(
         one.orderBy("__o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -127,7 +131,7 @@ def keep_plan(sizes: DataFrame, seed: int, label: str = "label", group: str = "a
          .withColumn("__w", F.when(~F.col("__many"), F.col("size").cast("double"))
                      .when(F.col("__remsum") > 0, F.col("__rem")).otherwise(F.col("__res")))
          .withColumn("__gid", F.concat_ws(":", F.col(label), F.col(group).cast("string"))))
-    p = rank_weighted(p, [label], "__gid", "__w", seed)
+    p = rank_weighted(materialise(p), [label], "__gid", "__w", seed)
     keep = F.when(F.col("__many"), F.least(
         F.col("size"), 1 + F.col("__fl")
         + F.when((F.col("__resum") > 0) & (F.col("rk") <= F.col("__left")), 1).otherwise(0))) \
@@ -144,9 +148,9 @@ def downsample(df: DataFrame, id: str, group: str, label: str, target_total: int
     ``label`` may be any class column.  Filter on ``keep`` for the kept rows and
     on its negation for the removed ones.
     """
-    goals = downsample_targets(df, label, target_total, targets, removable)
-    sizes = df.groupBy(F.col(label).alias("label"), F.col(group).alias("ar")) \
-        .agg(F.count(F.lit(1)).alias("size"))
+    sizes = materialise(df.groupBy(F.col(label).alias("label"), F.col(group).alias("ar"))
+                        .agg(F.count(F.lit(1)).alias("size")))
+    goals = downsample_targets(sizes, "label", target_total, targets, removable, "size")
     plan = keep_plan(sizes.join(goals.select("label", "target"), "label"), seed)
     plan = plan.select(F.col("label").alias(label), F.col("ar").alias(group), "keep_n")
     ranked = rank_uniform(df, [label, group], id, seed, attach=plan)
@@ -191,7 +195,7 @@ def split_quotas(df: DataFrame, cls: str, fractions: tuple[float, float, float],
     """
     if strategy not in ("downsample", "oversample"):
         raise ValueError("strategy is 'downsample' or 'oversample'")
-    one = Window.partitionBy(F.lit(0))      # one row per class
+    one = whole()      # one row per class
     q = (df.groupBy(F.col(cls).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
          .withColumn("n_total", F.sum("n").over(one)))
     train_n, cv_n, test_n = split_sizes(fractions)
@@ -232,16 +236,19 @@ def stratified_split(df: DataFrame, id: str, cls: str, fractions: tuple[float, f
     rows beyond it are ``unused``.  With ``strategy='oversample'`` duplicates of
     a class short of its train target are appended (column ``copy`` > 0).
     """
-    quotas = split_quotas(df, cls, fractions, train_targets, strategy)
-    q = quotas.withColumnRenamed("cls", cls).select(cls, "train_q", "cv_q", "test_n")
+    quotas = materialise(split_quotas(df, cls, fractions, train_targets, strategy))
+    q = quotas.withColumnRenamed("cls", cls).select(cls, "train_q", "cv_q")
     ranked = rank_uniform(df, [cls], id, f"{seed}:class", attach=q)
-    ranked = ranked.withColumn("split", F.when(F.col("rk") <= F.col("train_q"), "train")
-                               .when(F.col("rk") <= F.col("train_q") + F.col("cv_q"), "cv")
-                               .otherwise("test")).drop("rk", "train_q", "cv_q")
-    ranked = rank_uniform(ranked, ["split"], id, f"{seed}:test")
-    cut = (F.col("split") == "test") & (F.col("rk") > F.col("test_n"))
-    out = ranked.withColumn("split", F.when(cut, "unused").otherwise(F.col("split"))) \
-        .drop("rk", "test_n")
+    out = ranked.withColumn("split", F.when(F.col("rk") <= F.col("train_q"), "train")
+                            .when(F.col("rk") <= F.col("train_q") + F.col("cv_q"), "cv")
+                            .otherwise("test")).drop("rk", "train_q", "cv_q")
+    # one row of totals tells whether the test set needs cutting at all
+    over = quotas.agg(F.sum(F.col("n") - F.col("train_q") - F.col("cv_q")).alias("left"),
+                      F.max("test_n").alias("test_n")).first()
+    if over["left"] is not None and over["left"] > over["test_n"]:
+        out = rank_uniform(out, ["split"], id, f"{seed}:test")
+        cut = (F.col("split") == "test") & (F.col("rk") > over["test_n"])
+        out = out.withColumn("split", F.when(cut, "unused").otherwise(F.col("split"))).drop("rk")
     if train_targets and strategy == "oversample":
         extra = oversample_draws(df, id, cls, quotas, seed)
         out = out.withColumn("copy", F.lit(0).cast("long")).unionByName(extra)

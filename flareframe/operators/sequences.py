@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flareframe.functions import labels as L
-from flareframe.functions.arrays import regular
+from flareframe.functions.arrays import field_of, regular
 from flareframe.functions.names import file_time_any
 from flareframe.operators.ordered import (BLOCK_ROWS, block_window, home, interval,
                                           interval_micros, micros, number_rows, running,
@@ -99,7 +99,7 @@ def fixed_series(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[s
     return out.select(*keys, "island", "start_pos", F.lit(n).cast("long").alias("npoints"),
                       F.get("__a", F.lit(0))[ts].alias("t_start"),
                       F.element_at("__a", -1)[ts].alias("t_end"),
-                      *[F.transform("__a", lambda x, v=v: x[v]).alias(v) for v in values
+                      *[field_of("__a", v).alias(v) for v in values
                         if v != label], *extra)
 
 

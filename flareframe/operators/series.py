@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flareframe.functions.arrays import is_finite, log_stretch, nan_to_null, zero_nonfinite
 from flareframe.operators.ordered import running, with_quantile_segment
+from flareframe.session import materialise
 
 MAD_FACTOR = 1.4826     # fixed value: MAD of a normal distribution to its standard deviation
 
@@ -111,7 +112,7 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str) -> DataFrame:
     if kind == "zscore":
         s = pts.groupBy("var").agg(F.avg("value").alias("a"), F.stddev_pop("value").alias("b"))
     elif kind == "robust":
-        med = exact_median(pts, ["var"], "value", "a", few_keys=True)
+        med = materialise(exact_median(pts, ["var"], "value", "a", few_keys=True))
         dev = pts.join(F.broadcast(med), "var").withColumn("__d", F.abs(F.col("value") - F.col("a")))
         mad = exact_median(dev, ["var"], "__d", "b", few_keys=True).withColumn("b", F.col("b") * MAD_FACTOR)
         s = med.join(mad, "var")
@@ -130,19 +131,19 @@ def apply_scaler(df: DataFrame, cols: Sequence[str], stats: DataFrame, kind: str
     m = stats.where(F.col("var").isin(*cols)).agg(F.map_from_entries(F.collect_list(
         F.struct("var", F.struct("a", "b"))))).scalar()
     df = df.withColumn("__stats", m)
-    out = {}
-    for c in cols:
-        s = F.try_element_at(F.col("__stats"), F.lit(c))
-        a, b = s["a"], s["b"]
+
+    def scaled(c: str) -> Column:
+        st = F.try_element_at(F.col("__stats"), F.lit(c))
+        a, b = st["a"], st["b"]
         x = F.col(c).cast("array<double>")
         if kind == "minmax":
             flat = a.isNull() | b.isNull() | (a == b)
-            out[c] = F.transform(x, lambda v, a=a, b=b, flat=flat: F.when(flat, F.lit((lo + hi) / 2))
-                                 .otherwise(lo + (v - a) * (F.lit(hi - lo) / F.nullif(b - a, F.lit(0.0)))))
-        else:
-            out[c] = F.when(a.isNull(), x).otherwise(
-                F.transform(x, lambda v, a=a, b=b: (v - a) / b))
-    return df.withColumns(out).drop("__stats")
+            slope = F.lit(hi - lo) / F.nullif(b - a, F.lit(0.0))
+            return F.transform(x, lambda v: F.when(flat, F.lit((lo + hi) / 2))
+                               .otherwise(lo + (v - a) * slope))
+        return F.when(a.isNull(), x).otherwise(F.transform(x, lambda v: (v - a) / b))
+
+    return df.withColumns({c: scaled(c) for c in cols}).drop("__stats")
 
 
 def patch_tokens(df: DataFrame, id: str, cols: Sequence[str], patch: int,

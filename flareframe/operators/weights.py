@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ALL = Window.partitionBy(F.lit(0))      # over K rows only
+from flareframe.operators.ordered import whole
+
 
 
 def class_counts(df: DataFrame, y: str, k: int) -> DataFrame:
@@ -29,14 +30,14 @@ def class_weights(df: DataFrame, y: str, k: int, scheme: str = "balanced",
     if scheme == "inverse":
         w = 1.0 / safe
     elif scheme == "inverse_v2":
-        w = F.max("n").over(ALL) / safe
+        w = F.max("n").over(whole()) / safe
     elif scheme == "balanced":
-        w = F.sum("n").over(ALL) / (k * safe)
+        w = F.sum("n").over(whole()) / (k * safe)
     else:
         raise ValueError("scheme is 'balanced', 'inverse' or 'inverse_v2'")
     c = c.withColumn("weight", w)
     if normalize:
-        c = c.withColumn("weight", F.col("weight") * k / F.sum("weight").over(ALL))
+        c = c.withColumn("weight", F.col("weight") * k / F.sum("weight").over(whole()))
     return c
 
 
@@ -52,8 +53,8 @@ def ordinal_pos_weight(df: DataFrame, y: str, k: int, clip: float | None = None,
                        eps: float = 1e-12) -> DataFrame:
     """Per threshold t = 1..K-1: rows below / rows at or above."""
     c = class_counts(df, y, k)
-    ge = F.sum("n").over(ALL.orderBy("y").rowsBetween(0, Window.unboundedFollowing))
-    c = c.withColumn("n_pos", ge).withColumn("n_neg", F.sum("n").over(ALL) - F.col("n_pos"))
+    ge = F.sum("n").over(whole().orderBy("y").rowsBetween(0, Window.unboundedFollowing))
+    c = c.withColumn("n_pos", ge).withColumn("n_neg", F.sum("n").over(whole()) - F.col("n_pos"))
     w = F.col("n_neg") / F.greatest(F.col("n_pos"), F.lit(eps))
     if clip is not None:
         w = F.least(w, F.lit(float(clip)))
@@ -65,11 +66,11 @@ def focal_alpha(df: DataFrame, y: str, k: int, exponent: float = 0.5,
                 cap: float = 10.0) -> DataFrame:
     """(1/frequency)^exponent scaled to mean 1, capped at ``cap`` medians, at least 1e-6."""
     c = class_counts(df, y, k)
-    freq = F.least(F.greatest(F.col("n") / F.greatest(F.sum("n").over(ALL), F.lit(1.0)),
+    freq = F.least(F.greatest(F.col("n") / F.greatest(F.sum("n").over(whole()), F.lit(1.0)),
                               F.lit(1e-8)), F.lit(1.0))
     c = c.withColumn("__inv", F.pow(1.0 / freq, F.lit(float(exponent))))
-    c = c.withColumn("__a", F.col("__inv") / F.avg("__inv").over(ALL))
-    capped = F.least(F.col("__a"), F.median("__a").over(ALL) * cap)
+    c = c.withColumn("__a", F.col("__inv") / F.avg("__inv").over(whole()))
+    capped = F.least(F.col("__a"), F.median("__a").over(whole()) * cap)
     return c.select("y", "n", F.greatest(capped, F.lit(1e-6)).alias("alpha"))
 
 

@@ -58,7 +58,7 @@ def augment_clips(clips: DataFrame, flux: DataFrame, background: DataFrame, even
         F.sequence(lo, hi - 1, F.lit(step))).alias("pos", "__us"))
     pts = pts.withColumn("ts", G.from_micros(F.col("__us"))).drop("__us")
     pts = G.align(pts, flux.select("ts", "flux"), [], "ts")
-    cov = pts.groupBy("__id").agg(F.avg(F.when(G.is_finite(F.col("flux")), 1.0).otherwise(0.0)).alias("cov"))
+    pts = pts.withColumn("__ok", G.is_finite(F.col("flux")).cast("double"))
     filled = G.fill_linear(pts, ["__id"], "pos", "flux")
     ratio = G.flux_ratio(filled, background, [], "ts", per="day")
     if history:
@@ -68,7 +68,7 @@ def augment_clips(clips: DataFrame, flux: DataFrame, background: DataFrame, even
     # a clip's grid is as long as the clip: arrays are bounded
     arr = (ratio.groupBy("__id").agg(
         F.array_sort(F.collect_list(F.struct("pos", *cols))).alias("__a"),
-        F.bool_and(F.col("ratio").isNotNull()).alias("bg_ok")).join(cov, "__id"))
+        F.bool_and(F.col("ratio").isNotNull()).alias("bg_ok"), F.avg("__ok").alias("cov")))
     lab = E.label_ahead(clips.select(F.col(id).alias("__id"), "t_end"), events, [], "t_end",
                         horizon, gap, "__raw").select("__id", "__raw")
     out = clips.withColumn("__id", F.col(id)).join(arr, "__id", "left").join(lab, "__id", "left")

@@ -60,17 +60,17 @@ def label_windows(flux: DataFrame, background: DataFrame, events: DataFrame,
     else:
         win = win.withColumn("sev_in", F.lit(0))
     pts = G.window_points(grid, win.select(*KEY, "start", "end", "background"), KEY, "ts", every, width)
-    v = nan_to_null(F.col("flux"))
     w = ["satellite", "start"]
-    cov = pts.groupBy(*w).agg(F.count(v).alias("n_valid"), F.count(F.lit(1)).alias("n_points"))
-    fill = G.flux_ratio(G.fill_linear(pts, w, "pos", "flux"), bg, KEY, "ts", per="window")
+    fill = pts.withColumn("__ok", nan_to_null(F.col("flux")).isNotNull())
+    fill = G.flux_ratio(G.fill_linear(fill, w, "pos", "flux"), bg, KEY, "ts", per="window")
     cols = ["ratio"]
     if history:
         ticks = grid.select("ts").distinct()
         fill = fill.join(E.history_channel(ticks, events, [], "ts", history, skip_ab), "ts")
         cols.append("hist")
-    arr = fill.groupBy(*w).agg(F.array_sort(F.collect_list(F.struct("pos", *cols))).alias("__a"))
-    out = win.join(cov, w, "left").join(arr, w, "left")
+    arr = fill.groupBy(*w).agg(F.array_sort(F.collect_list(F.struct("pos", *cols))).alias("__a"),
+                               F.count_if("__ok").alias("n_valid"), F.count(F.lit(1)).alias("n_points"))
+    out = win.join(arr, w, "left")
     share = G.coverage(F.coalesce("n_valid", F.lit(0)), F.coalesce("n_points", F.lit(0)), n, coverage)
     reason = R.first_reason([
         ("year", F.year("start").isin(*skip_years) if skip_years else F.lit(False)),

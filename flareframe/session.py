@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "flareframe", master: str | None = None,
@@ -29,3 +31,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Pin the one runtime setting results depend on: all times are UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into reliable storage and read it from there.
+
+    For small derived tables (counts per group, fitted statistics) that a plan
+    uses several times.  The files go to the cluster's ``spark.checkpoint.dir``
+    and survive lost executors; only without that setting (tests, one machine)
+    a local folder is used.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="flareframe-"))
+    return df.checkpoint()
