@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value`` computed once.
+
+    Inside a lambda an outer expression would be evaluated again for every
+    element; binding it as the element of a one-item array avoids that.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def span(a: Column) -> Column:
+    return F.struct(a.alias("a"), F.array_min(a).alias("lo"), F.array_max(a).alias("hi"))
+
+
 def is_finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
 
@@ -28,25 +42,24 @@ def zero_nonfinite(a: Column) -> Column:
 
 def log_stretch(a: Column) -> Column:
     """0 at the minimum, log10(1 + x - min) elsewhere."""
-    lo = F.array_min(a)
-    return F.transform(a, lambda x: F.when(x == lo, F.lit(0.0)).otherwise(F.log10(1.0 + x - lo)))
+    return let(span(a), lambda s: F.transform(s["a"], lambda x: F.when(x == s["lo"], F.lit(0.0))
+               .otherwise(F.log10(1.0 + x - s["lo"]))))
 
 
 def minmax(a: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
     """Series to [lo, hi]; a constant series goes to the midpoint."""
-    mn, mx = F.array_min(a), F.array_max(a)
-    return F.transform(a, lambda x: F.when(mx == mn, F.lit((lo + hi) / 2))
-                       .otherwise(lo + (x - mn) * (F.lit(hi - lo) / F.nullif(mx - mn, F.lit(0.0)))))
+    return let(span(a), lambda s: F.transform(s["a"], lambda x: F.when(
+        s["hi"] == s["lo"], F.lit((lo + hi) / 2)).otherwise(
+        lo + (x - s["lo"]) * (F.lit(hi - lo) / F.nullif(s["hi"] - s["lo"], F.lit(0.0))))))
 
 
 def rescale(a: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
     """Like ``minmax`` after zeroing non-finite values; null if nothing but zeros is
     left, and a constant goes to ``lo``."""
-    z = zero_nonfinite(a)
-    mn, mx = F.array_min(z), F.array_max(z)
-    out = F.transform(z, lambda x: F.when(mx == mn, F.lit(lo)).otherwise(
-        (x - mn) / F.nullif(mx - mn, F.lit(0.0)) * (hi - lo) + lo))
-    return F.when(F.exists(z, lambda x: x != 0), out)
+    return let(span(zero_nonfinite(a)), lambda s: F.when(
+        (s["lo"] != 0) | (s["hi"] != 0), F.transform(s["a"], lambda x: F.when(
+            s["hi"] == s["lo"], F.lit(lo)).otherwise(
+            (x - s["lo"]) / F.nullif(s["hi"] - s["lo"], F.lit(0.0)) * (hi - lo) + lo))))
 
 
 def stack_channels(cols: Sequence[Column]) -> Column:
@@ -54,42 +67,61 @@ def stack_channels(cols: Sequence[Column]) -> Column:
     same = F.lit(True)
     for c in cols[1:]:
         same = same & (F.size(c) == F.size(cols[0]))
-    steps = F.transform(cols[0], lambda _, i: F.array(*[F.get(c, i) for c in cols]))
-    return F.when(same, steps)
+    names = [f"c{i}" for i in range(len(cols))]
+    zipped = F.arrays_zip(*[c.alias(n) for c, n in zip(cols, names)])
+    return F.when(same, F.transform(zipped, lambda z: F.array(*[z[n] for n in names])))
 
 
 def percentile(a: Column, q: float) -> Column:
     """Linear-interpolation percentile (q in 0..100) of one array."""
-    s = F.sort_array(a)
     pos = F.lit(q / 100.0) * (F.size(a) - 1)
-    lo = F.floor(pos).cast("int")
-    below, above = F.get(s, lo), F.get(s, F.ceil(pos).cast("int"))
-    return below + (above - below) * (pos - lo)
+
+    def pick(s: Column) -> Column:
+        at = s["pos"]
+        below = F.get(s["sorted"], F.floor(at).cast("int"))
+        above = F.get(s["sorted"], F.ceil(at).cast("int"))
+        return below + (above - below) * (at - F.floor(at))
+
+    return let(F.struct(F.sort_array(a).alias("sorted"), pos.alias("pos")), pick)
 
 
 def asinh_stretch(a: Column, pmin: float = 0.5, pmax: float = 99.5, scale: float = 0.5) -> Column:
     """Signed asinh compression around mid-range, clipped at two percentiles, in [0, 1]."""
-    mn, mx = F.array_min(a), F.array_max(a)
-    unit = F.transform(a, lambda x: F.when(mx > 1.0, (x - mn) / (mx - mn + 1e-12)).otherwise(x))
-    signed = F.transform(unit, lambda x: (x - 0.5) * 2.0)
-    lo, hi = percentile(signed, pmin), percentile(signed, pmax)
-    m = F.greatest(F.abs(lo), F.abs(hi))
     s = scale + 1e-12
-    norm = F.asinh(F.lit(1.0 / s)) + 1e-12
-    return F.transform(signed, lambda x: (F.when(m > 0, F.asinh(
-        F.least(F.greatest(x, lo), hi) / F.nullif(m, F.lit(0.0)) / s) / norm)
-        .otherwise(F.lit(0.0)) + 1.0) * 0.5)
+    norm = math.asinh(1.0 / s) + 1e-12
+
+    def signed(t: Column) -> Column:
+        return F.transform(t["a"], lambda x: (F.when(
+            t["hi"] > 1.0, (x - t["lo"]) / (t["hi"] - t["lo"] + 1e-12)).otherwise(x) - 0.5) * 2.0)
+
+    def clipped(x: Column) -> Column:
+        return F.struct(x.alias("x"), percentile(x, pmin).alias("lo"), percentile(x, pmax).alias("hi"))
+
+    def squeeze(t: Column) -> Column:
+        m = F.greatest(F.abs(t["lo"]), F.abs(t["hi"]))
+        return F.transform(t["x"], lambda x: (F.when(m > 0, F.asinh(
+            F.least(F.greatest(x, t["lo"]), t["hi"]) / F.nullif(m, F.lit(0.0)) / s) / norm)
+            .otherwise(F.lit(0.0)) + 1.0) * 0.5)
+
+    return let(let(let(span(a), signed), clipped), squeeze)
 
 
 def instance_scale(values: Column, mask: Column, min_scale: float = 1e-5) -> Column:
     """struct(loc, scale) over observed points: mean and sqrt(variance + min_scale)."""
     kept = F.transform(F.filter(F.arrays_zip(values.alias("v"), mask.alias("m")),
                                 lambda z: z["m"]), lambda z: z["v"].cast("double"))
-    n = F.greatest(F.size(kept), F.lit(1))
-    total = F.aggregate(kept, F.lit(0.0), lambda acc, x: acc + x)
-    loc = total / n
-    var = F.aggregate(kept, F.lit(0.0), lambda acc, x: acc + (x - loc) * (x - loc)) / n
-    return F.struct(loc.alias("loc"), F.sqrt(var + min_scale).alias("scale"))
+
+    def centre(k: Column) -> Column:
+        n = F.greatest(F.size(k), F.lit(1))
+        return F.struct(k.alias("k"), n.alias("n"), (F.aggregate(
+            k, F.lit(0.0), lambda acc, x: acc + x) / n).alias("loc"))
+
+    def spread(t: Column) -> Column:
+        var = F.aggregate(t["k"], F.lit(0.0),
+                          lambda acc, x: acc + (x - t["loc"]) * (x - t["loc"])) / t["n"]
+        return F.struct(t["loc"].alias("loc"), F.sqrt(var + min_scale).alias("scale"))
+
+    return let(let(kept, centre), spread)
 
 
 def affine(a: Column, mean: Sequence[float], std: Sequence[float]) -> Column:
@@ -104,6 +136,6 @@ def regular(times: Column, every: str) -> Column:
     """True when successive times of an array are exactly ``every`` apart."""
     from flareframe.operators.ordered import interval
     step = interval(every)
-    return F.forall(F.sequence(F.lit(1), F.greatest(F.size(times) - 1, F.lit(1))),
-                    lambda i: (F.size(times) < 2)
-                    | (F.get(times, i) == F.get(times, i - 1) + step))
+    return let(times, lambda t: F.forall(
+        F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))),
+        lambda i: (F.size(t) < 2) | (F.get(t, i) == F.get(t, i - 1) + step)))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from flareframe.functions.arrays import let
+
 
 def sigmoid(x: Column) -> Column:
     """Logistic function that never overflows."""
@@ -18,16 +20,23 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _shifted(a: Column) -> Column:
+    return let(F.struct(a.alias("a"), F.array_max(a).alias("top")),
+               lambda s: F.transform(s["a"], lambda x: x - s["top"]))
+
+
+def _normalised(a: Column) -> Column:
+    return let(F.struct(a.alias("a"), _sum(a).alias("sum")),
+               lambda s: F.transform(s["a"], lambda x: x / s["sum"]))
+
+
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    ex = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(ex, lambda x: x / _sum(ex))
+    return _normalised(F.transform(_shifted(a), F.exp))
 
 
 def log_softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    norm = F.log(_sum(F.transform(a, lambda x: F.exp(x - top)))) + top
-    return F.transform(a, lambda x: x - norm)
+    return let(_shifted(a), lambda d: let(
+        F.log(_sum(F.transform(d, F.exp))), lambda n: F.transform(d, lambda x: x - n)))
 
 
 def argmax(a: Column) -> Column:
@@ -53,16 +62,16 @@ def exceedance(a: Column, monotone: bool) -> Column:
     p = F.transform(a, sigmoid)
     if not monotone:
         return p
-    return F.transform(p, lambda _, i: F.array_min(F.slice(p, F.lit(1), i + 1)))
+    return let(p, lambda q: F.transform(q, lambda _, i: F.array_min(F.slice(q, F.lit(1), i + 1))))
 
 
 def ordinal_probs(a: Column, monotone: bool = True) -> Column:
     """K class probabilities from K-1 cumulative logits, floored at 1e-12, summing to 1."""
-    ge = exceedance(a, monotone)
-    edges = F.concat(F.array(F.lit(1.0)), ge, F.array(F.lit(0.0)))
-    raw = F.transform(F.sequence(F.lit(0), F.size(ge)),
-                      lambda i: F.greatest(F.get(edges, i) - F.get(edges, i + 1), F.lit(1e-12)))
-    return F.transform(raw, lambda x: x / _sum(raw))
+    edges = F.concat(F.array(F.lit(1.0)), exceedance(a, monotone), F.array(F.lit(0.0)))
+    raw = let(edges, lambda e: F.transform(
+        F.sequence(F.lit(0), F.size(e) - 2),
+        lambda i: F.greatest(F.get(e, i) - F.get(e, i + 1), F.lit(1e-12))))
+    return _normalised(raw)
 
 
 def ordinal_class(a: Column, thresholds: Sequence[float] | None = None) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flareframe.functions import labels as L
-from flareframe.functions.arrays import field_of, regular
+from flareframe.functions.arrays import field_of, let, regular
 from flareframe.functions.names import file_time_any
 from flareframe.operators.ordered import (BLOCK_ROWS, block_window, home, interval,
                                           interval_micros, micros, number_rows, running,
@@ -215,12 +215,11 @@ def select_items(df: DataFrame, keys: Sequence[str], ts: str, labels: Sequence[s
 
 def clip_integrity(df: DataFrame, frames: str, step: str, tol: str = "1 second") -> DataFrame:
     """Gap check of the times in frame names: ``ok`` and the positions of bad gaps."""
-    t = F.transform(frames, lambda p: micros(file_time_any(p)))
-    gaps = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__t") - 1, F.lit(1))),
-                       lambda i: F.get("__t", i) - F.get("__t", i - 1))
-    off = F.transform(gaps, lambda g, i: F.when(
-        F.abs(g - interval_micros(step)) > interval_micros(tol), i))
-    return (df.withColumn("__t", t)
-            .withColumn("bad_positions", F.when(F.size("__t") < 2, F.array().cast("array<int>"))
-                        .otherwise(F.filter(off, lambda x: x.isNotNull())))
-            .withColumn("ok", F.size("bad_positions") == 0).drop("__t"))
+    def off(t):
+        return F.filter(F.sequence(F.lit(1), F.greatest(F.size(t) - 1, F.lit(1))), lambda i: F.abs(
+            F.get(t, i) - F.get(t, i - 1) - interval_micros(step)) > interval_micros(tol))
+
+    bad = let(F.transform(frames, lambda p: micros(file_time_any(p))),
+              lambda t: F.transform(off(t), lambda i: i - 1))
+    return (df.withColumn("bad_positions", bad)
+            .withColumn("ok", F.size("bad_positions") == 0))

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flareframe.functions.arrays import is_finite, log_stretch, nan_to_null, zero_nonfinite
-from flareframe.operators.ordered import running, with_quantile_segment
+from flareframe.functions.arrays import is_finite, let, log_stretch, nan_to_null, zero_nonfinite
+from flareframe.operators.ordered import running
 from flareframe.session import materialise
 
 MAD_FACTOR = 1.4826     # fixed value: MAD of a normal distribution to its standard deviation
@@ -28,34 +28,33 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
         return F.broadcast(t) if few_keys or not keys else t
 
     v = nan_to_null(F.col(value).cast("double"))
-    d = df.select(*keys, v.alias("__v")).where(F.col("__v").isNotNull())
+    k = list(keys) or ["__one"]
+    d = df.select(*(keys or [F.lit(1).alias("__one")]), v.alias("__v")).where(F.col("__v").isNotNull())
     half = 4.0 / accuracy
-    k = list(keys)
-    one = d if k else d.withColumn("__one", F.lit(1))
-    k = k or ["__one"]
-    b = one.groupBy(*k).agg(
+    b = materialise(d.groupBy(*k).agg(
         F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__mn"), F.max("__v").alias("__mx"),
         F.percentile_approx("__v", F.array(F.lit(0.5 - half), F.lit(0.5 + half)),
-                            F.lit(accuracy)).alias("__q"))
+                            F.lit(accuracy)).alias("__q")))
     b = b.withColumn("__r1", F.floor((F.col("__n") + 1) / 2)) \
         .withColumn("__r2", F.floor(F.col("__n") / 2) + 1)
-    m = one.join(side(b), k)
     inside = (F.col("__v") >= F.col("__q")[0]) & (F.col("__v") <= F.col("__q")[1])
-    counts = m.groupBy(*k).agg(F.count_if(F.col("__v") < F.col("__q")[0]).alias("__below"),
-                               F.count_if(inside).alias("__in"))
-    b = b.join(counts, k)
+    counts = d.join(side(b.select(*k, "__q")), k).groupBy(*k).agg(
+        F.count_if(F.col("__v") < F.col("__q")[0]).alias("__below"), F.count_if(inside).alias("__in"))
     hit = (F.col("__below") < F.col("__r1")) & (F.col("__below") + F.col("__in") >= F.col("__r2"))
-    b = (b.withColumn("__lo", F.when(hit, F.col("__q")[0]).otherwise(F.col("__mn")))
-         .withColumn("__hi", F.when(hit, F.col("__q")[1]).otherwise(F.col("__mx")))
-         .withColumn("__base", F.when(hit, F.col("__below")).otherwise(F.lit(0)))
-         .select(*k, "__lo", "__hi", "__base", "__r1", "__r2"))
+    b = materialise(b.join(counts, k).select(
+        *k, "__r1", "__r2", F.when(hit, F.col("__q")[0]).otherwise(F.col("__mn")).alias("__lo"),
+        F.when(hit, F.col("__q")[1]).otherwise(F.col("__mx")).alias("__hi"),
+        F.when(hit, F.col("__below")).otherwise(F.lit(0)).alias("__base")))
     # map-side counting folds repeated values before the shuffle
-    vals = (one.join(side(b.select(*k, "__lo", "__hi")), k)
+    vals = (d.join(side(b.select(*k, "__lo", "__hi")), k)
             .where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
-            .groupBy(*k, "__v").agg(F.count(F.lit(1)).alias("__c")))
-    vals = with_quantile_segment(vals, "__v", 256)
-    cum = running(vals, k, ["__v"], F.col("__qseg"), __cum=("sum", F.col("__c")))
-    cum = cum.join(side(b), k).withColumn("__to", F.col("__base") + F.col("__cum"))
+            .groupBy(*k, "__v", "__lo", "__hi").agg(F.count(F.lit(1)).alias("__c")))
+    # values are spread evenly over a bracket this narrow
+    slice_ = (F.col("__v") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
+    cum = running(vals, k, ["__v"], F.floor(F.coalesce(slice_, F.lit(0.0)) * 256),
+                  __cum=("sum", F.col("__c")))
+    cum = cum.join(side(b.select(*k, "__r1", "__r2", "__base")), k) \
+        .withColumn("__to", F.col("__base") + F.col("__cum"))
 
     def at(r: str) -> Column:
         return F.min(F.when(F.col("__to") >= F.col(r), F.col("__v")))
@@ -133,15 +132,16 @@ def apply_scaler(df: DataFrame, cols: Sequence[str], stats: DataFrame, kind: str
     df = df.withColumn("__stats", m)
 
     def scaled(c: str) -> Column:
-        st = F.try_element_at(F.col("__stats"), F.lit(c))
-        a, b = st["a"], st["b"]
-        x = F.col(c).cast("array<double>")
-        if kind == "minmax":
-            flat = a.isNull() | b.isNull() | (a == b)
-            slope = F.lit(hi - lo) / F.nullif(b - a, F.lit(0.0))
-            return F.transform(x, lambda v: F.when(flat, F.lit((lo + hi) / 2))
-                               .otherwise(lo + (v - a) * slope))
-        return F.when(a.isNull(), x).otherwise(F.transform(x, lambda v: (v - a) / b))
+        def one(s: Column) -> Column:
+            a, b, x = s["st"]["a"], s["st"]["b"], s["x"]
+            if kind == "minmax":
+                flat = a.isNull() | b.isNull() | (a == b)
+                return F.transform(x, lambda v: F.when(flat, F.lit((lo + hi) / 2)).otherwise(
+                    lo + (v - a) * (F.lit(hi - lo) / F.nullif(b - a, F.lit(0.0)))))
+            return F.when(a.isNull(), x).otherwise(F.transform(x, lambda v: (v - a) / b))
+
+        return let(F.struct(F.try_element_at(F.col("__stats"), F.lit(c)).alias("st"),
+                            F.col(c).cast("array<double>").alias("x")), one)
 
     return df.withColumns({c: scaled(c) for c in cols}).drop("__stats")
 
@@ -204,11 +204,12 @@ def masked_mean(tokens: DataFrame, id: str, value: str, mask: Column) -> DataFra
 def scoring_columns(df: DataFrame, target: str) -> DataFrame:
     """Inputs of a scoring model per row: target as [time][channel] (transposed when it
     has fewer rows than columns), masks and ids."""
-    x = F.col(target)
-    t, c = F.size(x), F.size(F.get(x, F.lit(0)))
-    flipped = F.transform(F.sequence(F.lit(0), F.greatest(c - 1, F.lit(0))),
-                          lambda j: F.transform(x, lambda r: F.get(r, j)))
-    df = df.withColumn(target, F.when(t < c, flipped).otherwise(x))
+    def oriented(x: Column) -> Column:
+        t, c = F.size(x), F.size(F.get(x, F.lit(0)))
+        return F.when(t < c, F.transform(F.sequence(F.lit(0), F.greatest(c - 1, F.lit(0))),
+                                         lambda j: F.transform(x, lambda r: F.get(r, j)))).otherwise(x)
+
+    df = df.withColumn(target, let(F.col(target), oriented))
     n = F.size(target)
     return df.withColumns({
         "observed_mask": F.transform(target, lambda r: F.transform(r, lambda _: F.lit(True))),
