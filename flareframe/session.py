@@ -43,6 +43,12 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="flareframe-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder; a local one only where none is named."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) \
+        or spark.conf.get("spark.checkpoint.dir", None)
+    return named or tempfile.mkdtemp(prefix="flareframe-")
