@@ -48,7 +48,7 @@ def tick_counts(df: DataFrame, p: str, y: str, ticks: int = 1001,
     full = b.unionByName(grid).groupBy(*by, "tick").agg(F.sum("__p").alias("__p"),
                                                         F.sum("__n").alias("__n"))
     part = Window.partitionBy(*by) if by else whole()
-    up = part.orderBy("tick").rowsBetween(0, Window.unboundedFollowing)
+    up = part.orderBy(F.desc("tick")).rowsBetween(Window.unboundedPreceding, 0)
     c = full.withColumns({"tp": F.sum("__p").over(up).cast("double"),
                           "fp": F.sum("__n").over(up).cast("double"),
                           "__pt": F.sum("__p").over(part), "__nt": F.sum("__n").over(part)})
@@ -159,9 +159,11 @@ def interp_to_grid(curves: DataFrame, run: str, x: str, ys: Sequence[str],
         .withColumn("__x", tick_value(F.col("tick"), ticks)).withColumn("__k", F.lit(2))
     line = knots.unionByName(grid, allowMissingColumns=True)
     # numpy-style: a grid point on a knot takes that knot
-    w = Window.partitionBy(run).orderBy("__x", "__k")
-    lo = F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.first("__v", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    part = Window.partitionBy(run)
+    lo = F.last("__v", ignorenulls=True).over(
+        part.orderBy("__x", "__k").rowsBetween(Window.unboundedPreceding, 0))
+    hi = F.last("__v", ignorenulls=True).over(
+        part.orderBy(F.desc("__x"), F.desc("__k")).rowsBetween(Window.unboundedPreceding, -1))
     line = line.withColumns({"__lo": lo, "__hi": hi}).where("__k = 2")
     a, b = F.col("__lo"), F.col("__hi")
     span = F.nullif(b["x"] - a["x"], F.lit(0.0))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flareframe.functions import labels as L
-from flareframe.operators.ordered import micros, running, time_segment
+from flareframe.operators.ordered import interval, interval_micros, micros, running
 
 
 def normalise_events(df: DataFrame) -> DataFrame:
@@ -65,11 +65,12 @@ def worst_between(windows: DataFrame, events: DataFrame, keys: Sequence[str], lo
         .where(F.col("__sev") > 0)
     # one row per key, time and class is enough; this also thins repeated events
     evs = evs.groupBy(*keys, "__t", "__k").agg(F.max("__sev").alias("__sev"))
-    line = marks.unionByName(evs, allowMissingColumns=True)
+    line = marks.unionByName(evs, allowMissingColumns=True) \
+        .withColumn("__o", F.col("__t") * 2 + F.col("__k"))
     specs = {f"__n{s}": ("next", F.when(F.col("__sev") >= s, F.col("__t")))
              for s in range(1, top + 1)}
-    seg = F.floor(F.col("__t") / F.lit(_width(segment)))
-    out = running(line, keys, ["__t", "__k"], seg, **specs)
+    seg = F.floor(F.col("__t") / F.lit(interval_micros(segment)))
+    out = running(line, keys, ["__o"], seg, **specs)
     sev = F.lit(0)
     for s in range(1, top + 1):     # the worst class with an event in time wins
         n = F.col(f"__n{s}")
@@ -78,15 +79,9 @@ def worst_between(windows: DataFrame, events: DataFrame, keys: Sequence[str], lo
     return out.where(F.col("__hi").isNotNull()).select(*wcols, sev.alias(name))
 
 
-def _width(text: str) -> int:
-    from flareframe.operators.ordered import interval_micros
-    return interval_micros(text)
-
-
 def label_ahead(windows: DataFrame, events: DataFrame, keys: Sequence[str], t_end: str,
                 horizon: str, gap: str = "0 hours", name: str = "flare_class") -> DataFrame:
     """Highest event class in (t_end + gap, t_end + gap + horizon]."""
-    from flareframe.operators.ordered import interval
     lo = F.col(t_end) + interval(gap)
     out = worst_between(windows, events, keys, lo, lo + interval(horizon), closed_left=False,
                         name="__sev_ahead")
@@ -135,17 +130,15 @@ def history_channel(grid: DataFrame, events: DataFrame, keys: Sequence[str], ts:
         .agg(F.sum("x.d").alias("__d"))
     gcols = grid.columns
     marks = grid.withColumns({"__t": micros(ts), "__k": F.lit(1)})
-    line = marks.unionByName(edges, allowMissingColumns=True)
+    line = marks.unionByName(edges, allowMissingColumns=True) \
+        .withColumn("__o", F.col("__t") * 4 + F.col("__k"))
     levels = sorted(set(codes.values())) if encoding == "ordinal" else [1]
     specs = {f"__on{v}": ("sum", F.when(F.col("__v") == v, F.col("__d")).otherwise(0))
              for v in levels}
-    out = running(line, keys, ["__t", "__k"], F.floor(F.col("__t") / F.lit(_width(segment))),
+    out = running(line, keys, ["__o"], F.floor(F.col("__t") / F.lit(interval_micros(segment))),
                   **specs)
     hist = F.lit(0.0)
     for v in levels:
         hist = F.when(F.col(f"__on{v}") > 0, F.lit(float(v))).otherwise(hist)
     return out.where(F.col("__k") == 1).select(*gcols, hist.cast("float").alias(name))
 
-
-__all__ = ["normalise_events", "worst_between", "label_ahead", "events_within",
-           "no_event_at_least", "history_channel", "time_segment"]

@@ -85,10 +85,11 @@ def fill_linear(df: DataFrame, keys: Sequence[str], order: str, value: str,
     pos = F.col(order)
     known = F.when(v.isNotNull(), F.struct(pos.alias("p"), v.alias("v")))
     if segment is None:
-        w = Window.partitionBy(*keys).orderBy(order)
+        part, upto = Window.partitionBy(*keys), (Window.unboundedPreceding, 0)
         out = df.withColumns({
-            "__a": F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "__b": F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+            "__a": F.last(known, True).over(part.orderBy(order).rowsBetween(*upto)),
+            # the next value is the last one of the reversed order: one growing frame
+            "__b": F.last(known, True).over(part.orderBy(F.desc(order)).rowsBetween(*upto))})
     else:
         out = running(df, keys, [order], segment, __a=("last", known), __b=("next", known))
     a, b = F.col("__a"), F.col("__b")

@@ -97,16 +97,16 @@ def _key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn("__key", F.struct(*keys)), ["__key"]
 
 
-def _frame(kind: str, w):
-    if kind in ("sum", "last", "max"):
-        return w.rowsBetween(Window.unboundedPreceding, 0)
-    if kind == "prev":
-        return w.rowsBetween(Window.unboundedPreceding, -1)
-    if kind == "next":
-        return w.rowsBetween(0, Window.unboundedFollowing)
-    if kind == "following":
-        return w.rowsBetween(1, Window.unboundedFollowing)
-    raise ValueError(f"unknown running kind {kind!r}")
+_BACKWARD = ("next", "following")
+
+
+def _frame(kind: str, keys: Sequence[str], order: Sequence[str], whole_part: bool = False):
+    """Window of a running kind.  Frames that look ahead run over the reversed order:
+    a frame that grows is one pass, a frame that shrinks is quadratic in Spark."""
+    by = [F.desc_nulls_last(c) if kind in _BACKWARD else F.asc_nulls_first(c) for c in order]
+    w = Window.partitionBy(*keys).orderBy(*by)
+    exclusive = whole_part or kind in ("prev", "following")
+    return w.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
 
 
 def _over(kind: str, value: Column, w) -> Column:
@@ -114,9 +114,9 @@ def _over(kind: str, value: Column, w) -> Column:
         return F.sum(value).over(w)
     if kind == "max":
         return F.max(value).over(w)
-    if kind in ("last", "prev"):
-        return F.last(value, ignorenulls=True).over(w)
-    return F.first(value, ignorenulls=True).over(w)
+    if kind not in ("last", "prev", *_BACKWARD):
+        raise ValueError(f"unknown running kind {kind!r}")
+    return F.last(value, ignorenulls=True).over(w)
 
 
 def _total(kind: str, value: Column, order: Sequence[str]) -> Column:
@@ -144,29 +144,24 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: C
     """
     df, k = _key(df, keys)
     df = _with_segment(df, segment)
-    w = Window.partitionBy(*k, SEG).orderBy(*order)
-    local = df.withColumns({f"__l_{n}": _over(kind, v, _frame(kind, w))
+    local = df.withColumns({f"__l_{n}": _over(kind, v, _frame(kind, [*k, SEG], order))
                             for n, (kind, v) in specs.items()})
 
     totals = df.groupBy(*k, SEG).agg(
         *[_total(kind, v, order).alias(f"__t_{n}") for n, (kind, v) in specs.items()])
-    across = Window.partitionBy(*k).orderBy(SEG)
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    after = across.rowsBetween(1, Window.unboundedFollowing)
     carry = totals.select(*k, SEG, *[
-        _over(kind, F.col(f"__t_{n}"), after if kind in ("next", "following") else before)
-        .alias(f"__c_{n}") for n, (kind, _) in specs.items()])
+        _over(kind, F.col(f"__t_{n}"), _frame(kind, k, [SEG], whole_part=True)).alias(f"__c_{n}")
+        for n, (kind, _) in specs.items()])
 
     out = local.join(carry, [*k, SEG], "left")
-    for n, (kind, _) in specs.items():
+
+    def joined(n: str, kind: str) -> Column:
         loc, car = F.col(f"__l_{n}"), F.col(f"__c_{n}")
         if kind == "sum":
-            val = F.when(car.isNull(), loc).otherwise(F.coalesce(loc, F.lit(0)) + car)
-        elif kind == "max":
-            val = F.greatest(loc, car)
-        else:
-            val = F.coalesce(loc, car)
-        out = out.withColumn(n, val)
+            return F.when(car.isNull(), loc).otherwise(F.coalesce(loc, F.lit(0)) + car)
+        return F.greatest(loc, car) if kind == "max" else F.coalesce(loc, car)
+
+    out = out.withColumns({n: joined(n, kind) for n, (kind, _) in specs.items()})
     drop = [SEG, *k] + [f"__{p}_{n}" for n in specs for p in "lc"]
     return out.drop(*drop)
 

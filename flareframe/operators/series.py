@@ -31,33 +31,35 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
     k = list(keys) or ["__one"]
     d = df.select(*(keys or [F.lit(1).alias("__one")]), v.alias("__v")).where(F.col("__v").isNotNull())
     half = 4.0 / accuracy
-    b = materialise(d.groupBy(*k).agg(
-        F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__mn"), F.max("__v").alias("__mx"),
-        F.percentile_approx("__v", F.array(F.lit(0.5 - half), F.lit(0.5 + half)),
-                            F.lit(accuracy)).alias("__q")))
-    b = b.withColumn("__r1", F.floor((F.col("__n") + 1) / 2)) \
-        .withColumn("__r2", F.floor(F.col("__n") / 2) + 1)
-    inside = (F.col("__v") >= F.col("__q")[0]) & (F.col("__v") <= F.col("__q")[1])
-    counts = d.join(side(b.select(*k, "__q")), k).groupBy(*k).agg(
-        F.count_if(F.col("__v") < F.col("__q")[0]).alias("__below"), F.count_if(inside).alias("__in"))
-    hit = (F.col("__below") < F.col("__r1")) & (F.col("__below") + F.col("__in") >= F.col("__r2"))
-    b = materialise(b.join(counts, k).select(
-        *k, "__r1", "__r2", F.when(hit, F.col("__q")[0]).otherwise(F.col("__mn")).alias("__lo"),
-        F.when(hit, F.col("__q")[1]).otherwise(F.col("__mx")).alias("__hi"),
-        F.when(hit, F.col("__below")).otherwise(F.lit(0)).alias("__base")))
-    # map-side counting folds repeated values before the shuffle
-    vals = (d.join(side(b.select(*k, "__lo", "__hi")), k)
-            .where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
-            .groupBy(*k, "__v", "__lo", "__hi").agg(F.count(F.lit(1)).alias("__c")))
-    # values are spread evenly over a bracket this narrow
+    b = d.groupBy(*k).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__mn"),
+                          F.max("__v").alias("__mx"), F.percentile_approx(
+        "__v", F.array(F.lit(0.5 - half), F.lit(0.5 + half)), F.lit(accuracy)).alias("__q"))
+    b = materialise(b.select(*k, "__mn", "__mx", F.col("__q")[0].alias("__lo"), F.col("__q")[1].alias("__hi"),
+                             F.floor((F.col("__n") + 1) / 2).alias("__r1"),
+                             (F.floor(F.col("__n") / 2) + 1).alias("__r2")))
+
+    def counted(b: DataFrame) -> DataFrame:
+        """Rows below the bracket as one count, inside it one count per distinct value."""
+        m = d.join(side(b.select(*k, "__lo", "__hi")), k).where(F.col("__v") <= F.col("__hi"))
+        inside = F.when(F.col("__v") >= F.col("__lo"), F.col("__v"))
+        return materialise(m.groupBy(*k, inside.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+                           .join(side(b), k))
+
+    t = counted(b)
+    got = t.groupBy(*k).agg(F.sum("__c").alias("__to"), F.max("__r1").alias("__r1"), F.max("__r2").alias("__r2"),
+                            F.coalesce(F.sum(F.when(F.col("__v").isNull(), F.col("__c"))), F.lit(0)).alias("__base"))
+    missed = b.join(got.where("__base < __r1 AND __to >= __r2").select(*k), k, "left_anti").select(*k)
+    if missed.take(1):
+        wide = b.join(missed.withColumn("__m", F.lit(True)), k, "left")
+        t = counted(wide.withColumn("__lo", F.when(F.col("__m"), F.col("__mn")).otherwise(F.col("__lo")))
+                    .withColumn("__hi", F.when(F.col("__m"), F.col("__mx")).otherwise(F.col("__hi"))).drop("__m"))
+    # the row of the counts below sorts first; values spread evenly over a bracket this narrow
     slice_ = (F.col("__v") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
-    cum = running(vals, k, ["__v"], F.floor(F.coalesce(slice_, F.lit(0.0)) * 256),
-                  __cum=("sum", F.col("__c")))
-    cum = cum.join(side(b.select(*k, "__r1", "__r2", "__base")), k) \
-        .withColumn("__to", F.col("__base") + F.col("__cum"))
+    seg = F.when(F.col("__v").isNull(), F.lit(-1)).otherwise(F.floor(F.coalesce(slice_, F.lit(0.0)) * 256))
+    cum = running(t, k, ["__v"], seg, __cum=("sum", F.col("__c")))
 
     def at(r: str) -> Column:
-        return F.min(F.when(F.col("__to") >= F.col(r), F.col("__v")))
+        return F.min(F.when(F.col("__cum") >= F.col(r), F.col("__v")))
 
     out = cum.groupBy(*k).agg(((at("__r1") + at("__r2")) / 2).alias(name))
     return out.select(*keys, name)

@@ -53,7 +53,7 @@ def ordinal_pos_weight(df: DataFrame, y: str, k: int, clip: float | None = None,
                        eps: float = 1e-12) -> DataFrame:
     """Per threshold t = 1..K-1: rows below / rows at or above."""
     c = class_counts(df, y, k)
-    ge = F.sum("n").over(whole().orderBy("y").rowsBetween(0, Window.unboundedFollowing))
+    ge = F.sum("n").over(whole().orderBy(F.desc("y")).rowsBetween(Window.unboundedPreceding, 0))
     c = c.withColumn("n_pos", ge).withColumn("n_neg", F.sum("n").over(whole()) - F.col("n_pos"))
     w = F.col("n_neg") / F.greatest(F.col("n_pos"), F.lit(eps))
     if clip is not None:

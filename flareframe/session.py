@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,21 +35,27 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into reliable storage and read it from there.
+    """Compute ``df`` once into a table in the shared folder and read it from there.
 
     For small derived tables (counts per group, fitted statistics) that a plan
-    uses several times.  The files go to the cluster's ``spark.checkpoint.dir``
-    and survive lost executors; only without that setting (tests, one machine)
-    a local folder is used.
+    uses several times.  Written files cut the lineage and survive lost executors.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_local: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is named."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) \
-        or spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="flareframe-")
+    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where
+    none is named (tests, one machine)."""
+    global _local
+    named = spark.conf.get("spark.checkpoint.dir", None) \
+        or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if _local is None:
+        _local = tempfile.mkdtemp(prefix="flareframe-")
+    return _local
