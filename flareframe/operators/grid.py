@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flareframe.functions.arrays import field_of, is_finite, nan_to_null
-from flareframe.operators.ordered import (interval, interval_micros, micros, running,
+from flareframe.operators.ordered import (interval_micros, micros, number_rows, running,
                                           time_segment)
 
 DAY = 86_400_000_000
@@ -181,22 +181,20 @@ def coverage(valid: Column, present: Column, expected: int | None = None,
 
 
 def columns_to_arrays(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
-                      part: str = "30 days") -> DataFrame:
-    """One record of column arrays per series and ``part`` of time, in time order.
+                      max_points: int = 1_000_000) -> DataFrame:
+    """One record of column arrays per series, in time order.
 
-    NaN becomes null and times become text.  A series longer than one part
-    gives several records (column ``part``), so no record grows without bound.
+    NaN becomes null and times become text.  A series longer than
+    ``max_points`` gives several records (column ``part``, 0-based), so no
+    record and no task grows without bound.
     """
-    p = df.withColumn("part", time_segment(ts, part))
-    vals = [F.col(ts)] + [nan_to_null(F.col(c)).alias(c)
-                          if dict(df.dtypes)[c] in ("double", "float") else F.col(c) for c in cols]
+    types = dict(df.dtypes)
+    p = number_rows(df.select(*keys, ts, *cols), keys, [ts, *cols], time_segment(ts), "__rn")
+    p = p.withColumn("part", F.floor((F.col("__rn") - 1) / max_points))
+    vals = [F.col("__rn"), F.col(ts)] + [
+        nan_to_null(F.col(c)).alias(c) if types[c] in ("double", "float") else F.col(c) for c in cols]
     arr = (p.groupBy(*keys, "part")
            .agg(F.array_sort(F.collect_list(F.struct(*vals))).alias("__a")))
     stamp = F.transform("__a", lambda x: F.date_format(x[ts], "yyyy-MM-dd'T'HH:mm:ss"))
     return arr.select(*keys, "part", F.size("__a").cast("long").alias("n_points"), stamp.alias(ts),
                       *[field_of("__a", c).alias(c) for c in cols])
-
-
-__all__ = ["bin_start", "make_grid", "resample_mean", "align", "first_per_day", "fill_linear",
-           "day_windows", "window_points", "valid_background", "flux_ratio", "skip_years",
-           "skip_ranges", "in_month_ranges", "coverage", "columns_to_arrays", "interval"]

@@ -131,7 +131,7 @@ def keep_plan(sizes: DataFrame, seed: int, label: str = "label", group: str = "a
          .withColumn("__w", F.when(~F.col("__many"), F.col("size").cast("double"))
                      .when(F.col("__remsum") > 0, F.col("__rem")).otherwise(F.col("__res")))
          .withColumn("__gid", F.concat_ws(":", F.col(label), F.col(group).cast("string"))))
-    p = rank_weighted(p, [label], "__gid", "__w", seed)
+    p = rank_weighted(materialise(p), [label], "__gid", "__w", seed)
     keep = F.when(F.col("__many"), F.least(
         F.col("size"), 1 + F.col("__fl")
         + F.when((F.col("__resum") > 0) & (F.col("rk") <= F.col("__left")), 1).otherwise(0))) \
@@ -285,16 +285,15 @@ def weighted_bootstrap(df: DataFrame, id: str, w: str, n: int, seed: int,
     draw j lands at u_j times the total; rows and draws meet on one sorted
     line instead of a range join.
     """
-    from flareframe.operators.ordered import with_quantile_segment as by_quantile
-    spark = df.sparkSession
     wt = F.greatest(F.coalesce(F.col(w).cast("double"), F.lit(0.0)), F.lit(0.0))
-    cum = running(by_quantile(df, id, 256), [], [id], F.col("__qseg"), __cum=("sum", wt)) \
+    cum = running(with_quantile_segment(df, id, 256), [], [id], F.col("__qseg"), __cum=("sum", wt)) \
         .drop("__qseg").withColumn("__at", F.col("__cum") - wt).where(wt > 0)
     total = df.agg(F.sum(wt)).scalar()
-    draws = spark.range(1, n + 1).select(F.col("id").alias("draw")).withColumn(
+    draws = df.sparkSession.range(1, n + 1).select(F.col("id").alias("draw")).withColumn(
         "__at", uniform(seed, "draw") * total).withColumn("__k", F.lit(1))
     line = cum.select(F.struct(*df.columns).alias("__row"), "__at", F.lit(0).alias("__k")) \
         .unionByName(draws, allowMissingColumns=True)
-    line = by_quantile(line, "__at", segments)
-    out = running(line, [], ["__at", "__k"], F.col("__qseg"), __pick=("last", F.col("__row")))
+    # draws are uniform over the total and rows cover it: equal slices are balanced
+    out = running(line, [], ["__at", "__k"], uniform_segment(F.col("__at") / total, segments),
+                  __pick=("last", F.col("__row")))
     return out.where(F.col("__k") == 1).select("draw", "__pick.*")

@@ -246,3 +246,25 @@ def _(spark, sf):
     low = F.when(F.col("background") > 150, F.col("background") - 150).otherwise(F.lit(float("nan")))
     return bg.where(G.valid_background(low)).select(
         "satellite", F.col("date").cast("string").alias("day"), "background")
+
+
+@query("a01_resample_stream", f"""WITH {FLUX} SELECT satellite, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS t, round(avg(flux), 8) AS flux FROM flux GROUP BY 1, 2""")
+def _(spark, sf):
+    import uuid
+
+    from flareframe.queries.inputs import table
+    from flareframe.session import shared_dir
+    from flareframe.streaming.resample import resample_stream
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(table(spark, sf, "events").schema) \
+        .option("pathGlobFilter", "events.parquet").parquet(sf)
+    live = events.select(F.col("event_type").alias("satellite"), "ts", F.col("value").alias("flux"))
+
+    def sink(batch, _):
+        batch.write.mode("overwrite").parquet(f"{out}/bins")
+
+    q = resample_stream(live, KEY, "ts", "flux", "1 hour").writeStream.outputMode("complete") \
+        .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(sink).start()
+    q.awaitTermination()
+    d = spark.read.parquet(f"{out}/bins")
+    return d.select("satellite", stamp("ts").alias("t"), r6("flux", 8).alias("flux"))

@@ -167,12 +167,11 @@ def _(spark, sf):
     return d.select("ar", stamp("t_start").alias("t"))
 
 
-@query("s11_columns_to_arrays", """WITH e AS (SELECT event_type AS satellite, CAST(floor(epoch(ts) / 864000) AS BIGINT) AS part, ts, value,
-  row_number() OVER (PARTITION BY event_type, CAST(floor(epoch(ts) / 864000) AS BIGINT) ORDER BY ts, value) - 1 AS pos FROM events)
-SELECT satellite, part, pos, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS t, CASE WHEN value < 200 THEN value END AS flux FROM e""")
+@query("s11_columns_to_arrays", """WITH e AS (SELECT event_type AS satellite, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, CASE WHEN value < 200 THEN value ELSE 'nan'::DOUBLE END) - 1 AS i FROM events)
+SELECT satellite, i // 700 AS part, i % 700 AS pos, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS t, CASE WHEN value < 200 THEN value END AS flux FROM e""")
 def _(spark, sf):
     f = flux(spark, sf).withColumn("flux", F.when(F.col("flux") < 200, F.col("flux"))
                                    .otherwise(F.lit(float("nan"))))
-    d = columns_to_arrays(f, ["satellite"], "ts", ["flux"], "10 days")
+    d = columns_to_arrays(f, ["satellite"], "ts", ["flux"], 700)
     return d.select("satellite", "part", F.posexplode(F.arrays_zip("ts", "flux")).alias("pos", "z")).select(
         "satellite", "part", F.col("pos").cast("long").alias("pos"), F.col("z.ts").alias("t"), F.col("z.flux").alias("flux"))

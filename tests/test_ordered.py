@@ -62,11 +62,21 @@ def test_quantile_segments_are_monotone(spark):
     assert max(r["n"] for r in s) < 3000 / 4
 
 
-def test_materialise_goes_to_the_named_folder(spark, tmp_path):
-    from flareframe.session import materialise
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert materialise(spark.range(5)).count() == 5
-        assert any(tmp_path.iterdir())
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_materialise_goes_to_the_named_folder(spark, tmp_path, monkeypatch):
+    from flareframe import session
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    assert session.materialise(spark.range(5)).count() == 5
+    assert any(tmp_path.iterdir())
+
+
+def test_shared_folder_comes_from_the_session():
+    from flareframe.session import shared_dir
+
+    class Conf:
+        def get(self, key, default):
+            return "/shared/run/" if key == "spark.checkpoint.dir" else default
+
+    class Session:
+        conf = Conf()
+
+    assert shared_dir(Session()) == "/shared/run"
