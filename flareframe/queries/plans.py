@@ -25,11 +25,11 @@ WIN = f"""{HOURLY}, {BACKGROUND}, {STRONG}, w0 AS (SELECT satellite, background,
 w1 AS (SELECT *, s + INTERVAL 24 HOUR AS e FROM w0),
 hist AS (SELECT t.ts, max(CASE WHEN x.id IS NULL THEN 0 ELSE x.sev END) AS hist FROM (SELECT DISTINCT ts FROM hourly) t LEFT JOIN strong x ON t.ts >= x.a AND t.ts <= x.b GROUP BY 1),
 pt AS (SELECT w1.satellite, s, background, h.ts, h.flux, hist.hist, date_diff('hour', s, h.ts) AS pos FROM w1 JOIN hourly h ON h.satellite = w1.satellite AND h.ts >= s AND h.ts < e JOIN hist ON hist.ts = h.ts),
-k AS (SELECT *, last_value(CASE WHEN flux IS NOT NULL THEN pos END IGNORE NULLS) OVER a AS p0, last_value(flux IGNORE NULLS) OVER a AS v0,
+k AS (SELECT *, row_number() OVER (PARTITION BY satellite, s ORDER BY ts) AS rk, last_value(CASE WHEN flux IS NOT NULL THEN pos END IGNORE NULLS) OVER a AS p0, last_value(flux IGNORE NULLS) OVER a AS v0,
   first_value(CASE WHEN flux IS NOT NULL THEN pos END IGNORE NULLS) OVER b AS p1, first_value(flux IGNORE NULLS) OVER b AS v1 FROM pt
   WINDOW a AS (PARTITION BY satellite, s ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY satellite, s ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 ra AS (SELECT *, CAST(CASE WHEN flux IS NOT NULL THEN flux WHEN p0 IS NULL THEN v1 WHEN p1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (CAST(pos - p0 AS DOUBLE) / (p1 - p0)) END / background AS FLOAT) AS ratio FROM k),
-ag AS (SELECT satellite, s, count(*) AS n_points, count(flux) AS n_valid, sum(CAST(ratio AS DOUBLE) * (pos + 1)) AS check_ratio, sum(hist * (pos + 1)) AS check_hist FROM ra GROUP BY 1, 2),
+ag AS (SELECT satellite, s, count(*) AS n_points, count(flux) AS n_valid, sum(CAST(ratio AS DOUBLE) * rk) AS check_ratio, sum(hist * rk) AS check_hist FROM ra GROUP BY 1, 2),
 lb AS (SELECT w1.satellite, s, max(CASE WHEN t_occ > e + INTERVAL 2 HOUR AND t_occ <= e + INTERVAL 26 HOUR THEN sev END) AS ahead, max(CASE WHEN t_occ >= s AND t_occ <= e THEN sev END) AS inside FROM w1 LEFT JOIN strong ON t_occ >= s AND t_occ <= e + INTERVAL 26 HOUR GROUP BY 1, 2),
 fw AS (SELECT w1.satellite, w1.s, w1.e, coalesce(n_points, 0) AS n_points, CASE WHEN coalesce(CAST(n_valid AS DOUBLE) / n_points, 0) < 0.85 THEN 'coverage' WHEN inside >= 5 THEN 'event' ELSE 'ok' END AS reason,
   CASE ahead WHEN 5 THEN 'X' WHEN 4 THEN 'M' WHEN 3 THEN 'C' ELSE 'NONE' END AS label, check_ratio, check_hist FROM w1 LEFT JOIN ag USING (satellite, s) LEFT JOIN lb USING (satellite, s))"""

@@ -206,7 +206,7 @@ def _(spark, sf):
 
 
 @query("p22_series_times", """WITH s AS (SELECT o_orderkey AS id, o_orderdate AS t0, CAST(o_orderkey % 4 AS BIGINT) AS n FROM orders)
-SELECT id, k AS pos, strftime(t0 + to_minutes(12 * k), '%Y-%m-%d %H:%M:%S') AS t FROM s, (SELECT unnest([0, 1, 2]) AS k) q WHERE k < n""")
+SELECT id, CAST(k AS BIGINT) AS pos, strftime(t0 + to_minutes(12 * k), '%Y-%m-%d %H:%M:%S') AS t FROM s, (SELECT unnest([0, 1, 2]) AS k) q WHERE k < n""")
 def _(spark, sf):
     o = table(spark, sf, "orders")
     t = N.series_times(F.col("o_orderdate"), F.col("o_orderkey") % 4, "12 minutes")
