@@ -124,7 +124,7 @@ def _ranked(df: DataFrame, p: str, y: str, by: Sequence[str]) -> DataFrame:
     pos = F.col(y).cast("long")
     d = df.where(F.col(p).isNotNull()).groupBy(*by, (-F.col(p)).alias("__s")).agg(
         F.sum(pos).alias("t"), F.sum(1 - pos).alias("f"))
-    d = with_quantile_segment(d, "__s", 256)
+    d = with_quantile_segment(d, "__s")
     return running(d, by, ["__s"], F.col("__qseg"), ct=("sum", F.col("t")), cf=("sum", F.col("f")))
 
 

@@ -89,7 +89,7 @@ def chunked_expected_score(df: DataFrame, order: str, chunk: int, probs: str, y:
                            score: str = "tss", add_constant: bool = False) -> DataFrame:
     """Mean of the losses of consecutive chunks of ``chunk`` rows in ``order``."""
     from flareframe.operators.ordered import number_rows, with_quantile_segment
-    d = with_quantile_segment(df.select(order, probs, y), order, 256)
+    d = with_quantile_segment(df.select(order, probs, y), order)
     d = number_rows(d, [], [order], F.col("__qseg"), "__rn")
     d = d.withColumn("chunk", F.floor((F.col("__rn") - 1) / chunk))
     return expected_score(d, probs, y, score, by=["chunk"], add_constant=add_constant) \

@@ -57,21 +57,30 @@ def interval(text: str) -> Column:
     return F.expr(f"INTERVAL '{interval_micros(text) / 1e6:.6f}' SECOND")
 
 
-def uniform_segment(u: str | Column, n: int = 1024) -> Column:
-    """Segment id of a value spread over [0, 1]: ``n`` equal slices."""
+def segment_count(df: DataFrame) -> int:
+    """How many segments to cut into: several per shuffle partition, so that even a key
+    with most of the rows spreads over all tasks.  A power of two."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 1 << max(5, (4 * partitions - 1).bit_length())
+
+
+def uniform_segment(df: DataFrame, u: str | Column) -> Column:
+    """Segment id of a value spread over [0, 1]: equal slices."""
+    n = segment_count(df)
     c = F.col(u) if isinstance(u, str) else u
     return F.least(F.greatest(F.floor(c * n), F.lit(0)), F.lit(n - 1))
 
 
-def with_quantile_segment(df: DataFrame, value: str, n: int = 1024,
+def with_quantile_segment(df: DataFrame, value: str, n: int | None = None,
                           name: str = "__qseg") -> DataFrame:
-    """Add a segment id from approximate quantiles of ``value``.
+    """Add a segment id from approximate quantiles of ``value`` (a number or time).
 
     Balanced whatever the distribution; the bounds need not be exact because
     any monotone cut is valid.  The ``n - 1`` bounds come from one mergeable
     sketch as a scalar subquery and are searched by bisection (log2 n
     comparisons per row).
     """
+    n = n or segment_count(df)
     if n & (n - 1):
         raise ValueError("n must be a power of two")
     probs = F.array(*[F.lit(i / n) for i in range(1, n)])

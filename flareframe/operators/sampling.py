@@ -26,10 +26,10 @@ def uniform(seed: int | str, *ids: Column | str) -> Column:
 
 
 def rank_uniform(df: DataFrame, keys: Sequence[str], id: str, seed: int | str, name: str = "rk",
-                 slices: int = 1024, attach: DataFrame | None = None) -> DataFrame:
+                 attach: DataFrame | None = None) -> DataFrame:
     """Random rank 1, 2, ... of each row inside its group; ``attach`` as in ``number_rows``."""
     df = df.withColumn("__u", uniform(seed, id))
-    return number_rows(df, keys, ["__u", id], uniform_segment("__u", slices), name,
+    return number_rows(df, keys, ["__u", id], uniform_segment(df, "__u"), name,
                        attach).drop("__u")
 
 
@@ -53,10 +53,10 @@ def weighted_key(seed: int | str, id: str, w: Column) -> Column:
 
 
 def rank_weighted(df: DataFrame, keys: Sequence[str], id: str, w: str, seed: int | str,
-                  name: str = "rk", segments: int = 256) -> DataFrame:
+                  name: str = "rk") -> DataFrame:
     """Weighted random rank inside each group."""
     df = df.withColumn("__e", weighted_key(seed, id, F.col(w).cast("double")))
-    df = with_quantile_segment(df, "__e", segments)
+    df = with_quantile_segment(df, "__e")
     return number_rows(df, keys, ["__e", id], F.col("__qseg"), name).drop("__e", "__qseg")
 
 
@@ -277,8 +277,7 @@ def expand(df: DataFrame, n: str, name: str, chunk: int = 100_000) -> DataFrame:
         F.col("__c") + 1, F.least(F.col("__c") + chunk, F.col(n).cast("long"))))).drop("__c")
 
 
-def weighted_bootstrap(df: DataFrame, id: str, w: str, n: int, seed: int,
-                       segments: int = 1024) -> DataFrame:
+def weighted_bootstrap(df: DataFrame, id: str, w: str, n: int, seed: int) -> DataFrame:
     """``n`` rows drawn with replacement, probability proportional to ``w``: adds ``draw``.
 
     Rows own consecutive intervals of the cumulative weight (in id order) and
@@ -286,7 +285,7 @@ def weighted_bootstrap(df: DataFrame, id: str, w: str, n: int, seed: int,
     line instead of a range join.
     """
     wt = F.greatest(F.coalesce(F.col(w).cast("double"), F.lit(0.0)), F.lit(0.0))
-    cum = running(with_quantile_segment(df, id, 256), [], [id], F.col("__qseg"), __cum=("sum", wt)) \
+    cum = running(with_quantile_segment(df, id), [], [id], F.col("__qseg"), __cum=("sum", wt)) \
         .drop("__qseg").withColumn("__at", F.col("__cum") - wt).where(wt > 0)
     total = df.agg(F.sum(wt)).scalar()
     draws = df.sparkSession.range(1, n + 1).select(F.col("id").alias("draw")).withColumn(
@@ -294,6 +293,6 @@ def weighted_bootstrap(df: DataFrame, id: str, w: str, n: int, seed: int,
     line = cum.select(F.struct(*df.columns).alias("__row"), "__at", F.lit(0).alias("__k")) \
         .unionByName(draws, allowMissingColumns=True)
     # draws are uniform over the total and rows cover it: equal slices are balanced
-    out = running(line, [], ["__at", "__k"], uniform_segment(F.col("__at") / total, segments),
+    out = running(line, [], ["__at", "__k"], uniform_segment(line, F.col("__at") / total),
                   __pick=("last", F.col("__row")))
     return out.where(F.col("__k") == 1).select("draw", "__pick.*")

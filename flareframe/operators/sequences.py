@@ -41,7 +41,7 @@ def unsorted(df: DataFrame, keys: Sequence[str], ts: str, order: str,
              block: int = BLOCK_ROWS) -> DataFrame:
     """Rows whose time is not strictly after the row before it in ``order``."""
     from flareframe.operators.ordered import with_quantile_segment
-    n = with_quantile_segment(df, order, 256)
+    n = with_quantile_segment(df, order)
     n = number_rows(n, keys, [order], F.col("__qseg")).drop("__qseg")
     n = with_context(n, before=1, block=block)
     out = home(n.withColumn("prev_ts", F.lag(ts).over(block_window(keys))))

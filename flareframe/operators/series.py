@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flareframe.functions.arrays import is_finite, let, log_stretch, nan_to_null, zero_nonfinite
-from flareframe.operators.ordered import running
+from flareframe.operators.ordered import running, uniform_segment
 from flareframe.session import materialise
 
 MAD_FACTOR = 1.4826     # fixed value: MAD of a normal distribution to its standard deviation
@@ -55,7 +55,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
                     .withColumn("__hi", F.when(F.col("__m"), F.col("__mx")).otherwise(F.col("__hi"))).drop("__m"))
     # the row of the counts below sorts first; values spread evenly over a bracket this narrow
     slice_ = (F.col("__v") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
-    seg = F.when(F.col("__v").isNull(), F.lit(-1)).otherwise(F.floor(F.coalesce(slice_, F.lit(0.0)) * 256))
+    seg = F.when(F.col("__v").isNull(), F.lit(-1)).otherwise(uniform_segment(t, F.coalesce(slice_, F.lit(0.0))))
     cum = running(t, k, ["__v"], seg, __cum=("sum", F.col("__c")))
 
     def at(r: str) -> Column:

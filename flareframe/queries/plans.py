@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from flareframe.operators import grid as G
 from flareframe.plans import clip_dataset, datasets, flux_windows, verification
-from flareframe.queries.inputs import (BACKGROUND, CLASS_SQL, HOURLY, SEV_SQL, background, flare_events, flux,
+from flareframe.queries.inputs import (BACKGROUND, CLASS_SQL, HOURLY, SCORES, SEV_SQL, background, flare_events, flux,
                                        frames, r6, scores, stamp, table)
+from flareframe.queries.metrics import B2, curve_sql, rates_sql
 from flareframe.queries.registry import query
 from flareframe.queries.sequences import CLIPS, T, clips
 
@@ -114,10 +115,19 @@ def _(spark, sf):
     return d.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ar").alias("n_groups"))
 
 
-@query("e3_verification")
+# the same scores through a logistic curve, as single logits
+LOGISTIC = SCORES.replace("scores AS", "s0 AS", 1) + ", scores AS (SELECT id, 1 / (1 + exp(-(8 * p - 4))) AS p, y, run FROM s0)"
+KEPT = ["accuracy", "tpr", "tnr", "ppv", "tss", "hss", "gss", "mcc", "apss", "bss", "tss_expected_average",
+        "threshold_at_best_tss", "threshold_at_best_f1", "threshold_at_best_mcc"]
+
+
+@query("e3_verification", f"""WITH {LOGISTIC}, {B2[len(SCORES) + 2:]}, {rates_sql('b')}, {curve_sql(1001)},
+m AS (SELECT avg((p - y) * (p - y)) AS mse, avg(y) AS o, sum(y * p) / sum(y) + sum((1 - y) * (1 - p)) / sum(1 - y) - 1 AS ex FROM scores),
+u AS (SELECT unnest(['accuracy', 'tpr', 'tnr', 'ppv', 'tss', 'hss', 'gss', 'mcc', 'apss']) AS metric, unnest([acc, tpr, tnr, ppv, tss, hss, gss, mcc, apss]) AS value FROM sk
+UNION ALL SELECT 'bss', 1 - mse / (o * (1 - o)) FROM m UNION ALL SELECT 'tss_expected_average', ex FROM m
+UNION ALL (SELECT 'threshold_at_best_tss', threshold FROM cv ORDER BY tss DESC, tick LIMIT 1) UNION ALL (SELECT 'threshold_at_best_f1', threshold FROM cv ORDER BY f1 DESC, tick LIMIT 1)
+UNION ALL (SELECT 'threshold_at_best_mcc', threshold FROM cv ORDER BY mcc DESC, tick LIMIT 1)) SELECT metric, round(value, 6) + 0.0 AS value FROM u""")
 def _(spark, sf):
     d = scores(spark, sf).withColumn("lg", F.array(F.col("p") * 8 - 4))
     v = verification.verify(d, "lg", "y", ["NONE", "M+"], 0.4)
-    return v.withColumn("value", r6("value"))
-
-
+    return v.where(F.col("metric").isin(*KEPT)).withColumn("value", r6("value"))

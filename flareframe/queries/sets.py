@@ -16,6 +16,12 @@ def grouped(spark, sf, mode="cumulative"):
                          {"train": 70, "cv": 15, "test": 15}, 42, mode=mode)
 
 
+@query("j07_semi_join", "SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def _(spark, sf):
+    allow = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("ar"))
+    return orders_items(spark, sf).join(allow, "ar", "left_semi").select("id")
+
+
 @query("j08_compare_composition", f"""WITH {GROUPED},
 a AS (SELECT split, label, count(*) AS n FROM oi WHERE NOT (split = 'cv' AND label = 'X') GROUP BY 1, 2),
 b AS (SELECT split, label, count(*) AS n FROM ni WHERE NOT (split = 'test' AND label = 'C') GROUP BY 1, 2)
