@@ -41,7 +41,7 @@ def log_softmax(a: Column) -> Column:
 
 def argmax(a: Column) -> Column:
     """0-based position of the maximum, first on ties."""
-    return (F.array_position(a, F.array_max(a)) - 1).cast("int")
+    return let(a, lambda x: (F.array_position(x, F.array_max(x)) - 1).cast("int"))
 
 
 def binary_class(p: Column, threshold: float = 0.5) -> Column:

@@ -128,19 +128,23 @@ def _ranked(df: DataFrame, p: str, y: str, by: Sequence[str]) -> DataFrame:
     return running(d, by, ["__s"], F.col("__qseg"), ct=("sum", F.col("t")), cf=("sum", F.col("f")))
 
 
-def roc_auc(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Area under the ROC curve, ties counted half; null with a single class."""
+def ranking_scores(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """ROC area (ties counted half; null with a single class) and average precision
+    (sum of recall steps times precision) from one ranking."""
     d = _ranked(df, p, y, by)
     area = F.sum(F.col("f") * (F.col("ct") - F.col("t") / 2.0))
     both = F.sum("t").cast("double") * F.sum("f").cast("double")
-    return d.groupBy(*by).agg(F.try_divide(area, both).alias("auc"))
+    ap = F.sum(F.col("t") * (F.col("ct") / (F.col("ct") + F.col("cf"))))
+    return d.groupBy(*by).agg(F.try_divide(area, both).alias("auc"),
+                              F.try_divide(ap, F.sum("t").cast("double")).alias("ap"))
+
+
+def roc_auc(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    return ranking_scores(df, p, y, by).select(*by, "auc")
 
 
 def average_precision(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Sum of recall steps times precision."""
-    d = _ranked(df, p, y, by)
-    ap = F.sum(F.col("t") * (F.col("ct") / (F.col("ct") + F.col("cf"))))
-    return d.groupBy(*by).agg(F.try_divide(ap, F.sum("t").cast("double")).alias("ap"))
+    return ranking_scores(df, p, y, by).select(*by, "ap")
 
 
 def interp_to_grid(curves: DataFrame, run: str, x: str, ys: Sequence[str],

@@ -76,13 +76,20 @@ def expected_score(df: DataFrame, probs: str, y: str, score: str = "tss",
                    by: Sequence[str] = (), add_constant: bool = False) -> DataFrame:
     """Expected score averaged over classes (or weighted by their negatives), and the
     loss -score (+1 with ``add_constant``)."""
+    c = expected_confusion(df, probs, y, by, prior, mu, delta)
+    return class_mean(c, score, mode, by).withColumn(
+        "loss", -F.col("score") + (1.0 if add_constant else 0.0))
+
+
+def class_mean(counts: DataFrame, score: str, mode: str = "average",
+               by: Sequence[str] = ()) -> DataFrame:
+    """Mean over classes of a score of expected counts, plain or weighted by negatives."""
     if mode not in ("average", "weighted"):
         raise ValueError("mode is 'average' or 'weighted'")
-    c = expected_confusion(df, probs, y, by, prior, mu, delta).withColumn("__s", score_of(score))
+    c = counts.withColumn("__s", score_of(score))
     val = (F.avg("__s") if mode == "average"
            else F.sum(F.col("__s") * F.col("negatives")) / F.sum("negatives"))
-    return c.groupBy(*by).agg(val.alias("score")).withColumn(
-        "loss", -F.col("score") + (1.0 if add_constant else 0.0))
+    return c.groupBy(*by).agg(val.alias("score"))
 
 
 def chunked_expected_score(df: DataFrame, order: str, chunk: int, probs: str, y: str,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from flareframe.functions import scores as S
 from flareframe.functions.labels import lookup
 from flareframe.operators.ordered import whole
+from flareframe.session import materialise
 
 
 
@@ -171,7 +172,7 @@ def summary_metrics(df: DataFrame, y: str, yhat: str, k: int, eps: float = 1e-12
     Two classes give the positive class's scores; more give per-class means
     (macro, weighted) and micro scores.
     """
-    cm = confusion(df, y, yhat, k)
+    cm = materialise(confusion(df, y, yhat, k))     # K*K rows: the data is read once
     sc = skill_scores(one_vs_rest(cm), eps)
     acc = cm.agg((F.sum(F.when(F.col("y") == F.col("yhat"), F.col("n")).otherwise(0))
                   / F.nullif(F.sum("n"), F.lit(0))).alias("accuracy"))

@@ -11,6 +11,7 @@ from flareframe.functions import decode as D
 from flareframe.functions import scores as S
 from flareframe.operators import curves as C
 from flareframe.operators import metrics as M
+from flareframe.session import materialise
 
 
 def hamming_score(df: DataFrame, y: str, yhat: str, empty_as_one: bool = True) -> DataFrame:
@@ -42,7 +43,7 @@ def multilabel_metrics(df: DataFrame, y: str, logits: str, threshold: float = 0.
     d = df.select(F.col(y).cast("array<int>").alias("y"), D.multilabel_flags(
         F.col(logits).cast("array<double>"), threshold).alias("yhat"))
     rows = d.agg(F.avg((F.col("y") == F.col("yhat")).cast("double")).alias("accuracy"))
-    lc = label_counts(d, "y", "yhat")
+    lc = materialise(label_counts(d, "y", "yhat"))      # one row per label
     p = M.per_class_f1(lc)
     w = F.col("support")
     tp, fp, fn, tn = (F.sum(c) for c in ("tp", "fp", "fn", "tn"))
@@ -86,8 +87,7 @@ def boundary_scores(df: DataFrame, y: str, logits: str) -> DataFrame:
     d = df.select(F.col(y).alias("__y"), F.posexplode(p).alias("__j", "p")) \
         .withColumn("threshold", F.col("__j") + 1) \
         .withColumn("hit", (F.col("__y") >= F.col("threshold")).cast("int"))
-    return C.roc_auc(d, "p", "hit", ["threshold"]).join(
-        C.average_precision(d, "p", "hit", ["threshold"]), "threshold")
+    return C.ranking_scores(d, "p", "hit", ["threshold"])
 
 
 def ordinal_metrics(df: DataFrame, y: str, logits: str, k: int,
@@ -101,7 +101,8 @@ def ordinal_metrics(df: DataFrame, y: str, logits: str, k: int,
     base = M.summary_metrics(d, "y", "yhat", k)
     kappa = M.melt(M.quadratic_kappa(M.confusion(d, "y", "yord", k)))
     b = boundary_scores(d, "y", "x")
-    per = [b.select(F.concat_ws("_", F.lit(n), "threshold").alias("metric"), F.col(n).alias("value"))
-           for n in ("auc", "ap")]
+    per = b.select(F.explode(F.array(*[F.struct(
+        F.concat_ws("_", F.lit(n), "threshold").alias("metric"), F.col(n).alias("value"))
+        for n in ("auc", "ap")])).alias("x")).select("x.*")
     mono = M.melt(monotonicity(d, "x"))
-    return base.unionByName(kappa).unionByName(per[0]).unionByName(per[1]).unionByName(mono)
+    return base.unionByName(kappa).unionByName(per).unionByName(mono)

@@ -11,6 +11,7 @@ from flareframe.functions import decode as D
 from flareframe.operators import curves as C
 from flareframe.operators import expected as X
 from flareframe.operators import metrics as M
+from flareframe.session import materialise
 
 
 def verify(df: DataFrame, logits: str, y: str, labels: Sequence[str], threshold: float | None = None,
@@ -31,13 +32,14 @@ def verify(df: DataFrame, logits: str, y: str, labels: Sequence[str], threshold:
         d = df.select(F.col(y).alias("y"), D.softmax(x).alias("probs"))
         d = d.withColumn("yhat", D.argmax(F.col("probs")))
     out = M.summary_metrics(d, "y", "yhat", k)
+    expected = materialise(X.expected_confusion(d, "probs", "y"))       # one row per class
     for mode in ("average", "weighted"):
-        e = X.expected_score(d, "probs", "y", mode=mode).select(F.col("score").alias(f"tss_expected_{mode}"))
+        e = X.class_mean(expected, "tss", mode).withColumnRenamed("score", f"tss_expected_{mode}")
         out = out.unionByName(M.melt(e))
     if k == 2:
         out = out.unionByName(M.melt(M.brier_skill(d, "p", "y")))
-        best = C.best_thresholds(C.threshold_curves(d, "p", "y", ticks))
-        for c in ("threshold", "tss", "f1", "mcc"):
-            out = out.unionByName(best.select(F.concat_ws("_", F.lit(c), F.lit("at_best"), "criterion").alias("metric"),
-                                              F.col(c).alias("value")))
+        best = C.best_thresholds(materialise(C.threshold_curves(d, "p", "y", ticks)))
+        out = out.unionByName(best.select(F.explode(F.array(*[
+            F.struct(F.concat_ws("_", F.lit(c), F.lit("at_best"), "criterion").alias("metric"),
+                     F.col(c).alias("value")) for c in ("threshold", "tss", "f1", "mcc")])).alias("x")).select("x.*"))
     return out
