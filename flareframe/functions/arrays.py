@@ -19,7 +19,9 @@ def let(value: Column, body) -> Column:
 
 
 def span(a: Column) -> Column:
-    return F.struct(a.alias("a"), F.array_min(a).alias("lo"), F.array_max(a).alias("hi"))
+    """struct(a, lo, hi): an array with its extremes."""
+    return let(a, lambda v: F.struct(v.alias("a"), F.array_min(v).alias("lo"),
+                                     F.array_max(v).alias("hi")))
 
 
 def is_finite(x: Column) -> Column:

@@ -21,13 +21,11 @@ def _sum(a: Column) -> Column:
 
 
 def _shifted(a: Column) -> Column:
-    return let(F.struct(a.alias("a"), F.array_max(a).alias("top")),
-               lambda s: F.transform(s["a"], lambda x: x - s["top"]))
+    return let(a, lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda x: x - top)))
 
 
 def _normalised(a: Column) -> Column:
-    return let(F.struct(a.alias("a"), _sum(a).alias("sum")),
-               lambda s: F.transform(s["a"], lambda x: x / s["sum"]))
+    return let(a, lambda v: let(_sum(v), lambda n: F.transform(v, lambda x: x / n)))
 
 
 def softmax(a: Column) -> Column:
