@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -49,13 +52,19 @@ _local: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where
-    none is named (tests, one machine)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Without that setting a temporary folder serves local mode only, where all tasks share the disk, and
+    is removed when the process ends; on a cluster the setting is required.
+    """
     global _local
     named = spark.conf.get("spark.checkpoint.dir", None) \
         or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if _local is None:
         _local = tempfile.mkdtemp(prefix="flareframe-")
+        atexit.register(shutil.rmtree, _local, ignore_errors=True)
     return _local
