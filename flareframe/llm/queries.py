@@ -17,6 +17,7 @@ from flareframe.llm.op4_decontamination import contamination
 from flareframe.llm.op5_token_counts import count_tokens
 from flareframe.llm.op6_token_output import segments, write_matrix
 from flareframe.llm.op8_substring_dedup import drop_repeats
+from flareframe.llm.op9_embedding_dedup import near_vectors
 from flareframe.llm.sql import SQL
 
 
@@ -67,6 +68,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", digest_kept(F.col("text")).alias("kept_sha256"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.9)
+    return got.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = drop_repeated_bytes(docs_of(spark, sf_dir), length=100)
     return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_token_output": op6_token_output,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
