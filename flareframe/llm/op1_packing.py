@@ -23,11 +23,11 @@ def choose_cuts(pos: np.ndarray, penalty: np.ndarray, length: int, per_window: f
     A window costs its padding (``length`` minus its tokens, none when its size is a power of two), the penalty
     of the cut that ends it and ``per_window``.  best[j] = penalty[j] + min over i of best[i] + length - pos[j] +
     pos[i]: the minimum of best[i] + pos[i] over a sliding range of i, kept in a monotone queue; sizes that are
-    powers of two are looked up by position besides.  Neighbouring positions are at most ``length`` apart.
+    powers of two, from 256 on, are looked up by position besides.  Neighbouring positions are at most ``length`` apart.
     """
     n = len(pos)
     exact: dict[int, list[int]] = {}
-    size = 1
+    size = min(256, length)
     while size <= length:
         at = np.searchsorted(pos, pos - size)
         ok = (at < n) & (pos[np.minimum(at, n - 1)] == pos - size)
@@ -133,7 +133,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
         enc = encoder(tokenizer)
-        ends = enc.sentence_ends()
+        ends = np.zeros(enc.tok.get_vocab_size() + 1, bool)
+        ends[enc.sentence_ends()] = True
         s = Stream(length, (sentence_penalty, inside_penalty), grain, per_window)
         s.count = TaskContext.get().partitionId() << 36
         names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -142,7 +143,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, s
             for doc, text in zip(batch["id"], batch["text"]):
                 ids = np.frombuffer(enc(text) + tail, dtype="<u4")
                 if len(ids):
-                    s.add(doc, ids, np.isin(ids, ends))
+                    s.add(doc, ids, ends[np.minimum(ids, len(ends) - 1)])
                 if s.size >= block:
                     yield pd.DataFrame(s.windows(False), columns=names)
         yield pd.DataFrame(s.windows(True), columns=names)
