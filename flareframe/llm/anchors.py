@@ -2,13 +2,15 @@
 
 A window is ``w + k - 1`` consecutive symbols, that is ``w`` consecutive ``k``-grams.  Its key is the least gram
 hash in it, so equal windows have equal keys wherever they stand.  Consecutive windows with one key form a region.
-Two regions that are equal as wholes settle all their windows at once; only regions whose key also belongs to a
-different region have to be compared window by window.
+Two regions that are equal as wholes settle all their windows at once; a region whose key also belongs to a
+different region is open.  The symbols of open regions are cut out once, split again by longer grams and judged in the
+same way; of what is open then, single windows are compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,6 @@ U = np.uint64
 _A, _B, _C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 _R, _RI = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-FIRST_ID = -(1 << 63)                                        # stands for a null id
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,9 +71,12 @@ def _slide(a: np.ndarray, w: int, op: Callable) -> np.ndarray:
 
 
 class Regions:
-    """Regions of one sequence: ``lo`` (first window), ``n`` (windows), ``key``, ``whole`` (hash), ``loose``."""
+    """Regions of one sequence: ``lo`` (first window), ``n`` (windows), ``key``, ``whole`` (hash), ``loose``.
 
-    def __init__(self, s: np.ndarray, k: int, w: int):
+    ``only``: (starts, counts) of disjoint rising ranges of windows; the others are left out and regions end there.
+    """
+
+    def __init__(self, s: np.ndarray, k: int, w: int, only: tuple[np.ndarray, np.ndarray] | None = None):
         self.w = w
         self.least = np.empty(0, U)
         if len(s) < k + w - 1:
@@ -83,8 +87,17 @@ class Regions:
         h = grams(s, k)
         self.least = _slide(h, w, np.minimum)
         cut = np.flatnonzero(self.least[1:] != self.least[:-1]) + 1
-        lo = np.concatenate(([0], cut))
-        n = np.diff(np.concatenate((lo, [len(self.least)])))
+        if only is None:
+            lo = np.concatenate(([0], cut))
+            n = np.diff(np.concatenate((lo, [len(self.least)])))
+        else:
+            starts, ends = only[0], only[0] + only[1]
+            lo = np.union1d(np.concatenate(([0], cut)), np.concatenate((starts, ends)))
+            lo = lo[lo < len(self.least)]
+            n = np.diff(np.concatenate((lo, [len(self.least)])))
+            at = np.searchsorted(starts, lo, "right") - 1
+            inside = (at >= 0) & (lo < ends[np.maximum(at, 0)])
+            lo, n = lo[inside], n[inside]
         key = self.least[lo]
         # a least gram that stands twice in a region: its windows may repeat inside it
         high = _slide(np.concatenate((np.zeros(w - 1, U), self.least, np.zeros(w - 1, U))), w, np.maximum)
@@ -103,61 +116,88 @@ class Regions:
         self.lo, self.n, self.key, self.loose = lo, n, key, loose
         self.whole = ((self._sum[lo + n - 1 + w] - self._sum[lo]) * self._inv[lo]) * _A + n.astype(U)
 
-    def windows(self, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, key, hash) of every window of the given regions, once each."""
-        if not len(lo):
-            return np.empty(0, np.int64), np.empty(0, U), np.empty(0, U)
-        j = np.unique(np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()))
-        return j, self.least[j], (self._sum[j + self.w] - self._sum[j]) * self._inv[j]
+    def windows(self, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, hash) of single windows."""
+        return self.least[j], (self._sum[j + self.w] - self._sum[j]) * self._inv[j]
+
+
+@dataclass(frozen=True)
+class Alphabet:
+    """How a text is a sequence: its pieces, their symbols, and how to write pieces so that they read the same."""
+
+    pieces: Callable[[bytes], Sequence]
+    symbols: Callable[[bytes], np.ndarray]
+    write: Callable[[Sequence], bytes]
+
+
+# A place packs a digest of the text (rows that share an id but not a text stay apart), the first window, the number
+# of windows, and flags, so places of one text are ordered as the text is.
+_TAG, _LO, LOOSE, KNOWN, OLD = 49, 11, 4, 2, 1
 
 
 def tag_of(raw: bytes) -> int:
-    """Digest of a text in the bits above a position: rows that share an id but not a text stay apart."""
-    return (xxhash.xxh64_intdigest(raw) >> 41) << 40
+    return xxhash.xxh64_intdigest(raw) >> 50
+
 
+def place_of(tag: int | np.ndarray, lo: np.ndarray, n: np.ndarray, loose: np.ndarray | int = 0) -> np.ndarray:
+    return (tag << _TAG) | (lo << _LO) | ((n - 1) << 3) | loose * LOOSE
 
-def _fold(f: pd.DataFrame, same_doc: bool) -> pd.DataFrame:
-    """Mark rows that have an equal, earlier row in this batch as ``known`` and give them a key of their own.
+
+def unplace(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tag, first window, windows)."""
+    place = np.asarray(place, np.int64)
+    return place >> _TAG, (place >> _LO) & ((1 << (_TAG - _LO)) - 1), ((place >> 3) & 255) + 1
+
+
+def _fold(cols: dict[str, np.ndarray], same_doc: bool) -> pd.DataFrame:
+    """Flag rows that have an equal, earlier row in this batch as known and give them a key of their own.
 
     Equal regions of a batch so reach the shuffle as one row under their key; no group of copies lands in one task.
     """
-    f = f.sort_values(["key", "whole", "id", "pos"], kind="stable", ignore_index=True)
-    eq = (f["key"].to_numpy()[1:] == f["key"].to_numpy()[:-1]) & (f["whole"].to_numpy()[1:] == f["whole"].to_numpy()[:-1])
-    start = np.concatenate(([0], np.flatnonzero(~eq) + 1)) if len(f) else np.empty(0, int)
-    head = np.repeat(start, np.diff(np.concatenate((start, [len(f)]))))
-    ids, pos = f["id"].to_numpy(), f["pos"].to_numpy()
-    known = ids > ids[head]
+    key, whole, ids, place = cols["key"], cols["whole"], cols["id"], cols["place"]
+    o = np.lexsort((place, ids, whole, key))
+    k, w, i, p = key[o], whole[o], ids[o], place[o]
+    start = np.concatenate(([True], (k[1:] != k[:-1]) | (w[1:] != w[:-1]))) if len(o) else np.empty(0, bool)
+    head = np.maximum.accumulate(np.where(start, np.arange(len(o)), 0))
+    known = i > i[head]
     if same_doc:
-        known |= (ids == ids[head]) & (pos > pos[head])
-    f["known"] = known
-    f.loc[known, "key"] = (ids.view(U) * _B + pos.view(U) * _C).view(np.int64)[known]
-    return f
+        known |= (i == i[head]) & (p > p[head])
+    own = o[known]
+    key[own] = (ids[own].view(U) * _B + place[own].view(U) * _C).view(np.int64)
+    place[own] |= KNOWN
+    return pd.DataFrame(cols)
+
+
+def _tables(parts: Iterator[dict[str, np.ndarray]], same_doc: bool, names: list[str]) -> Iterator[pd.DataFrame]:
+    """Small column sets gathered to folded tables of bounded size."""
+    held, size = [], 0
+    for p in parts:
+        held.append(p)
+        size += len(p["id"])
+        if size > 400_000:
+            yield _fold({c: np.concatenate([h[c] for h in held]) for c in names}, same_doc)
+            held, size = [], 0
+    if held:
+        yield _fold({c: np.concatenate([h[c] for h in held]) for c in names}, same_doc)
 
 
-def region_rows(texts: DataFrame, symbols: Callable[[bytes], np.ndarray], k: int, w: int,
-                same_doc: bool) -> DataFrame:
-    """(id, text) to one row per region: id, pos (tag and first window), n, key, whole, loose, known."""
+ROW = "id long, place long, key long, whole long"
+ROW_NAMES = ["id", "place", "key", "whole"]
+
+
+def region_rows(texts: DataFrame, alphabet: Alphabet, k: int, w: int, same_doc: bool) -> DataFrame:
+    """(id, text) to one row per region: id, place, key, whole."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            held, size = [], 0
-            for doc, text in zip(b["id"], b["text"]):
-                raw = (text or "").encode()
-                r = Regions(symbols(raw), k, w)
-                if len(r.lo):
-                    held.append((np.full(len(r.lo), doc), r.lo | tag_of(raw), r.n, r.key.view(np.int64),
-                                 r.whole.view(np.int64), r.loose))
-                    size += len(r.lo)
-                if size > 400_000:
-                    yield table(held)
-                    held, size = [], 0
-            if held:
-                yield table(held)
-
-    def table(held: list) -> pd.DataFrame:
-        cols = [np.concatenate(c) for c in zip(*held)]
-        return _fold(pd.DataFrame(dict(zip(["id", "pos", "n", "key", "whole", "loose"], cols))), same_doc)
-    return (texts.withColumn("id", F.coalesce("id", F.lit(FIRST_ID)))
-            .mapInPandas(run, "id long, pos long, n int, key long, whole long, loose boolean, known boolean"))
+        def parts() -> Iterator[dict[str, np.ndarray]]:
+            for b in batches:
+                for doc, text in zip(b["id"], b["text"]):
+                    raw = (text or "").encode()
+                    r = Regions(alphabet.symbols(raw), k, w)
+                    if len(r.lo):
+                        yield {"id": np.full(len(r.lo), doc, np.int64), "place": place_of(tag_of(raw), r.lo, r.n, r.loose),
+                               "key": r.key.view(np.int64), "whole": r.whole.view(np.int64)}
+        yield from _tables(parts(), same_doc, ROW_NAMES)
+    return texts.mapInPandas(run, ROW)
 
 
 def judged(rows: DataFrame, same_doc: bool) -> DataFrame:
@@ -166,66 +206,113 @@ def judged(rows: DataFrame, same_doc: bool) -> DataFrame:
     One shuffle and one sort by (key, whole).
     """
     same, all_ = Window.partitionBy("key", "whole"), Window.partitionBy("key")
-    order = F.struct("id", "pos") if same_doc else F.col("id")
+    order = F.struct("id", F.shiftright("place", _LO).alias("at")) if same_doc else F.col("id")
     out = (rows.withColumn("first", F.min(order).over(same))
            .withColumn("many", F.min("whole").over(all_) != F.max("whole").over(all_)))
-    return (out.withColumn("dup", F.col("known") | (F.col("first") < order))
-            .withColumn("open", ~F.col("dup") & (F.col("many") | F.col("loose"))).drop("first", "many"))
-
+    flag = F.col("place").bitwiseAND
+    return (out.withColumn("dup", (flag(F.lit(KNOWN)) != 0) | (F.col("first") < order))
+            .withColumn("open", ~F.col("dup") & (F.col("many") | (flag(F.lit(LOOSE)) != 0))).drop("first", "many"))
 
-def open_windows(texts: DataFrame, flagged: DataFrame, symbols: Callable[[bytes], np.ndarray], k: int, w: int,
-                 same_doc: bool) -> DataFrame:
-    """(id, pos): windows of open regions that an earlier open region has, too.
 
-    Texts that have open regions are read again, compressed through the shuffle; equal windows then meet by key and
-    hash, folded per task first.
-    """
-    wanted = flagged.where("open").groupBy("id").agg(F.collect_set(F.struct("pos", "n")).alias("r"))
-    both = blobs(texts.withColumn("id", F.coalesce("id", F.lit(FIRST_ID)))).join(wanted, "id").select(
-        "id", "z", F.col("r.pos").alias("pos"), F.col("r.n").alias("n"))
+def _cut_out(texts: DataFrame, open_: DataFrame, alphabet: Alphabet, span: int) -> DataFrame:
+    """(id, place, raw): the symbols of every open region; texts travel compressed."""
+    wanted = open_.groupBy("id").agg(F.collect_set("place").alias("places"))
+    rows = blobs(texts).join(wanted, "id").select("id", "z", "places")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            held, size = [], 0
-            for doc, z, pos, n in zip(b["id"], b["z"], b["pos"], b["n"]):
+            out = []
+            for doc, z, places in zip(b["id"], b["z"], b["places"]):
                 raw = unblob(z)
-                tag, at, n = tag_of(raw), np.asarray(pos, np.int64), np.asarray(n, np.int64)
-                own = (at >> 40) << 40 == tag
-                j, key, whole = Regions(symbols(raw), k, w).windows(at[own] - tag, n[own])
-                held.append((np.full(len(j), doc), j | tag, key.view(np.int64), whole.view(np.int64)))
-                size += len(j)
-                if size > 400_000:
-                    yield table(held)
-                    held, size = [], 0
-            if held:
-                yield table(held)
-
-    def table(held: list) -> pd.DataFrame:
-        return _fold(pd.DataFrame(dict(zip(["id", "pos", "key", "whole"], [np.concatenate(c) for c in zip(*held)]))), same_doc)
-    rows = both.mapInPandas(run, "id long, pos long, key long, whole long, known boolean")
-    order = F.struct("id", "pos") if same_doc else F.col("id")
-    first = F.min(order).over(Window.partitionBy("key", "whole"))
-    return rows.withColumn("dup", F.col("known") | (first < order)).where("dup").select("id", "pos")
-
-
-def repeated(texts: DataFrame, flagged: DataFrame, symbols: Callable[[bytes], np.ndarray], k: int, w: int,
-             same_doc: bool) -> DataFrame:
-    """(id, z, pos, n): every text, compressed, with its runs of repeated windows (null where it has none)."""
-    flagged = materialise(flagged)
-    runs = flagged.where("dup").select("id", "pos", "n").unionByName(
-        open_windows(texts, flagged, symbols, k, w, same_doc).withColumn("n", F.lit(1)))
-    found = runs.groupBy("id").agg(F.collect_list(F.struct("pos", "n")).alias("r"))
-    return blobs(texts.withColumn("id", F.coalesce("id", F.lit(FIRST_ID)))).join(found, "id", "left").select(
-        F.when(F.col("id") != FIRST_ID, F.col("id")).alias("id"), "z", F.col("r.pos").alias("pos"), F.col("r.n").alias("n"))
+                pieces, mine = alphabet.pieces(raw), tag_of(raw)
+                for place, tag, lo, n in zip(places.tolist(), *(x.tolist() for x in unplace(places))):
+                    if tag == mine:
+                        out.append((doc, place, alphabet.write(pieces[lo:lo + n - 1 + span])))
+            yield pd.DataFrame(out, columns=["id", "place", "raw"])
+    return rows.mapInPandas(run, "id long, place long, raw binary")
+
+
+def _strung(b: pd.DataFrame, alphabet: Alphabet, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of a batch of cut-outs with a symbol of no text between them, and where each begins."""
+    parts, at, here = [], [], 0
+    for raw in b["raw"]:
+        s = alphabet.symbols(raw)
+        at.append(here)
+        parts += [s, np.array([xxhash.xxh64_intdigest(here.to_bytes(8, "little"), seed=5)], U)]
+        here += len(s) + 1
+    return np.concatenate(parts), np.array(at, np.int64)
 
 
-def covered(size: int, tag: int, pos: np.ndarray | None, n: np.ndarray | None, span: int) -> np.ndarray:
-    """Mask of the symbols that lie in a repeated window of ``span`` symbols."""
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.iloc[i:i + rows]
+
+
+def _finer(cuts: DataFrame, alphabet: Alphabet, k: int, w: int, span: int, same_doc: bool) -> DataFrame:
+    """Regions of the cut-outs by ``k``-grams: region rows with the ``parent`` place."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def parts() -> Iterator[dict[str, np.ndarray]]:
+            for b in _slices(batches):
+                ids, parent = b["id"].to_numpy(), b["place"].to_numpy()
+                tag, lo, n = unplace(parent)
+                s, at = _strung(b, alphabet, span)
+                r = Regions(s, k, w, (at, n))
+                of = np.searchsorted(at, r.lo, "right") - 1
+                yield {"id": ids[of], "place": place_of(tag[of], lo[of] + r.lo - at[of], r.n, r.loose),
+                       "key": r.key.view(np.int64), "whole": r.whole.view(np.int64), "parent": parent[of]}
+        yield from _tables(parts(), same_doc, [*ROW_NAMES, "parent"])
+    return cuts.mapInPandas(run, ROW + ", parent long")
+
+
+def _single(cuts: DataFrame, open_: DataFrame, alphabet: Alphabet, k: int, w: int, span: int, same_doc: bool) -> DataFrame:
+    """Region rows for every window of the open finer regions."""
+    wanted = open_.groupBy("id", "parent").agg(F.collect_set("place").alias("parts"))
+    rows = cuts.join(wanted.withColumnRenamed("parent", "place"), ["id", "place"]).select("id", "place", "raw", "parts")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def parts() -> Iterator[dict[str, np.ndarray]]:
+            for b in _slices(batches):
+                s, at = _strung(b, alphabet, span)
+                r = Regions(s, k, w)
+                many = b["parts"].map(len).to_numpy()
+                of = np.repeat(np.arange(len(b)), many)
+                _, lo, n = unplace(np.concatenate(b["parts"].to_numpy()))
+                tag, first, _ = unplace(b["place"].to_numpy())
+                begin = at[of] + lo - first[of]
+                j = np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                of = np.repeat(of, n)
+                key, whole = r.windows(j)
+                yield {"id": b["id"].to_numpy()[of], "place": place_of(tag[of], first[of] + j - at[of], np.ones(len(j), np.int64)),
+                       "key": key.view(np.int64), "whole": whole.view(np.int64)}
+        yield from _tables(parts(), same_doc, ROW_NAMES)
+    return rows.mapInPandas(run, ROW)
+
+
+def repeated(texts: DataFrame, flagged: DataFrame, alphabet: Alphabet, k: int, w: int, same_doc: bool) -> DataFrame:
+    """(id, z, places): every text, compressed, with its runs of repeated windows (null where it has none).
+
+    ``flagged``: (id, place, dup) of the regions that are settled as repeated or open.
+    """
+    span, w2 = k + w - 1, max(1, w // 3)
+    k2 = span - w2 + 1
+    flagged = materialise(flagged)
+    cuts = materialise(_cut_out(texts, flagged.where("NOT dup"), alphabet, span))
+    finer = materialise(judged(_finer(cuts, alphabet, k2, w2, span, same_doc), same_doc).where("dup OR open")
+                        .select("id", "place", "parent", "dup"))
+    single = judged(_single(cuts, finer.where("NOT dup"), alphabet, k2, w2, span, same_doc), same_doc).where("dup")
+    runs = flagged.where("dup").select("id", "place").union(finer.where("dup").select("id", "place")) \
+        .union(single.select("id", "place"))
+    found = runs.groupBy("id").agg(F.collect_list("place").alias("places"))
+    return blobs(texts).join(found, "id", "left").select("id", "z", "places")
+
+
+def covered(size: int, raw: bytes, places: np.ndarray | None, span: int) -> np.ndarray:
+    """Mask of the symbols of a text that lie in a repeated window of ``span`` symbols."""
     edge = np.zeros(size + 1, np.int64)
-    if pos is not None and len(pos):
-        at, n = np.asarray(pos, np.int64), np.asarray(n, np.int64)
-        own = (at >> 40) << 40 == tag
-        at, n = at[own] - tag, n[own]
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + n - 1 + span, -1)
+    if places is not None and len(places):
+        tag, at, n = unplace(places)
+        own = tag == tag_of(raw)
+        np.add.at(edge, at[own], 1)
+        np.add.at(edge, at[own] + n[own] - 1 + span, -1)
     return np.cumsum(edge[:-1]) > 0

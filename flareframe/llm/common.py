@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from flareframe.session import materialise, shared_dir
 
-__all__ = ["blobs", "components", "digest_kept", "materialise", "new_folder", "remove_folder", "shared_dir",
-           "texts_of", "unblob"]
+__all__ = ["NO_ID", "blobs", "components", "digest_kept", "given", "materialise", "new_folder", "remove_folder", "shared_dir",
+           "runs_of", "texts_of", "unblob"]
+
+NO_ID = -(1 << 63)                                           # stands for a null id
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -29,14 +31,23 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns an operator needs, as (id bigint, text string); other columns stay out of every shuffle."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    """The two columns an operator needs, as (id bigint, text string); other columns stay out of every shuffle.
+
+    Null ids become ``NO_ID``, so ids reach Python as whole numbers; :func:`given` turns them back.
+    """
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
+                       F.col(text_col).cast("string").alias("text"))
+
+
+def given(id_col: str = "id") -> Column:
+    """The id as it was given: null for ``NO_ID``."""
+    return F.when(F.col(id_col) != NO_ID, F.col(id_col))
 
 
 def blobs(texts: DataFrame) -> DataFrame:
     """(id, text) as (id, z): zstd-compressed UTF-8, for texts that have to travel through a shuffle."""
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = zstandard.ZstdCompressor(level=1)
+        c = zstandard.ZstdCompressor(level=5)
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "z": [c.compress((t or "").encode()) for t in b["text"]]})
     return texts.mapInPandas(pack, "id long, z binary")

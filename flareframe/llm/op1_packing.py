@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from flareframe.llm.common import texts_of
+from flareframe.llm.common import given, texts_of
 from flareframe.llm.tokens import encoder
 
 SCHEMA = ("doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, "
@@ -147,4 +147,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, s
                 if s.size >= block:
                     yield pd.DataFrame(s.windows(False), columns=names)
         yield pd.DataFrame(s.windows(True), columns=names)
-    return texts_of(docs, id_col, text_col).mapInPandas(run, SCHEMA)
+    return texts_of(docs, id_col, text_col).mapInPandas(run, SCHEMA).withColumn("doc_id", given("doc_id"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flareframe.llm.common import texts_of
+from flareframe.llm.common import given, texts_of
 
 STATS = ["log_bytes", "log_words", "mean_word", "long_words", "upper", "digits", "spaces", "lines", "high_bytes",
          "stops", "commas", "bangs", "bars", "odd_signs", "braces", "other_signs", "distinct_words", "top_word",
@@ -50,7 +50,7 @@ def text_stats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         for b in batches:
             out = pd.DataFrame([stats_of(t) for t in b["text"]], columns=STATS, dtype="float64")
             for i, c in enumerate(["id", *keep]):
-                out.insert(i, c, b[c].astype("Int64").to_numpy())
+                out.insert(i, c, b[c].to_numpy())
             yield out
     return docs.select("id", "text", *keep).mapInPandas(run, schema)
 
@@ -166,4 +166,4 @@ def score_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", tex
     Null and empty texts are scored by the statistics of the empty text; repeated rows are scored each; null ids
     stay null; an empty table gives no rows; other columns are not read.
     """
-    return text_stats(texts_of(docs, id_col, text_col)).select(F.col("id").alias("doc_id"), model.score().alias("score"))
+    return text_stats(texts_of(docs, id_col, text_col)).select(given().alias("doc_id"), model.score().alias("score"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flareframe.llm.common import new_folder, remove_folder, texts_of
+from flareframe.llm.common import given, new_folder, remove_folder, texts_of
 
 # What counts as white space at the ends of a line.
 BLANK = " \t\n\x0b\x0c\r"
@@ -80,7 +80,7 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
     join of keys with frequent keys is split by Spark where one line is frequent.
 
     Null and empty texts are one empty line, and come back as the empty text.  Rows with the same id count as one
-    document and are cut each; a null id is a document of its own; an empty table gives no rows; other columns
+    document and are cut each, and so do rows with null ids; an empty table gives no rows; other columns
     are not read.
     """
     spark = docs.sparkSession
@@ -112,6 +112,6 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
                 kept = [x for x in lines if hashlib.md5(x.strip(BLANK).translate(TO_LOWER).encode(),
                                                         usedforsecurity=False).digest() not in gone]
                 out.append((doc, "\n".join(kept), len(lines), len(lines) - len(kept)))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "n_lines", "n_dropped"]).astype({"doc_id": "Int64"})
-    joined = rows.join(hits, F.col("id").eqNullSafe(F.col("hit_id")), "left").select("id", "text", "drop")
-    return joined.mapInPandas(cut, "doc_id long, text string, n_lines long, n_dropped long")
+            yield pd.DataFrame(out, columns=["doc_id", "text", "n_lines", "n_dropped"])
+    joined = rows.join(hits, F.col("id") == F.col("hit_id"), "left").select("id", "text", "drop")
+    return joined.mapInPandas(cut, "doc_id long, text string, n_lines long, n_dropped long").withColumn("doc_id", given("doc_id"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flareframe.llm.common import texts_of
+from flareframe.llm.common import given, texts_of
 from flareframe.llm.tokens import encoder
 
 SCHEMA = ("sequence_id long, input_ids binary, cu_seqlens array<int>, position_resets array<int>, "
@@ -73,7 +73,8 @@ def write_matrix(docs: DataFrame, tokenizer: str, path: str, end_id: int, width:
     id is lost.  Pieces of about ``block`` tokens of a task at a time go best-fit decreasing into rows.  Columns:
     sequence_id; input_ids (``width`` little-endian unsigned ids, 16-bit where the vocabulary allows, filled up
     with ``pad_id``); cu_seqlens (0 and the end of every piece); position_resets (where positions start from 0
-    again: every piece's begin); doc_ids and starts (of each piece in its document).  Memory is one block and one
+    again: every piece's begin); doc_ids and starts (of each piece in its document;
+    a null id is the least 64-bit number there).  Memory is one block and one
     document; no shuffle.  Null and empty texts are ``end_id`` alone; repeated rows are written each; an empty
     table writes no rows; other columns are not read.
     """
@@ -114,7 +115,7 @@ def write_matrix(docs: DataFrame, tokenizer: str, path: str, end_id: int, width:
 
 def segments(matrix: DataFrame, id_bytes: int) -> DataFrame:
     """One row per piece of a written matrix: doc_id, start, length, sequence_id, offset, ids (as stored)."""
-    at = matrix.select("sequence_id", "input_ids", "cu_seqlens", "starts", F.posexplode("doc_ids").alias("k", "doc_id"))
+    at = matrix.select("sequence_id", "input_ids", "cu_seqlens", "starts", F.posexplode("doc_ids").alias("k", "doc_id")).withColumn("doc_id", given("doc_id"))
     begin, end = F.expr("cu_seqlens[k]"), F.expr("cu_seqlens[k + 1]")
     return at.select("doc_id", F.expr("starts[k]").alias("start"), (end - begin).cast("long").alias("length"),
                      "sequence_id", begin.cast("long").alias("offset"),

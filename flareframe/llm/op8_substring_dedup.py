@@ -9,14 +9,17 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 
-from flareframe.llm.anchors import covered, judged, region_rows, repeated, tag_of
-from flareframe.llm.common import runs_of, texts_of, unblob
+from flareframe.llm.anchors import Alphabet, covered, judged, region_rows, repeated
+from flareframe.llm.common import given, runs_of, texts_of, unblob
 
 
 def word_symbols(raw: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, raw.split()), np.uint64)
 
 
+WORDS = Alphabet(bytes.split, word_symbols, b" ".join)
+
+
 def drop_repeats(docs: DataFrame, window: int = 13, seed: int = 4, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_words, n_removed, spans): words covered by a window that a smaller doc_id has are removed.
@@ -25,8 +28,8 @@ def drop_repeats(docs: DataFrame, window: int = 13, seed: int = 4, id_col: str =
     content says (regions of :mod:`anchors` on ``seed``-word grams), in hash-partitioned blocks; each phrase knows
     the smallest document that has it.  A document is parsed from left to right into phrases; those with an earlier
     reference join up greedily to factors, and a factor of ``window`` words or more is a duplicate span.  Where a
-    factor ends - a phrase whose key other phrases share, but which is not found as a whole - each window is
-    checked against all windows of such places, so spans end at the exact word.  ``window - seed + 1`` grams make a
+    factor ends - a phrase whose key other phrases share, but which is not found as a whole - shorter phrases and then
+    single windows are checked against those of all such places, so spans end at the exact word.  ``window - seed + 1`` grams make a
     window.
 
     Words are separated by ASCII white space and compared byte by byte; spans are [start, end) word numbers; text is
@@ -35,20 +38,19 @@ def drop_repeats(docs: DataFrame, window: int = 13, seed: int = 4, id_col: str =
     rows; other columns are not read.  Documents of any length are handled, one in memory at a time.
     """
     texts, w = texts_of(docs, id_col, text_col), window - seed + 1
-    flagged = judged(region_rows(texts, word_symbols, seed, w, False), False).where("dup OR open") \
-        .select("id", "pos", "n", "dup", "open")
+    flagged = judged(region_rows(texts, WORDS, seed, w, False), False).where("dup OR open").select("id", "place", "dup")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc, z, pos, n in zip(b["id"], b["z"], b["pos"], b["n"]):
+            for doc, z, places in zip(b["id"], b["z"], b["places"]):
                 raw = unblob(z)
                 words = raw.split()
-                gone = covered(len(words), tag_of(raw), pos, n, window)
+                gone = covered(len(words), raw, places, window)
                 starts, ends = runs_of(gone)
                 kept = [x for x, g in zip(words, gone.tolist()) if not g] if len(starts) else words
                 out.append((doc, b" ".join(kept).decode(), len(words), len(words) - len(kept),
                             np.stack((starts, ends), 1).tolist()))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "n_words", "n_removed", "spans"]).astype({"doc_id": "Int64"})
-    return repeated(texts, flagged, word_symbols, seed, w, False).mapInPandas(
-        cut, "doc_id long, text string, n_words long, n_removed long, spans array<array<long>>")
+            yield pd.DataFrame(out, columns=["doc_id", "text", "n_words", "n_removed", "spans"])
+    return repeated(texts, flagged, WORDS, seed, w, False).mapInPandas(
+        cut, "doc_id long, text string, n_words long, n_removed long, spans array<array<long>>").withColumn("doc_id", given("doc_id"))
