@@ -1,4 +1,70 @@
-STAGES = []
-ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""From raw documents to packed windows: quality, shared lines, near duplicates, benchmark passages, packing.
+
+Each stage works on everything that the one before kept and is written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flareframe.llm.common import new_folder
+from flareframe.llm.op1_packing import pack
+from flareframe.llm.op2_quality import fit_quality, score_quality
+from flareframe.llm.op3_line_dedup import drop_lines
+from flareframe.llm.op4_decontamination import contamination
+from flareframe.llm.op7_jaccard_join import similar_documents
+
+#: Documents below this score are rejected.
+MIN_QUALITY = 0.5
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble, fitted on the labels, does not reject."""
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    good = score_quality(docs, model).where(F.col("score") >= MIN_QUALITY).select("doc_id").distinct()
+    return docs.join(good, "doc_id", "left_semi")
+
+
+def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that ten documents or more have; n_chars follows the text."""
+    cut = drop_lines(docs, min_docs=10).select("doc_id", F.col("text"))
+    return docs.drop("text", "n_chars").join(cut, "doc_id").select(
+        *[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates (five words, similarity 0.8)."""
+    heads = similar_documents(docs, k=5, percent=80).where("doc_id = component_id").select("doc_id")
+    return docs.join(heads, "doc_id", "left_semi")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a contaminating share of benchmark passages."""
+    bad = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id")
+    return docs.join(bad, "doc_id", "left_anti")
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of windows of at most 2048 tokens, as the packing query gives them."""
+    got = pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, length=2048)
+    return got.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+STAGES = [("quality classifier", keep_good), ("line dedup", drop_shared_lines),
+          ("n-gram Jaccard join", keep_one_of_each_group), ("benchmark decontamination", drop_contaminated),
+          ("packing", pack_windows)]
+
+ORACLE_SQL = None                                            # tested against the stages run one by one
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is stored in the shared folder and read by the next stage."""
+    at = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = new_folder(spark, "corpus-pipeline")
+    for i, (_, stage) in enumerate(STAGES):
+        path = f"{folder}/{i}"
+        stage(spark, at, sf_dir).write.parquet(path)
+        at = spark.read.parquet(path)
+    return at

@@ -16,6 +16,7 @@ from flareframe.llm.op3_line_dedup import drop_lines
 from flareframe.llm.op4_decontamination import contamination
 from flareframe.llm.op5_token_counts import count_tokens
 from flareframe.llm.op6_token_output import segments, write_matrix
+from flareframe.llm.op7_jaccard_join import similar_documents
 from flareframe.llm.op8_substring_dedup import drop_repeats
 from flareframe.llm.op9_embedding_dedup import near_vectors
 from flareframe.llm.sql import SQL
@@ -63,6 +64,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(got, 2).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(docs_of(spark, sf_dir), k=3, percent=90)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = drop_repeats(docs_of(spark, sf_dir), window=13)
     return got.select("doc_id", "n_words", "n_removed", digest_kept(F.col("text")).alias("kept_sha256"))
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
     "op6_token_output": op6_token_output,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
