@@ -54,12 +54,13 @@ def worst_between(windows: DataFrame, events: DataFrame, keys: Sequence[str], lo
                   name: str = "sev", segment: str = "1 hour") -> DataFrame:
     """Add to ``windows`` the highest ``sev`` of events between ``lo`` and ``hi`` (0 if none).
 
-    ``events`` has ``keys``, ``t_occ`` and ``sev`` (1..5).
+    ``events`` has ``keys``, ``t_occ`` and ``sev`` (1..5).  A window with a null bound
+    stays, with 0.
     """
     top = max(L.SEVERITY.values())
     wcols = windows.columns
     marks = windows.withColumns({"__t": micros(lo), "__hi": micros(hi),
-                                 "__k": F.lit(0 if closed_left else 1)})
+                                 "__k": F.lit(0 if closed_left else 1), "__window": F.lit(True)})
     evs = events.select(*keys, micros("t_occ").alias("__t"), F.col("sev").cast("int").alias("__sev"),
                         F.lit(1 if closed_left else 0).alias("__k")) \
         .where(F.col("__sev") > 0)
@@ -74,9 +75,9 @@ def worst_between(windows: DataFrame, events: DataFrame, keys: Sequence[str], lo
     sev = F.lit(0)
     for s in range(1, top + 1):     # the worst class with an event in time wins
         n = F.col(f"__n{s}")
-        ok = (n <= F.col("__hi")) if closed_right else (n < F.col("__hi"))
+        ok = ((n <= F.col("__hi")) if closed_right else (n < F.col("__hi"))) & F.col("__t").isNotNull()
         sev = F.when(ok, F.lit(s)).otherwise(sev)
-    return out.where(F.col("__hi").isNotNull()).select(*wcols, sev.alias(name))
+    return out.where(F.col("__window")).select(*wcols, sev.alias(name))
 
 
 def label_ahead(windows: DataFrame, events: DataFrame, keys: Sequence[str], t_end: str,

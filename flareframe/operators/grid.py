@@ -181,16 +181,16 @@ def coverage(valid: Column, present: Column, expected: int | None = None,
 
 
 def columns_to_arrays(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str],
-                      max_points: int = 1_000_000) -> DataFrame:
+                      points: int) -> DataFrame:
     """One record of column arrays per series, in time order.
 
-    NaN becomes null and times become text.  A series longer than
-    ``max_points`` gives several records (column ``part``, 0-based), so no
-    record and no task grows without bound.
+    NaN becomes null and times become text.  Every ``points``
+    rows of a series make a record (column ``part``, 0-based; the last may be
+    shorter), so the caller says how long an array may be.
     """
     types = dict(df.dtypes)
     p = number_rows(df.select(*keys, ts, *cols), keys, [ts, *cols], time_segment(ts), "__rn")
-    p = p.withColumn("part", F.floor((F.col("__rn") - 1) / max_points))
+    p = p.withColumn("part", F.floor((F.col("__rn") - 1) / points))
     vals = [F.col("__rn"), F.col(ts)] + [
         nan_to_null(F.col(c)).alias(c) if types[c] in ("double", "float") else F.col(c) for c in cols]
     arr = (p.groupBy(*keys, "part")

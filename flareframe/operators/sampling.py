@@ -42,7 +42,7 @@ def sample_per_group(df: DataFrame, keys: Sequence[str], id: str, k: int | Colum
 
 def sample_k(df: DataFrame, id: str, k: int, seed: int) -> DataFrame:
     """``k`` random rows of the whole table."""
-    return sample_per_group(df, [], id, k, seed)
+    return df.orderBy(uniform(seed, id), id).limit(k)      # top k of every task, then of those
 
 
 def weighted_key(seed: int | str, id: str, w: Column) -> Column:
@@ -62,7 +62,7 @@ def rank_weighted(df: DataFrame, keys: Sequence[str], id: str, w: str, seed: int
 
 def weighted_sample(df: DataFrame, id: str, w: str, k: int, seed: int | str) -> DataFrame:
     """``k`` rows drawn without replacement with probability proportional to ``w``."""
-    return rank_weighted(df, [], id, w, seed).where(F.col("rk") <= k).drop("rk")
+    return df.orderBy(weighted_key(seed, id, F.col(w).cast("double")), uniform(seed, id), id).limit(k)
 
 
 def downsample_targets(df: DataFrame, label: str, target_total: int | None = None,
@@ -145,8 +145,8 @@ def downsample(df: DataFrame, id: str, group: str, label: str, target_total: int
                removable: Sequence[str] = ("NONE", "C")) -> DataFrame:
     """Add ``keep``: group-aware downsampling of the removable labels.
 
-    ``label`` may be any class column.  Filter on ``keep`` for the kept rows and
-    on its negation for the removed ones.
+    ``label`` may be any class column; rows without a label are not removable and stay.
+    Filter on ``keep`` for the kept rows and on its negation for the removed ones.
     """
     sizes = materialise(df.groupBy(F.col(label).alias("label"), F.col(group).alias("ar"))
                         .agg(F.count(F.lit(1)).alias("size")))
@@ -154,7 +154,7 @@ def downsample(df: DataFrame, id: str, group: str, label: str, target_total: int
     plan = keep_plan(sizes.join(goals.select("label", "target"), "label"), seed)
     plan = plan.select(F.col("label").alias(label), F.col("ar").alias(group), "keep_n")
     ranked = rank_uniform(df, [label, group], id, seed, attach=plan)
-    return (ranked.withColumn("keep", F.coalesce(F.col("rk") <= F.col("keep_n"), F.lit(False)))
+    return (ranked.withColumn("keep", F.col(label).isNull() | F.coalesce(F.col("rk") <= F.col("keep_n"), F.lit(False)))
             .drop("rk", "keep_n"))
 
 

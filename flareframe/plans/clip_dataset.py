@@ -13,7 +13,7 @@ from flareframe.plans.datasets import relabel
 
 def build(frames: DataFrame, n: int, frame_step: str, cadence: str, fractions=(0.7, 0.15, 0.15),
           target_total: int | None = None, targets: dict[str, int] | None = None, seed: int = 42,
-          scheme: str = "multi", threshold: str | None = None, mode: str = "auto") -> DataFrame:
+          scheme: str = "multi", threshold: str | None = None) -> DataFrame:
     """Clips from frames (ar, ts, file, label), downsampled per label and entity, relabelled
     and split so that no entity straddles splits.
 
@@ -27,7 +27,4 @@ def build(frames: DataFrame, n: int, frame_step: str, cadence: str, fractions=(0
         c = c.where("keep").drop("keep")
     c = relabel(c, scheme, threshold)
     goal = {s: round(f * 1_000_000) for s, f in zip(S.SPLITS, fractions)}
-    if mode != "cumulative":
-        total = c.count()
-        goal = {s: round(f * total) for s, f in zip(S.SPLITS, fractions)}
-    return S.group_split(c, "ar", goal, seed, mode=mode)
+    return S.group_split(c, "ar", goal, seed, item="clip_id")

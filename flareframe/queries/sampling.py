@@ -159,31 +159,41 @@ def _(spark, sf):
     return S.assign_cumulative(S.group_sizes(o, "ar"), "ar", {"train": 70, "cv": 15, "test": 15}, 42)
 
 
-def goals(spark, sf):
-    return S.default_targets(orders_items(spark, sf))
+# 55/25/20 wanted of an assignment by 70/15/15
+REBALANCED = f"""{GROUPED}, tt AS (SELECT sum(size) AS total FROM gp),
+want AS (SELECT unnest(['train', 'cv', 'test']) AS split, unnest([CAST(floor(total * 0.55) AS BIGINT), CAST(floor(total * 0.25) AS BIGINT), CAST(floor(total * 0.2) AS BIGINT)]) AS goal, unnest([1, 2, 3]) AS k FROM tt),
+hv AS (SELECT want.split, k, coalesce(sum(size), 0) - goal AS d FROM want LEFT JOIN gp ON gp.split = want.split GROUP BY want.split, k, goal),
+lk AS (SELECT *, coalesce(sum(greatest(-d, 0)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, sum(greatest(-d, 0)) OVER (ORDER BY k) AS hi FROM hv),
+o1 AS (SELECT gp.ar, gp.size, gp.split, sum(size) OVER (PARTITION BY gp.split ORDER BY size, ar) <= d AS gone FROM gp JOIN hv ON gp.split = hv.split),
+o2 AS (SELECT *, sum(CASE WHEN gone THEN size ELSE 0 END) OVER (ORDER BY size, ar) - size / 2.0 AS mid FROM o1),
+rb AS (SELECT o2.ar, o2.size, coalesce(lk.split, o2.split) AS split FROM o2 LEFT JOIN lk ON o2.gone AND mid >= lo AND mid < hi)"""
 
 
-@query("d14_group_split_greedy")
+@query("d15_rebalance", f"WITH {REBALANCED} SELECT ar, size, split FROM rb")
 def _(spark, sf):
     o = orders_items(spark, sf)
-    plan = S.assign_greedy(S.group_sizes(o, "ar"), "ar", goals(spark, sf), 42, rebalance=False)
-    return plan.groupBy("split").agg(F.count(F.lit(1)).alias("n_groups"), F.sum("size").alias("n_items"))
+    n = o.count()
+    plan = S.assign_cumulative(S.group_sizes(o, "ar"), "ar", {"train": 70, "cv": 15, "test": 15}, 42)
+    return S.rebalance(plan, "ar", {"train": n * 55 // 100, "cv": n // 4, "test": n // 5})
 
 
-@query("d15_rebalance")
+@query("d16_target_override", f"""WITH {ORDERS}, gs AS (SELECT ar, count(*) AS size FROM oi GROUP BY 1),
+gu AS (SELECT ar, size, sum(size) OVER (ORDER BY {u_sql(1, 'ar')}, ar) AS cum, sum(size) OVER () AS total FROM gs),
+gp AS (SELECT ar, size, CASE WHEN (cum - size / 2.0) / total < CAST(total // 2 AS DOUBLE) / total THEN 'train'
+  WHEN (cum - size / 2.0) / total < CAST(total // 2 + total // 4 AS DOUBLE) / total THEN 'cv' ELSE 'test' END AS split FROM gu)
+SELECT ar, split, size AS n FROM gp""")
 def _(spark, sf):
     o = orders_items(spark, sf)
-    plan = S.assign_greedy(S.group_sizes(o, "ar"), "ar", goals(spark, sf), 42, order="size-desc")
-    return plan.groupBy("split").agg(F.count(F.lit(1)).alias("n_groups"), F.sum("size").alias("n_items"))
+    n = o.count()
+    want = S.default_targets(o, {"train": n // 2, "cv": n // 4, "test": n - n // 2 - n // 4})
+    return S.group_split(o.drop("split"), "ar", want, 1).groupBy("ar", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d16_target_override")
+@query("d08_null_label", f"WITH {ORDERS} SELECT count(*) AS n, count(*) AS kept FROM oi WHERE id % 7 = 0")
 def _(spark, sf):
-    o = orders_items(spark, sf)
-    n = o.count()
-    want = S.default_targets(o, {"train": n // 2, "cv": n // 4, "test": n - n // 2 - n // 4})
-    return S.group_split(o.drop("split"), "ar", want, 1).groupBy("split").agg(
-        F.count(F.lit(1)).alias("n_items"), F.countDistinct("ar").alias("n_groups"))
+    o = orders_items(spark, sf).withColumn("label", F.when(F.col("id") % 7 != 0, F.col("label")))
+    d = M.downsample(o, "id", "ar", "label", targets={"NONE": 10, "C": 5}, seed=3)
+    return d.where("label IS NULL").agg(F.count(F.lit(1)).alias("n"), F.count_if("keep").alias("kept"))
 
 
 @query("d17_group_integrity", f"WITH {ORDERS} SELECT count(*) AS n_items, count(DISTINCT ar) AS n_groups FROM oi")

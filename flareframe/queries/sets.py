@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from flareframe.operators import reports as R
 from flareframe.operators import splits as S
-from flareframe.queries.inputs import GROUPED, ITEMS, ORDERS, items, orders_items, table
+from flareframe.queries.inputs import GROUPED, ITEMS, ORDERS, items, orders_items, table, u_sql
 from flareframe.queries.registry import query
 
 
-def grouped(spark, sf, mode="cumulative"):
+def grouped(spark, sf):
     """The order items re-split by customer."""
     return S.group_split(orders_items(spark, sf).drop("split"), "ar",
-                         {"train": 70, "cv": 15, "test": 15}, 42, mode=mode)
+                         {"train": 70, "cv": 15, "test": 15}, 42)
 
 
 @query("j07_semi_join", "SELECT o_orderkey AS id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
@@ -37,6 +37,28 @@ def _(spark, sf):
     return grouped(spark, sf).select("id", "split")
 
 
+# every seventh order has no customer: each of those is a group of its own
+MISSING = f"""{ORDERS}, om AS (SELECT id, CASE WHEN id % 7 = 0 THEN 'AR_MISSING::' || CAST(id AS VARCHAR) ELSE CAST(ar AS VARCHAR) END AS g FROM oi),
+ms AS (SELECT g, count(*) AS size FROM om GROUP BY 1),
+mu AS (SELECT g, size, sum(size) OVER (ORDER BY {u_sql(42, 'g')}, g) AS cum, sum(size) OVER () AS total FROM ms),
+mp AS (SELECT g, CASE WHEN (cum - size / 2.0) / total < 70.0 / 100 THEN 'train' WHEN (cum - size / 2.0) / total < 85.0 / 100 THEN 'cv' ELSE 'test' END AS split FROM mu)"""
+
+
+@query("j09_missing_group", f"WITH {MISSING} SELECT om.id, mp.split FROM om JOIN mp USING (g)")
+def _(spark, sf):
+    o = orders_items(spark, sf).drop("split").withColumn("ar", F.when(F.col("id") % 7 != 0, F.col("ar")))
+    return S.group_split(o, "ar", {"train": 70, "cv": 15, "test": 15}, 42, item="id").select("id", "split")
+
+
+@query("o02_top_movers", f"""WITH {GROUPED}, a AS (SELECT DISTINCT split, ar FROM oi), b AS (SELECT DISTINCT split, ar FROM ni),
+m AS (SELECT x.split, x.ar, x.direction, gs.size FROM (SELECT split, ar, 'in' AS direction FROM (SELECT * FROM b EXCEPT SELECT * FROM a)
+  UNION ALL SELECT split, ar, 'out' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) x JOIN gs ON gs.ar = x.ar)
+SELECT * FROM (SELECT split, ar, direction, size, row_number() OVER (PARTITION BY split, direction ORDER BY size DESC, ar) AS place FROM m) WHERE place <= 20""")
+def _(spark, sf):
+    return S.top_movers(orders_items(spark, sf), grouped(spark, sf), "ar", 20).select(
+        "split", "ar", "direction", "size", F.col("place").cast("long").alias("place"))
+
+
 @query("j11_removed_rows", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def _(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))

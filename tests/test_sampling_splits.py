@@ -79,16 +79,15 @@ def test_stratified_split(items, strategy, want):
     assert sum(v for (s, _), v in n.items() if s == "test") <= 150
 
 
-@pytest.mark.parametrize("mode,order", [("greedy", "random"), ("greedy", "size-desc"), ("cumulative", "random")])
+@pytest.mark.parametrize("even", [False, True])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_group_split_never_straddles(items, mode, order, seed):
-    d = S.group_split(items, "ar", {"train": 700, "cv": 150, "test": 150}, seed, order, mode)
+def test_group_split_never_straddles(items, even, seed):
+    d = S.group_split(items, "ar", {"train": 700, "cv": 150, "test": 150}, seed, even=even)
     assert d.count() == 1000
     assert S.violations(d, "ar").count() == 0
     S.check_exclusive(d, "ar")
-    if mode == "greedy":
-        n = {r["split"]: r["count"] for r in d.groupBy("split").count().collect()}
-        assert abs(n["train"] - 700) < 80 and abs(n["cv"] - 150) < 80
+    n = {r["split"]: r["count"] for r in d.groupBy("split").count().collect()}
+    assert sum(n.values()) == 1000
 
 
 def test_group_larger_than_its_target(items):
@@ -96,10 +95,27 @@ def test_group_larger_than_its_target(items):
     assert d.count() == 1000 and S.violations(d, "ar").count() == 0
 
 
-def test_beyond_the_limit_the_distributed_form_runs(items):
-    a = S.group_split(items, "ar", {"train": 70, "cv": 15, "test": 15}, 1, max_groups=3)
-    b = S.group_split(items, "ar", {"train": 70, "cv": 15, "test": 15}, 1, mode="cumulative")
-    assert sorted(a.collect()) == sorted(b.collect())
+def test_items_without_a_group_stay(items):
+    d = items.withColumn("ar", F.when(F.col("id") % 10 != 0, F.col("ar")))
+    for item in ("id", None):
+        s = S.group_split(d, "ar", {"train": 70, "cv": 15, "test": 15}, 1, item=item)
+        assert s.count() == 1000 and s.where("split IS NULL").count() == 0
+        assert s.where("ar IS NULL").count() == 100
+    k = M.downsample(items.withColumn("label", F.when(F.col("id") % 10 != 0, F.col("label"))), "id", "ar", "label",
+                     targets={"NONE": 3}, seed=1)
+    assert k.count() == 1000 and k.where("label IS NULL AND NOT keep").count() == 0
+
+
+def test_rebalance_lowers_the_deviation(items):
+    sizes = S.group_sizes(items, "ar")
+    goal = {"train": 500, "cv": 300, "test": 200}
+    plan = S.assign_cumulative(sizes, "ar", {"train": 90, "cv": 5, "test": 5}, 1)
+
+    def off(p):
+        n = {r["split"]: r["n"] for r in p.groupBy("split").agg(F.sum("size").alias("n")).collect()}
+        return sum(abs(n.get(s, 0) - t) for s, t in goal.items())
+    new = S.rebalance(plan, "ar", goal)
+    assert new.count() == plan.count() and off(new) <= off(plan)
 
 
 def test_missing_groups_and_leaks_raise(spark, items):
