@@ -53,15 +53,15 @@ def base_label(col: Column) -> Column:
 
 
 def regression_label(col: Column) -> Column:
-    """Normalise a numeric event size: quotes off, upper case, 0.0 -> 0, 'C 1.2' -> 'C1.2'."""
-    s = F.upper(F.regexp_replace(F.trim(F.coalesce(col.cast("string"), F.lit("0"))),
-                                 r"^\"+|\"+$", ""))
-    s = F.regexp_replace(s, r"^'+|'+$", "")
-    sized = r"^\s*([CMX])\s*([0-9]+(?:\.[0-9]+)?)"
-    return (F.when(F.regexp_like(s, F.lit(r"^0+(\.0+)?$")), "0")
-            .when(F.regexp_like(s, F.lit(sized)),
-                  F.concat(F.regexp_extract(s, sized, 1), F.regexp_extract(s, sized, 2)))
-            .otherwise(s))
+    """Event size as text in one form: upper case without quotes or outer blanks.
+
+    A class letter C, M or X and a number lose blanks between them and anything after; every spelling of zero,
+    and null, is '0'; other text stays.
+    """
+    t = F.trim(F.upper(F.coalesce(col.cast("string"), F.lit("0"))), F.lit(" \t\"'"))
+    letter, size = F.left(t, F.lit(1)), F.regexp_substr(F.ltrim(F.substr(t, F.lit(2))), F.lit(r"^\d+(\.\d+)?"))
+    return (F.when(letter.isin("C", "M", "X") & size.isNotNull(), F.concat(letter, size))
+            .when(t.try_cast("double") == 0, "0").otherwise(t))
 
 
 def label_struct(col: Column) -> Column:

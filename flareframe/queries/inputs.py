@@ -165,9 +165,10 @@ CLASSES = """classes AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four-class and ordinal logits from the first embedding dimensions."""
+    """Four-class and ordinal logits: logit j is twice the sum of every fourth component from the j-th on."""
     e = table(spark, sf_dir, "embeddings")
-    x = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double") * 5.0)
+    x = F.array(*[F.aggregate(F.filter("embedding", lambda v, i: i % 4 == j), F.lit(0.0),
+                              lambda a, v: a + v.cast("double")) * 2.0 for j in range(4)])
     return e.select(F.col("vec_id").alias("id"), (F.col("label") % 4).alias("y"), x.alias("logits"),
                     F.slice(x, 1, 3).alias("ologits"),
                     F.transform(F.array(F.lit(1), F.lit(2), F.lit(4)), lambda b: F.floor(
@@ -175,8 +176,10 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LOGITS = """lg AS (SELECT vec_id AS id, label % 4 AS y, label,
-  CAST(embedding[1] AS DOUBLE) * 5 AS x0, CAST(embedding[2] AS DOUBLE) * 5 AS x1,
-  CAST(embedding[3] AS DOUBLE) * 5 AS x2, CAST(embedding[4] AS DOUBLE) * 5 AS x3 FROM embeddings)"""
+  list_sum(CAST(list_slice(embedding, 1, len(embedding), 4) AS DOUBLE[])) * 2 AS x0,
+  list_sum(CAST(list_slice(embedding, 2, len(embedding), 4) AS DOUBLE[])) * 2 AS x1,
+  list_sum(CAST(list_slice(embedding, 3, len(embedding), 4) AS DOUBLE[])) * 2 AS x2,
+  list_sum(CAST(list_slice(embedding, 4, len(embedding), 4) AS DOUBLE[])) * 2 AS x3 FROM embeddings)"""
 
 # one row per (id, class j)
 LONG = LOGITS + """, ll AS (SELECT id, y, label, unnest([0, 1, 2, 3]) AS j, unnest([x0, x1, x2, x3]) AS x FROM lg),

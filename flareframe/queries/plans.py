@@ -12,14 +12,18 @@ from flareframe.queries.metrics import B2, curve_sql, rates_sql
 from flareframe.queries.registry import query
 from flareframe.queries.sequences import CLIPS, T, clips
 
-# a flare is an event of value above 300: rare, like the real thing
-STRONG = f"""strong AS (SELECT event_id AS id, ts AS t_occ, {SEV_SQL} AS sev, {CLASS_SQL} AS class, ts AS a,
-  ts + to_minutes(CAST(CAST(floor(value) AS BIGINT) % 60 AS BIGINT)) AS b FROM events WHERE value > 300)"""
+# every event is a flare; those of value up to 300 are of the lowest class, so the others are rare, like the real thing
+STRONG = f"""strong AS (SELECT event_id AS id, ts AS t_occ, CASE WHEN value > 300 THEN {SEV_SQL} ELSE 1 END AS sev,
+  CASE WHEN value > 300 THEN {CLASS_SQL} ELSE 'A' END AS class, ts AS a,
+  ts + to_minutes(CAST(CAST(floor(value) AS BIGINT) % 60 AS BIGINT)) AS b FROM events)"""
 
 
 def strong(spark, sf):
-    ids = table(spark, sf, "events").where("value > 300").select(F.col("event_id").alias("id"))
-    return flare_events(spark, sf).join(ids, "id", "left_semi")
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), (F.col("value") > 300).alias("big"))
+    f = flare_events(spark, sf).join(e, "id")
+    cls = F.when(F.col("big"), F.col("class")).otherwise("A")
+    return f.withColumns({"class": cls, "sev": F.when(F.col("big"), F.col("sev")).otherwise(1),
+                          "flare_type": F.concat(cls, F.lit("1.0"))}).drop("big")
 
 
 WIN = f"""{HOURLY}, {BACKGROUND}, {STRONG}, w0 AS (SELECT satellite, background, unnest(generate_series(CAST(date AS TIMESTAMP), CAST(date AS TIMESTAMP) + INTERVAL 12 HOUR, INTERVAL 12 HOUR)) AS s FROM bgday),
@@ -111,7 +115,7 @@ def _(spark, sf):
 def _(spark, sf):
     f = frames(spark, sf)
     d = clip_dataset.build(f, 3, "1 hour", "1 hour", targets={"NONE": 200, "C": 300}, scheme="binary",
-                           threshold="M", mode="cumulative")
+                           threshold="M")
     return d.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ar").alias("n_groups"))
 
 

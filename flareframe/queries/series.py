@@ -10,8 +10,8 @@ from flareframe.queries.inputs import r6, table
 from flareframe.queries.registry import query
 
 # embeddings as series: id, position, value; every 17th point of every third row is NaN
-PTS = """pts AS (SELECT vec_id AS id, CAST(i - 1 AS BIGINT) AS pos, CASE WHEN vec_id % 3 = 0 AND i % 17 = 0 THEN 'nan'::DOUBLE ELSE CAST(embedding[i] AS DOUBLE) END AS x
-  FROM embeddings, (SELECT unnest(generate_series(1, 64)) AS i) k)"""
+PTS = """pts AS (SELECT vec_id AS id, CAST(i - 1 AS BIGINT) AS pos, CASE WHEN vec_id % 3 = 0 AND i % 17 = 0 THEN 'nan'::DOUBLE ELSE CAST(v AS DOUBLE) END AS x
+  FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"""
 Z = PTS + ", z AS (SELECT id, pos, CASE WHEN isnan(x) THEN 0 ELSE x END AS x FROM pts)"
 
 
@@ -87,7 +87,8 @@ def _(spark, sf):
     return s.select("var", *[r6(c).alias(c) for c in ("min", "max", "mean", "median", "data_std")], "npoints")
 
 
-@query("t07_stack_channels", f"""WITH {Z} SELECT a.id, a.pos, round(a.x, 6) + 0.0 AS c0, round(b.x, 6) + 0.0 AS c1 FROM z a JOIN z b ON a.id = b.id AND b.pos = 63 - a.pos WHERE a.id % 4 <> 0""")
+@query("t07_stack_channels", f"""WITH {Z}, l AS (SELECT id, list(x ORDER BY pos) AS xs FROM z WHERE id % 4 <> 0 GROUP BY 1),
+s AS (SELECT id, unnest(range(len(xs))) AS pos, unnest(xs) AS a, unnest(list_reverse(xs)) AS b FROM l) SELECT id, pos, round(a, 6) + 0.0 AS c0, round(b, 6) + 0.0 AS c1 FROM s""")
 def _(spark, sf):
     d = S.load_series(vecs(spark, sf), ["x"])
     other = F.when(F.col("id") % 4 == 0, F.slice(F.reverse("x"), 1, 60)).otherwise(F.reverse("x"))
@@ -177,12 +178,13 @@ def _(spark, sf):
         F.col("z.observed_mask")[0].alias("observed"), F.col("z.prediction_mask").alias("predicted"))
 
 
-@query("t15_affine", """SELECT vec_id AS id, CAST(i - 1 AS BIGINT) AS pos, round((CAST(embedding[i] AS DOUBLE) - [0.5, 0.25, 0.125][i]) / [0.2, 0.4, 0.8][i], 6) + 0.0 AS x
-FROM embeddings, (SELECT unnest([1, 2, 3]) AS i) k""")
+@query("t15_affine", """SELECT vec_id AS id, CAST(i AS BIGINT) AS pos, round((CAST(v AS DOUBLE) - i / CAST(128 AS DOUBLE)) / ((i + 1) / CAST(64 AS DOUBLE)), 6) + 0.0 AS x
+FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings)""")
 def _(spark, sf):
     e = table(spark, sf, "embeddings")
-    x = F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double"))
-    return points(e.select(F.col("vec_id").alias("id"), A.affine(x, [0.5, 0.25, 0.125], [0.2, 0.4, 0.8]).alias("x")))
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    shift, scale = [i / 128 for i in range(64)], [(i + 1) / 64 for i in range(64)]        # one pair per channel
+    return points(e.select(F.col("vec_id").alias("id"), A.affine(x, shift, scale).alias("x")))
 
 
 @query("f09_require_matched", "SELECT vec_id AS id FROM embeddings WHERE label % 3 <> 0 AND vec_id % 5 <> 0")

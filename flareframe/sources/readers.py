@@ -169,8 +169,6 @@ def read_stats(spark: SparkSession, path: str) -> DataFrame:
 
 # Layout of split-summary reports.
 _TABLE = r"^\[(train|cv|test)\]\s+(Per-label|Collapsed) composition"
-_ROW = (r"^\s*(.+?)\s*\|\s*(\d+)\s+([0-9.]+)%\s*\|\s*(\d+)\s+([0-9.]+)%\s*\|"
-        r"\s*([+\-]?\d+)\s+([+\-]?[0-9.]+)%")
 _BREAKDOWN = r"^(?i)Label breakdown per NEW split:"
 _SPLIT = r"^(?i)\s*\[(train|cv|test)\]\s+total\s*=\s*(\d+)"
 _ITEM = r"^\s*-\s*(.+?)\s*:\s*(\d+)\s*\(([0-9.]+)%\)"
@@ -202,9 +200,11 @@ def read_split_summaries(spark: SparkSession, top: str, pattern: str = "*.txt")
         .when(F.trim(x) == "", F.struct(F.lit("none").alias("category"), F.lit("").alias("split"))))
     d = lines.withColumn("h", F.last(head, ignorenulls=True).over(w))
     in_table = F.col("h.category").isin("per_label", "collapsed")
-    row = (F.when(in_table & has(_ROW), F.struct(
-        F.regexp_extract(x, _ROW, 1).alias("label"), F.regexp_extract(x, _ROW, 4).cast("long").alias("n"),
-        (F.regexp_extract(x, _ROW, 5).cast("double") / 100).alias("frac")))
+    cells = F.split(x, r"\|")                              # label | before | after | change
+    after = F.split(F.trim(F.get(cells, F.lit(2))), r"\s+")
+    n, share = F.get(after, F.lit(0)).try_cast("long"), F.rtrim(F.get(after, F.lit(1)), F.lit("%")).try_cast("double")
+    row = (F.when(in_table & (F.size(cells) == 4) & n.isNotNull() & share.isNotNull(), F.struct(
+        F.trim(F.get(cells, F.lit(0))).alias("label"), n.alias("n"), (share / 100).alias("frac")))
         .when((F.col("h.category") == "breakdown") & (F.col("h.split") != "") & has(_ITEM), F.struct(
             F.regexp_extract(x, _ITEM, 1).alias("label"), F.regexp_extract(x, _ITEM, 2).cast("long").alias("n"),
             (F.regexp_extract(x, _ITEM, 3).cast("double") / 100).alias("frac"))))

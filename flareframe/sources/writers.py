@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flareframe.functions.names import base_name, base_names
@@ -88,16 +88,15 @@ def summary_lines(comp: DataFrame, collapsed: bool = False) -> DataFrame:
     """Text lines (split, line_no, line) of a composition comparison: one table per split."""
     title = "Collapsed composition (NONE vs M+ vs OTHER)" if collapsed else \
         "Per-label composition (original vs new)"
-    row = F.format_string("  %-22s | %7d  %6.2f%% | %7d  %6.2f%% | %+6d  %+6.2f%%", "label", "orig_n",
-                          F.col("orig_frac") * 100, "new_n", F.col("new_frac") * 100, "d_n",
-                          F.col("d_frac") * 100)
-    rows = comp.select("split", F.struct(F.lit(3).alias("k"), (-F.col("orig_n")).alias("n"),
+    def cell(n: str, frac: str, sign: str = "") -> Column:
+        return F.format_string(f"%{sign}d %{sign}.2f%%", n, F.col(frac) * 100)
+    row = F.concat_ws(" | ", "label", cell("orig_n", "orig_frac"), cell("new_n", "new_frac"), cell("d_n", "d_frac", "+"))
+    rows = comp.select("split", F.struct(F.lit(2).alias("k"), (-F.col("orig_n")).alias("n"),
                                          F.col("label")).alias("o"), row.alias("line"))
     heads = comp.select("split").distinct().select("split", F.explode(F.array(*[
         F.struct(F.lit(i).alias("k"), s.alias("line")) for i, s in enumerate((
             F.concat(F.lit("["), F.col("split"), F.lit(f"] {title}:")),
-            F.lit("  label                 |  orig_n   orig_%   |   new_n    new_%   |  dn     d%"),
-            F.lit("  ----------------------|---------------------|---------------------|----------------")))]))
+            F.lit("label | before | after | change")))]))
         .alias("h")).select("split", F.struct(F.col("h.k").alias("k"), F.lit(0).cast("long").alias("n"),
                                               F.lit("").alias("label")).alias("o"), "h.line")
     return heads.unionByName(rows)
