@@ -47,9 +47,9 @@ def sample_k(df: DataFrame, id: str, k: int, seed: int) -> DataFrame:
 
 def weighted_key(seed: int | str, id: str, w: Column) -> Column:
     """Sort key -ln(u)/w: ascending order is a weighted order without replacement;
-    weight 0 sorts last."""
-    return F.when(w > 0, -F.log(uniform(seed, id)) / F.nullif(w, F.lit(0.0))) \
-        .otherwise(F.lit(float("inf")))
+    weight 0 sorts last, in random order too, so those rows share no key and no task."""
+    u = uniform(seed, id)
+    return F.when(w > 0, -F.log(u) / F.nullif(w, F.lit(0.0))).otherwise(F.lit(1e308) * (1 + u / 2))
 
 
 def rank_weighted(df: DataFrame, keys: Sequence[str], id: str, w: str, seed: int | str,

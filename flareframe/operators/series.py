@@ -102,6 +102,17 @@ def series_stats(df: DataFrame, cols: Sequence[str], n: int,
         .withColumn("npoints", F.lit(n).cast("long"))
 
 
+def context_lengths(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The lengths that occur in the data: (var, npoints, n_series); null series count as length 0.
+
+    One length per variable means that the series share a context; several, that they must be cut or padded first.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("var"), F.coalesce(F.size(c), F.lit(0)).cast("long").alias("npoints"))
+                               for c in cols]))
+    return (df.select(each.alias("s")).groupBy("s.var", "s.npoints")
+            .agg(F.count(F.lit(1)).alias("n_series")))
+
+
 def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str) -> DataFrame:
     """Global statistics per feature: ``minmax`` (a=min, b=max), ``zscore`` (a=mean,
     b=population std) or ``robust`` (a=median, b=1.4826 MAD); b of 0 becomes 1 except

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from flareframe.functions import labels as L
@@ -39,6 +41,21 @@ def _(spark, sf):
                     stamp("timestamp_start").alias("t_start"), stamp("timestamp_end").alias("t_end"))
 
 
+@query("s08_read_events", f"""WITH {FLARES} SELECT strftime(timestamp_start, '%Y-%m-%d %H:%M:%S') AS t_occ, class, CAST(sev AS BIGINT) AS sev,
+  CASE WHEN id % 5 <> 0 THEN strftime(timestamp_end, '%Y-%m-%d %H:%M:%S') END AS t_end FROM flares WHERE id % 7 <> 0""")
+def _(spark, sf):
+    from flareframe.session import shared_dir
+    from flareframe.sources.readers import read_events
+    path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    flare_events(spark, sf).select(
+        stamp("timestamp_start").alias("Start_Time"),
+        F.when(F.col("id") % 5 != 0, stamp("timestamp_end")).alias("timestamp_end"),
+        F.when(F.col("id") % 7 != 0, F.concat(F.lower("class"), F.lit("1.0"))).alias("CLASS")
+    ).write.option("header", True).csv(path)
+    return read_events(spark, path).select(stamp("t_occ").alias("t_occ"), "class", F.col("sev").cast("long").alias("sev"),
+                                           stamp("timestamp_end").alias("t_end"))
+
+
 @query("a01_resample_mean", f"WITH {HOURLY} SELECT satellite, strftime(ts, '%Y-%m-%d %H:%M:%S') AS t, round(flux, 6) AS flux FROM hourly")
 def _(spark, sf):
     return hourly(spark, sf).select("satellite", stamp("ts").alias("t"), r6("flux").alias("flux"))
@@ -171,6 +188,14 @@ def _(spark, sf):
     return w.select("ar", F.date_format("end", "yyyy-MM-dd").alias("day"), "flare_class")
 
 
+@query("j02_null_end", f"""WITH {DAYS} SELECT d.ar, strftime(s, '%Y-%m-%d') AS day, CASE WHEN d.ar % 3 = 0 THEN 'NONE' ELSE {sev_to_class_sql('max(sev)')} END AS flare_class
+FROM d LEFT JOIN fu ON d.ar = fu.ar AND t_occ > e AND t_occ <= e + INTERVAL 12 HOUR GROUP BY 1, 2""")
+def _(spark, sf):
+    d = user_days(spark, sf).withColumn("end", F.when(F.col("ar") % 3 != 0, F.col("end")))
+    w = E.label_ahead(d, user_events(spark, sf), ["ar"], "end", "12 hours")
+    return w.select("ar", F.date_format("start", "yyyy-MM-dd").alias("day"), "flare_class")
+
+
 @query("j03_events_within", f"""WITH {DAYS} SELECT d.ar, strftime(e, '%Y-%m-%d') AS day, CAST(coalesce(max(sev), 0) AS BIGINT) AS sev
 FROM d LEFT JOIN fu ON d.ar = fu.ar AND t_occ >= s + INTERVAL 6 HOUR AND t_occ <= e GROUP BY 1, 2""")
 def _(spark, sf):

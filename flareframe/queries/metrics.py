@@ -248,6 +248,16 @@ SELECT round(threshold, 6) AS tau, round(mt, 6) + 0.0 AS mean_tss, round(st, 6)
                    ["tau", "mean_tss", "std_tss", "mean_recall", "mean_precision", "mean_f1"])
 
 
+@query("m30_consensus_weighted", f"""WITH {INTERP}, m AS (SELECT tick, threshold, sum(tss * (run + 1)) / sum(run + 1) AS mt, stddev_samp(tss) AS st, sum(recall * (run + 1)) / sum(run + 1) AS mr FROM gv GROUP BY 1, 2),
+x AS (SELECT *, row_number() OVER (ORDER BY mt - 0.1 * st DESC, tick) AS k FROM m)
+SELECT round(threshold, 6) AS tau, round(mt, 6) + 0.0 AS mean_tss, round(st, 6) AS std_tss, round(mr, 6) AS mean_recall FROM x WHERE k = 1""")
+def _(spark, sf):
+    curves = run_curves(spark, sf)
+    w = curves.select("run").distinct().withColumn("weight", F.col("run") + 1)
+    d = C.consensus_threshold(curves, "run", penalty=0.1, weights=w, ticks=101)
+    return rnd(d.select("tau", "mean_tss", "std_tss", "mean_recall"), ["tau", "mean_tss", "std_tss", "mean_recall"])
+
+
 _consensus("m30_consensus_threshold", 0.3, None, 0.05)
 _consensus("m30_consensus_relaxed", 2.0, 0.1, 0.0)
 

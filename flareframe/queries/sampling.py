@@ -39,7 +39,7 @@ p1 AS (SELECT *, t >= g AS many, CASE WHEN t >= g AND resum > 0 THEN CAST(size -
 p2 AS (SELECT *, floor(ideal) AS fl, ideal - floor(ideal) AS rem FROM p1),
 p3 AS (SELECT *, t - g - sum(fl) OVER (PARTITION BY label) AS lft, sum(rem) OVER (PARTITION BY label) AS remsum FROM p2),
 p4 AS (SELECT *, CASE WHEN NOT many THEN CAST(size AS DOUBLE) WHEN remsum > 0 THEN rem ELSE CAST(size - 1 AS DOUBLE) END AS w FROM p3),
-p5 AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN w > 0 THEN -ln({u_sql(3, "label", "ar")}) / w ELSE 'inf'::DOUBLE END, label || ':' || ar) AS rk FROM p4),
+p5 AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN w > 0 THEN -ln({u_sql(3, "label", "ar")}) / w ELSE 1e308::DOUBLE * (1 + {u_sql(3, "label", "ar")} / 2) END, label || ':' || ar) AS rk FROM p4),
 plan AS (SELECT label, ar, size, t AS target, CAST(CASE WHEN many THEN least(size, 1 + fl + CASE WHEN resum > 0 AND rk <= lft THEN 1 ELSE 0 END)
   WHEN rk <= t THEN 1 ELSE 0 END AS BIGINT) AS keep_n FROM p5)"""
 FEW = ORDERS + """, tg AS (SELECT label, CAST(300 AS BIGINT) AS target FROM oi GROUP BY 1), """ + PLAN

@@ -87,6 +87,13 @@ def _(spark, sf):
     return s.select("var", *[r6(c).alias(c) for c in ("min", "max", "mean", "median", "data_std")], "npoints")
 
 
+@query("a12_context_lengths", """WITH v AS (SELECT CASE WHEN vec_id % 4 = 0 THEN 60 WHEN vec_id % 11 = 0 THEN 0 ELSE len(embedding) END AS n FROM embeddings)
+SELECT 'x' AS var, CAST(n AS BIGINT) AS npoints, count(*) AS n_series FROM v GROUP BY n""")
+def _(spark, sf):
+    d = vecs(spark, sf).withColumn("x", F.when(F.col("id") % 4 == 0, F.slice("x", 1, 60)).when(F.col("id") % 11 != 0, F.col("x")))
+    return S.context_lengths(d, ["x"])
+
+
 @query("t07_stack_channels", f"""WITH {Z}, l AS (SELECT id, list(x ORDER BY pos) AS xs FROM z WHERE id % 4 <> 0 GROUP BY 1),
 s AS (SELECT id, unnest(range(len(xs))) AS pos, unnest(xs) AS a, unnest(list_reverse(xs)) AS b FROM l) SELECT id, pos, round(a, 6) + 0.0 AS c0, round(b, 6) + 0.0 AS c1 FROM s""")
 def _(spark, sf):

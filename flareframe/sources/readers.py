@@ -94,6 +94,13 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
         .select("ImgName", "r.Label")
 
 
+def read_events(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Normalised events of CSV files with a header; columns may come in any order, case and alias."""
+    from flareframe.operators.events import normalise_events
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(paths if isinstance(paths, str) else list(paths))
+    return normalise_events(raw)
+
+
 def read_keys(spark: SparkSession, path: str, name: str = "ar") -> DataFrame:
     """One key per line, '#' lines and blanks skipped."""
     v = F.trim(F.col("value"))
