@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flareframe.llm.common import given, texts_of
+from flareframe.llm.common import given, materialise, texts_of
 from flareframe.llm.tokens import encoder
 
 CACHE = "version string, content binary, n_tokens long"
@@ -59,4 +59,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
     misses = distinct.join(stored().select("content"), "content", "left_anti")
     encode_counts(misses.select("content", "text"), tokenizer, version).write.mode("append").parquet(cache)
     lens = keyed.select(given().alias("doc_id"), "content", F.octet_length("text").cast("long").alias("n_bytes"))
-    return lens.join(stored(), "content").select("doc_id", "n_bytes", "n_tokens")
+    # a plain join of two stored sides, which Spark can split where one content is frequent
+    return lens.join(materialise(stored()), "content").select("doc_id", "n_bytes", "n_tokens")
