@@ -81,12 +81,12 @@ def fixed_series(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[s
     """
     stride = stride or n * step
     stride = max(stride, 1)
-    isl = islands(df, keys, ts, every)
+    isl = islands(df, keys, ts, every, block=block)
     pos = F.col("pos")
-    starts = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                    lambda k: F.struct((pos - k * step).alias("s"), k.alias("k"))),
-        lambda x: (x["s"] >= 0) & (x["s"] % stride == 0))
+    first = (F.ceil(F.greatest(pos - (n - 1) * step, F.lit(0)) / stride) * stride).cast("long")
+    own = F.filter(F.sequence(first, pos.cast("long"), F.lit(stride).cast("long")), lambda s: (pos - s) % step == 0)
+    starts = F.when(first <= pos, F.transform(own, lambda s: F.struct(
+        s.alias("s"), ((pos - s) / step).cast("long").alias("k"))))
     cols = [ts, *values] + ([label] if label and label not in values else [])
     pts = isl.select(*keys, "island", *cols, F.explode(starts).alias("__x"))
     pts = pts.select(*keys, "island", F.col("__x.s").alias("start_pos"), F.struct(

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flareframe.operators import grid as G
-from flareframe.plans import clip_dataset, datasets, flux_windows, verification
+from flareframe.plans import clip_dataset, datasets, feature_series, flux_windows, verification
 from flareframe.queries.inputs import (BACKGROUND, CLASS_SQL, HOURLY, SCORES, SEV_SQL, background, flare_events, flux,
                                        frames, r6, scores, stamp, table)
 from flareframe.queries.metrics import B2, curve_sql, rates_sql
 from flareframe.queries.registry import query
-from flareframe.queries.sequences import CLIPS, T, clips
+from flareframe.queries.sequences import CLIPS, ISLANDS, T, clips
 
 # every event is a flare; those of value up to 300 are of the lowest class, so the others are rare, like the real thing
 STRONG = f"""strong AS (SELECT event_id AS id, ts AS t_occ, CASE WHEN value > 300 THEN {SEV_SQL} ELSE 1 END AS sev,
@@ -111,6 +111,21 @@ def _(spark, sf):
         F.col("flare_ts_type").alias("ts_type"), F.col("n_minutes").cast("long").alias("n"))
 
 
+@query("e4_feature_series", f"""WITH {ISLANDS},
+st AS (SELECT a.ar, a.island, a.pos AS start_pos FROM isl a WHERE a.pos % 2 = 0 AND EXISTS (SELECT 1 FROM isl z WHERE z.ar = a.ar AND z.island = a.island AND z.pos = a.pos + 2)),
+m AS (SELECT st.ar, st.island, st.start_pos, i.ts, i.v, i.label, i.pos - st.start_pos AS k FROM st JOIN isl i ON i.ar = st.ar AND i.island = st.island AND i.pos BETWEEN start_pos AND start_pos + 2),
+z AS (SELECT avg(v) AS a, stddev_pop(v) AS b FROM m)
+SELECT ar, strftime(min(ts), {T}) AS date_start, strftime(max(ts), {T}) AS date_end, arg_max(label, ts) AS flare_type, count(*) AS npoints, CAST(60 AS BIGINT) AS dt,
+  round(sum((v - a) / b * (k + 1)), 4) + 0.0 AS feat1, round(sum((v - a) / b * (k + 1)), 4) + 0.0 AS feat29 FROM m, z GROUP BY ar, island, start_pos""")
+def _(spark, sf):
+    f = frames(spark, sf)
+    rows = f.select("ar", "ts", F.transform(F.sequence(F.lit(0), F.lit(28)), lambda i: F.col("v") + i).alias("features"),
+                    F.when(F.col("label") == "NONE", "0.0").otherwise(F.concat("label", F.lit(" 1.0"))).alias("reg_label"))
+    d = feature_series.normalise(feature_series.build(rows, 3, "1 hour", "24 hours", stride=2), "zscore")
+    return d.select("ar", "date_start", "date_end", "flare_type", "npoints", "dt", r6(weighted("feat1"), 4).alias("feat1"),
+                    r6(weighted("feat29"), 4).alias("feat29"))
+
+
 @query("e2_clip_dataset")
 def _(spark, sf):
     f = frames(spark, sf)
