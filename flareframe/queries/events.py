@@ -279,17 +279,12 @@ def _(spark, sf):
 
     from flareframe.queries.inputs import table
     from flareframe.session import shared_dir
-    from flareframe.streaming.resample import resample_stream
+    from flareframe.streaming.resample import latest_bins, resample_stream, run_bins
     out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = spark.readStream.schema(table(spark, sf, "events").schema) \
         .option("pathGlobFilter", "events.parquet").parquet(sf)
     live = events.select(F.col("event_type").alias("satellite"), "ts", F.col("value").alias("flux"))
 
-    def sink(batch, _):
-        batch.write.mode("overwrite").parquet(f"{out}/bins")
-
-    q = resample_stream(live, KEY, "ts", "flux", "1 hour").writeStream.outputMode("complete") \
-        .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(sink).start()
-    q.awaitTermination()
-    d = spark.read.parquet(f"{out}/bins")
+    run_bins(resample_stream(live, KEY, "ts", "flux", "1 hour"), out)
+    d = latest_bins(spark, out, [*KEY, "ts"])
     return d.select("satellite", stamp("ts").alias("t"), r6("flux", 8).alias("flux"))

@@ -80,3 +80,27 @@ def test_normalise_events(spark):
                                 "TIMESTAMP string, Start_Time string, Flare_Type string")
     rows = sorted((r["class"], r["t_occ"]) for r in E.normalise_events(raw).collect())
     assert rows == [("M", at(5)), ("X", at(60))]
+
+
+def test_stream_drops_late_rows_and_frees_state(spark, tmp_path):
+    from flareframe.streaming.resample import latest_bins, resample_stream, run_bins
+    files = [[("a", "2024-01-01 01:10:00", 1.0), ("a", "2024-01-01 01:20:00", 3.0)],
+             [("a", "2024-01-01 09:30:00", 5.0)],
+             [("a", "2024-01-01 01:30:00", 99.0), ("a", "2024-01-01 09:40:00", 7.0)]]
+    schema = "k string, ts timestamp_ntz, v double"
+    for i, rows in enumerate(files):
+        d = spark.createDataFrame(rows, "k string, ts string, v double").selectExpr("k", "to_timestamp_ntz(ts) AS ts", "v")
+        d.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        live = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        run_bins(resample_stream(live, ["k"], "ts", "v", "1 hour", "1 hour"), str(tmp_path / "out"))
+    got = {str(r.ts)[11:13]: r.v for r in latest_bins(spark, str(tmp_path / "out"), ["k", "ts"]).collect()}
+    assert got == {"01": 2.0, "09": 6.0}
+
+
+def test_windows_with_a_null_bound_stay(spark):
+    w = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", None)], "k string, e string") \
+        .selectExpr("k", "to_timestamp_ntz(e) AS e", "to_timestamp_ntz('2024-01-01 00:00:00') AS s")
+    ev = spark.createDataFrame([("a", "2024-01-01 03:00:00", 5)], "k string, t string, sev int") \
+        .selectExpr("k", "to_timestamp_ntz(t) AS t_occ", "sev")
+    assert sorted(r.flare_class for r in E.label_ahead(w, ev, ["k"], "e", "6 hours").collect()) == ["NONE", "X"]
+    assert E.events_within(w, ev, ["k"], "s", "e").count() == 2
