@@ -294,7 +294,7 @@ def repeated(texts: DataFrame, flagged: DataFrame, alphabet: Alphabet, k: int, w
 
     ``flagged``: (id, place, dup) of the regions that are settled as repeated or open.
     """
-    span, w2 = k + w - 1, max(1, w // 3)
+    span, w2 = k + w - 1, min(w, max(3, w // 9))
     k2 = span - w2 + 1
     flagged = materialise(flagged)
     cuts = materialise(_cut_out(texts, flagged.where("NOT dup"), alphabet, span))
