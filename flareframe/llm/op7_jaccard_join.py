@@ -85,19 +85,19 @@ def _combinations(nodes: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, s): sorted sets of the wanted (id, node), computed again from the texts of those ids."""
-    ids = wanted.select(F.col("id"), F.col("node").alias("want"))
-    rows = blobs(texts).join(ids, "id")
+    """(node, paired, family, s): sorted sets of the wanted (id, node, paired, family), computed again from the texts
+    of those ids.  Equal rows with one id give equal sets several times, which changes no link."""
+    rows = blobs(texts).join(wanted.withColumnRenamed("node", "want"), "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for z, want in zip(b["z"], b["want"]):
+            for z, want, paired, family in zip(b["z"], b["want"], b["paired"], b["family"]):
                 s = shingle_set(unblob(z), k)
                 if len(s) and node_of(s) == want:
-                    out.append((want, s.tobytes()))
-            yield pd.DataFrame(out, columns=["node", "s"])
-    return rows.select("z", "want").mapInPandas(run, "node long, s binary").dropDuplicates(["node"])
+                    out.append((want, paired, family, s.tobytes()))
+            yield pd.DataFrame(out, columns=["node", "paired", "family", "s"])
+    return rows.select("z", "want", "paired", "family").mapInPandas(run, "node long, paired boolean, family boolean, s binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -243,9 +243,13 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: st
     met = combined.join(heads, "key").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     families = materialise(components(met).withColumnRenamed("id", "node").withColumnRenamed("component", "family")
                            .join(classes.select("node", "n"), "node"))
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(families.select("node")).distinct()
+    yes, no = F.lit(True), F.lit(False)
+    involved = (pairs.select(F.col("a").alias("node"), yes.alias("p"), no.alias("f"))
+                .union(pairs.select("b", yes, no)).union(families.select("node", no, yes))
+                .groupBy("node").agg(F.bool_or("p").alias("paired"), F.bool_or("f").alias("family")))
     sets = materialise(_sets(texts, materialise(involved.join(classes.select("node", "id"), "node")), k))
-    links = _verified(pairs, sets, percent).union(_within(families, sets, percent))
+    links = _verified(pairs, sets.where("paired").select("node", "s"), percent).union(
+        _within(families, sets.where("family").select("node", "s"), percent))
     groups = components(links)
     labelled = base.select(given().alias("id"), "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(groups.withColumnRenamed("id", "node"), "node", "left") \
         .withColumn("label", F.coalesce("component", "node"))
