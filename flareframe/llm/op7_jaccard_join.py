@@ -22,6 +22,10 @@ RARE = 16
 BLOCK = 512
 
 
+#: Bits of the map that keeps most texts no set is wanted of out of the shuffle; its size is fixed (1 MB).
+BITS = 1 << 23
+
+
 def shingle_set(raw: bytes, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles of A-Z lower-cased text; of all words where there are fewer."""
     w = np.fromiter(map(xxhash.xxh64_intdigest, raw.lower().split()), np.uint64)
@@ -87,7 +91,19 @@ def _combinations(nodes: DataFrame) -> DataFrame:
 def _sets(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, paired, family, s): sorted sets of the wanted (id, node, paired, family), computed again from the texts
     of those ids.  Equal rows with one id give equal sets several times, which changes no link."""
-    rows = blobs(texts).join(wanted.withColumnRenamed("node", "want"), "id")
+    bit = F.pmod(F.xxhash64("id"), F.lit(BITS))
+    words = wanted.groupBy((bit / 64).cast("int").alias("w")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("m")).toPandas()
+    marks = np.zeros(BITS // 64, np.int64)
+    marks[words["w"].to_numpy(dtype=np.int64)] = words["m"]
+    sent = texts.sparkSession.sparkContext.broadcast(marks.view(np.uint64))
+
+    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = b["bit"].to_numpy(dtype=np.int64)
+            yield b.loc[(sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1, ["id", "text"]]
+    some = texts.withColumn("bit", bit).mapInPandas(likely, "id long, text string")
+    rows = blobs(some).join(wanted.withColumnRenamed("node", "want"), "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
