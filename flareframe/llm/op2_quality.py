@@ -65,12 +65,13 @@ class RuleModel:
     bias: float
     rules: tuple[tuple[Rule, float], ...]
 
-    def score(self) -> Column:
-        """The ensemble as one expression over the columns of :func:`text_stats`."""
+    def score(self, named: dict[str, str] | None = None) -> Column:
+        """The ensemble as one expression over the columns of :func:`text_stats`, or those ``named`` for them."""
         total = F.lit(self.bias)
         for rule, weight in self.rules:
             holds = F.lit(True)
             for stat, above, cut in rule:
+                stat = (named or {}).get(stat, stat)
                 holds &= (F.col(stat) > cut) if above else (F.col(stat) <= cut)
             total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flareframe.llm.common import given, new_folder, remove_folder, texts_of
+from flareframe.llm.common import NO_ID, given, new_folder, remove_folder, texts_of
 
 # What counts as white space at the ends of a line.
 BLANK = " \t\n\x0b\x0c\r"
@@ -70,7 +70,7 @@ class LineRuns:
 
 
 def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3,
-               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+               id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped): every text without the lines that ``min_docs`` or more documents have.
 
     A line's key is the line with white space stripped at both ends and A-Z lower-cased; keys shorter than
@@ -81,37 +81,46 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
 
     Null and empty texts are one empty line, and come back as the empty text.  Rows with the same id count as one
     document and are cut each, and so do rows with null ids; an empty table gives no rows; other columns
-    are not read.
+    are not read.  ``row_col``: a unique, stored number of the row, returned as ``row``; the lines to drop then go to
+    rows, not to ids.
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "line-runs")
-    rows = texts_of(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    rows, own = texts_of(docs, id_col, text_col), ["id"]
+    if row_col is not None:
+        own = ["id", "row"]
+        rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
+                           F.col(text_col).cast("string").alias("text"), F.col(row_col).cast("long").alias("row"))
+    at = own[-1]
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
     keys = F.filter(F.transform(F.split("text", "\n", -1), line_key), lambda k: F.char_length(k) >= min_chars)
-    hashed = rows.select("id", F.explode(F.array_distinct(F.transform(keys, lambda k: F.unhex(F.md5(k.cast("binary"))))))
+    hashed = rows.select(*own, F.explode(F.array_distinct(F.transform(keys, lambda k: F.unhex(F.md5(k.cast("binary"))))))
                          .alias("key"))
     hashed.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")) \
         .write.partitionBy("batch").parquet(f"{folder}/keys")
-    stored = spark.read.schema("id long, key binary, batch int").parquet(f"{folder}/keys")
+    stored = spark.read.schema(", ".join([*(f"{c} long" for c in own), "key binary, batch int"])).parquet(f"{folder}/keys")
     runs = LineRuns(spark, folder, min_docs, fanout)
     for b in range(batches):
-        runs.add(stored.where(F.col("batch") == b).distinct().select("key"))
+        runs.add(stored.where(F.col("batch") == b).select("id", "key").distinct().select("key"))
     runs.frequent().write.parquet(f"{folder}/frequent")
     frequent = spark.read.schema("key binary").parquet(f"{folder}/frequent")
-    hits = stored.join(frequent, "key").groupBy("id").agg(F.collect_set("key").alias("drop")) \
-        .withColumnRenamed("id", "hit_id")
+    hits = stored.join(frequent, "key").groupBy(at).agg(F.collect_set("key").alias("drop")) \
+        .withColumnRenamed(at, "hit")
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             out = []
-            for doc, text, drop in zip(p["id"], p["text"], p["drop"]):
+            for *of, text, drop in zip(*(p[c] for c in own), p["text"], p["drop"]):
                 lines = text.split("\n")
                 if drop is None:
-                    out.append((doc, text, len(lines), 0))
+                    out.append((*of, text, len(lines), 0))
                     continue
                 gone = {bytes(k) for k in drop}
                 kept = [x for x in lines if hashlib.md5(x.strip(BLANK).translate(TO_LOWER).encode(),
                                                         usedforsecurity=False).digest() not in gone]
-                out.append((doc, "\n".join(kept), len(lines), len(lines) - len(kept)))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "n_lines", "n_dropped"])
-    joined = rows.join(hits, F.col("id") == F.col("hit_id"), "left").select("id", "text", "drop")
-    return joined.mapInPandas(cut, "doc_id long, text string, n_lines long, n_dropped long").withColumn("doc_id", given("doc_id"))
+                out.append((*of, "\n".join(kept), len(lines), len(lines) - len(kept)))
+            yield pd.DataFrame(out, columns=[*names, "text", "n_lines", "n_dropped"])
+    names = ["doc_id", *own[1:]]
+    joined = rows.join(hits, F.col(at) == F.col("hit"), "left").select(*own, "text", "drop")
+    schema = ", ".join([*(f"{c} long" for c in names), "text string, n_lines long, n_dropped long"])
+    return joined.mapInPandas(cut, schema).withColumn("doc_id", given("doc_id"))

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest_llm import LOW
+from conftest_llm import LOW, jaccard_sets, merge
 from flareframe.llm import op4_decontamination as d4
 from flareframe.llm.op2_quality import STATS, fit_quality, fit_rules, score_quality, stats_of, text_stats
 from flareframe.llm.queries import QUERIES, SQL
@@ -124,6 +124,64 @@ def test_pipeline_stages(spark):
     assert p.run(spark, SF).select("doc_id").distinct().count() == kept[-1]
 
 
+def test_pipeline_stages_judge_rows(spark):
+    """Null ids, repeated ids and rows, null texts, clashing names: every stage against plain Python, row by row."""
+    import corpus_pipeline as p
+    base = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").select("doc_id", "text").limit(60).collect()
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    passage = max((t for _, t in bench if t), key=len)
+    prose = [" ".join(f"q{i}y{j}" for j in range(30)) for i in range(8)]
+    rows = [(r.doc_id, r.text) for r in base] + [(None, r.text) for r in base[:12]] + [(base[0].doc_id, r.text) for r in base[20:32]]
+    rows += [(9001, prose[0] + "\nCommon line"), (9001, prose[0] + "\nCommon line"), (9001, prose[0] + "\nCommon line"),
+             (None, prose[1]), (None, prose[1]), (9003, prose[2] + " end"), (None, prose[2]), (9002, prose[2] + " end"),
+             (None, None), (9004, None), (9004, ""), (None, passage), (9005, passage), (9005, prose[3]), (9006, prose[4])]
+    rows += [(9100 + i, f"z{i}\ncommon LINE ") for i in range(9)] + [(None, "n1\ncommon line"), (None, "n2\ncommon line\nn3")]
+    rows = [(d, t, len(t or ""), i) for i, (d, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, tag int").repartition(4)
+    for c in ("id", "row", "key", "n", "log_bytes", "label", "r", "g"):
+        df = df.withColumn(c, F.col("tag") + 1)
+    model = fit_quality(df, spark.read.parquet(f"{SF}/labels.parquet"))
+
+    def score(t):
+        v = dict(zip(STATS, stats_of(t)))
+        return 1 / (1 + np.exp(-model.bias - sum(w for r, w in model.rules if all((v[s] > c) == up for s, up, c in r))))
+    has = {}                                                  # line to the ids that have it; null is one id
+    for d, t, _, _ in rows:
+        for x in (t or "").split("\n"):
+            has.setdefault(x.strip(" \t\n\x0b\x0c\r").translate(LOW), set()).add(d)
+    kept_lines = {i: "\n".join(x for x in (t or "").split("\n") if not (k := x.strip(" \t\n\x0b\x0c\r").translate(LOW))
+                               or len(has[k]) < 10) for _, t, _, i in rows}
+    assert sum(kept_lines[i] != (t or "") for _, t, _, i in rows) > 10
+    sets = jaccard_sets([(i, t) for _, t, _, i in rows], 5)
+    links = [(i, j) for i in sets for j in sets if i < j and sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    group, least = merge(sets, links), {}
+    for d, _, _, i in rows:
+        k = (d is None, d or 0)
+        least[group[i]] = min(least.get(group[i], k), k)
+    hit = brute([(i, t) for _, t, _, i in rows], bench, 13, 20)
+    got = {f: sorted(f(spark, df, SF).collect(), key=lambda r: r.tag) for f in (
+        p.keep_good, p.drop_shared_lines, p.keep_one_of_each_group, p.drop_contaminated)}
+    for f, out in got.items():
+        assert f(spark, df, SF).columns == df.columns
+        for r in out:                                         # no row twice, and no row's columns mixed with another's
+            d, t, n, i = rows[r.tag]
+            assert r.doc_id == d and all(r[c] == i + 1 for c in ("id", "row", "key", "n", "log_bytes", "label", "r", "g"))
+            if f is not p.drop_shared_lines:
+                assert (r.text, r.n_chars) == (t, n)
+        assert len({r.tag for r in out}) == len(out)
+    assert {r.tag for r in got[p.keep_good]} == {i for _, t, _, i in rows if score(t) >= p.MIN_QUALITY}
+    assert {r.tag: (r.text, r.n_chars) for r in got[p.drop_shared_lines]} == {i: (t, len(t)) for i, t in kept_lines.items()}
+    one = [r.tag for r in got[p.keep_one_of_each_group]]
+    assert sorted(group[i] for i in one) == sorted(least)
+    assert all(least[group[i]] == (rows[i][0] is None, rows[i][0] or 0) for i in one)
+    assert {r.tag for r in got[p.drop_contaminated]} == {i for _, _, _, i in rows if not hit[i][3]} != {r[3] for r in rows}
+    pieces = p.pack_windows(spark, df, SF).groupBy("doc_id").agg(F.sum((F.col("start") == 0).cast("int")).alias("k")).collect()
+    ids = [d for d, *_ in rows]
+    assert {r.doc_id: r.k for r in pieces} == {d: ids.count(d) for d in ids}
+    for _, stage in p.STAGES:
+        assert stage(spark, df.where("false"), SF).count() == 0
+
+
 def test_registration():
     import __spark_entry__ as e
     names = e.queries()
