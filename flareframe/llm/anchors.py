@@ -15,10 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flareframe.llm.common import blobs, materialise, unblob
+from flareframe.llm.common import materialise, unblob
 
 U = np.uint64
 _A, _B, _C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
@@ -130,23 +131,35 @@ class Alphabet:
     write: Callable[[Sequence], bytes]
 
 
-# A place packs a digest of the text (rows that share an id but not a text stay apart), the first window, the number
-# of windows, and flags, so places of one text are ordered as the text is.
-_TAG, _LO, LOOSE, KNOWN, OLD = 49, 11, 4, 2, 1
+# A text is known by its id and ``t``, a 64-bit digest: rows that share an id but not a text stay apart.  A place packs
+# the first window, the number of windows, and flags, so places of one text are ordered as the text is.
+_LO, LOOSE, KNOWN, OLD = 11, 4, 2, 1
 
 
-def tag_of(raw: bytes) -> int:
-    return xxhash.xxh64_intdigest(raw) >> 50
+def digest_of(raw: bytes) -> int:
+    d = xxhash.xxh64_intdigest(raw)
+    return d - (d >> 63 << 64)
 
 
-def place_of(tag: int | np.ndarray, lo: np.ndarray, n: np.ndarray, loose: np.ndarray | int = 0) -> np.ndarray:
-    return (tag << _TAG) | (lo << _LO) | ((n - 1) << 3) | loose * LOOSE
+def place_of(lo: np.ndarray, n: np.ndarray, loose: np.ndarray | int = 0) -> np.ndarray:
+    return (lo << _LO) | ((n - 1) << 3) | loose * LOOSE
 
 
-def unplace(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tag, first window, windows)."""
+def unplace(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first window, windows)."""
     place = np.asarray(place, np.int64)
-    return place >> _TAG, (place >> _LO) & ((1 << (_TAG - _LO)) - 1), ((place >> 3) & 255) + 1
+    return place >> _LO, ((place >> 3) & 255) + 1
+
+
+def packed(texts: DataFrame) -> DataFrame:
+    """(id, text) as (id, t, z), z as :func:`common.blobs` makes it."""
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = zstandard.ZstdCompressor(level=5)
+        for b in batches:
+            raws = [(t or "").encode() for t in b["text"]]
+            yield pd.DataFrame({"id": b["id"], "t": np.array([digest_of(r) for r in raws], np.int64),
+                                "z": [c.compress(r) for r in raws]})
+    return texts.mapInPandas(pack, "id long, t long, z binary")
 
 
 def _fold(cols: dict[str, np.ndarray], same_doc: bool) -> pd.DataFrame:
@@ -154,16 +167,16 @@ def _fold(cols: dict[str, np.ndarray], same_doc: bool) -> pd.DataFrame:
 
     Equal regions of a batch so reach the shuffle as one row under their key; no group of copies lands in one task.
     """
-    key, whole, ids, place = cols["key"], cols["whole"], cols["id"], cols["place"]
-    o = np.lexsort((place, ids, whole, key))
-    k, w, i, p = key[o], whole[o], ids[o], place[o]
+    key, whole, ids, text, place = cols["key"], cols["whole"], cols["id"], cols["t"], cols["place"]
+    o = np.lexsort((place, text, ids, whole, key))
+    k, w, i, t, p = key[o], whole[o], ids[o], text[o], place[o]
     start = np.concatenate(([True], (k[1:] != k[:-1]) | (w[1:] != w[:-1]))) if len(o) else np.empty(0, bool)
     head = np.maximum.accumulate(np.where(start, np.arange(len(o)), 0))
     known = i > i[head]
     if same_doc:
-        known |= (i == i[head]) & (p > p[head])
+        known |= (i == i[head]) & ((t > t[head]) | (t == t[head]) & (p > p[head]))
     own = o[known]
-    key[own] = (ids[own].view(U) * _B + place[own].view(U) * _C).view(np.int64)
+    key[own] = (ids[own].view(U) * _B + text[own].view(U) * _A + place[own].view(U) * _C).view(np.int64)
     place[own] |= KNOWN
     return pd.DataFrame(cols)
 
@@ -181,12 +194,12 @@ def _tables(parts: Iterator[dict[str, np.ndarray]], same_doc: bool, names: list[
         yield _fold({c: np.concatenate([h[c] for h in held]) for c in names}, same_doc)
 
 
-ROW = "id long, place long, key long, whole long"
-ROW_NAMES = ["id", "place", "key", "whole"]
+ROW = "id long, t long, place long, key long, whole long"
+ROW_NAMES = ["id", "t", "place", "key", "whole"]
 
 
 def region_rows(texts: DataFrame, alphabet: Alphabet, k: int, w: int, same_doc: bool) -> DataFrame:
-    """(id, text) to one row per region: id, place, key, whole."""
+    """(id, text) to one row per region: id, t, place, key, whole."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def parts() -> Iterator[dict[str, np.ndarray]]:
             for b in batches:
@@ -194,8 +207,8 @@ def region_rows(texts: DataFrame, alphabet: Alphabet, k: int, w: int, same_doc:
                     raw = (text or "").encode()
                     r = Regions(alphabet.symbols(raw), k, w)
                     if len(r.lo):
-                        yield {"id": np.full(len(r.lo), doc, np.int64), "place": place_of(tag_of(raw), r.lo, r.n, r.loose),
-                               "key": r.key.view(np.int64), "whole": r.whole.view(np.int64)}
+                        yield {"id": np.full(len(r.lo), doc, np.int64), "t": np.full(len(r.lo), digest_of(raw), np.int64),
+                               "place": place_of(r.lo, r.n, r.loose), "key": r.key.view(np.int64), "whole": r.whole.view(np.int64)}
         yield from _tables(parts(), same_doc, ROW_NAMES)
     return texts.mapInPandas(run, ROW)
 
@@ -206,7 +219,7 @@ def judged(rows: DataFrame, same_doc: bool) -> DataFrame:
     One shuffle and one sort by (key, whole).
     """
     same, all_ = Window.partitionBy("key", "whole"), Window.partitionBy("key")
-    order = F.struct("id", F.shiftright("place", _LO).alias("at")) if same_doc else F.col("id")
+    order = F.struct("id", "t", F.shiftright("place", _LO).alias("at")) if same_doc else F.col("id")
     out = (rows.withColumn("first", F.min(order).over(same))
            .withColumn("many", F.min("whole").over(all_) != F.max("whole").over(all_)))
     flag = F.col("place").bitwiseAND
@@ -215,21 +228,19 @@ def judged(rows: DataFrame, same_doc: bool) -> DataFrame:
 
 
 def _cut_out(texts: DataFrame, open_: DataFrame, alphabet: Alphabet, span: int) -> DataFrame:
-    """(id, place, raw): the symbols of every open region; texts travel compressed."""
-    wanted = open_.groupBy("id").agg(F.collect_set("place").alias("places"))
-    rows = blobs(texts).join(wanted, "id").select("id", "z", "places")
+    """(id, t, place, raw): the symbols of every open region; texts travel compressed."""
+    wanted = open_.groupBy("id", "t").agg(F.collect_set("place").alias("places"))
+    rows = packed(texts).join(wanted, ["id", "t"]).select("id", "t", "z", "places")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc, z, places in zip(b["id"], b["z"], b["places"]):
-                raw = unblob(z)
-                pieces, mine = alphabet.pieces(raw), tag_of(raw)
-                for place, tag, lo, n in zip(places.tolist(), *(x.tolist() for x in unplace(places))):
-                    if tag == mine:
-                        out.append((doc, place, alphabet.write(pieces[lo:lo + n - 1 + span])))
-            yield pd.DataFrame(out, columns=["id", "place", "raw"])
-    return rows.mapInPandas(run, "id long, place long, raw binary")
+            for doc, t, z, places in zip(b["id"], b["t"], b["z"], b["places"]):
+                pieces = alphabet.pieces(unblob(z))
+                for place, lo, n in zip(places.tolist(), *(x.tolist() for x in unplace(places))):
+                    out.append((doc, t, place, alphabet.write(pieces[lo:lo + n - 1 + span])))
+            yield pd.DataFrame(out, columns=["id", "t", "place", "raw"])
+    return rows.mapInPandas(run, "id long, t long, place long, raw binary")
 
 
 def _strung(b: pd.DataFrame, alphabet: Alphabet, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,11 +266,11 @@ def _finer(cuts: DataFrame, alphabet: Alphabet, k: int, w: int, span: int, same_
         def parts() -> Iterator[dict[str, np.ndarray]]:
             for b in _slices(batches):
                 ids, parent = b["id"].to_numpy(), b["place"].to_numpy()
-                tag, lo, n = unplace(parent)
+                lo, n = unplace(parent)
                 s, at = _strung(b, alphabet, span)
                 r = Regions(s, k, w, (at, n))
                 of = np.searchsorted(at, r.lo, "right") - 1
-                yield {"id": ids[of], "place": place_of(tag[of], lo[of] + r.lo - at[of], r.n, r.loose),
+                yield {"id": ids[of], "t": b["t"].to_numpy()[of], "place": place_of(lo[of] + r.lo - at[of], r.n, r.loose),
                        "key": r.key.view(np.int64), "whole": r.whole.view(np.int64), "parent": parent[of]}
         yield from _tables(parts(), same_doc, [*ROW_NAMES, "parent"])
     return cuts.mapInPandas(run, ROW + ", parent long")
@@ -267,8 +278,8 @@ def _finer(cuts: DataFrame, alphabet: Alphabet, k: int, w: int, span: int, same_
 
 def _single(cuts: DataFrame, open_: DataFrame, alphabet: Alphabet, k: int, w: int, span: int, same_doc: bool) -> DataFrame:
     """Region rows for every window of the open finer regions."""
-    wanted = open_.groupBy("id", "parent").agg(F.collect_set("place").alias("parts"))
-    rows = cuts.join(wanted.withColumnRenamed("parent", "place"), ["id", "place"]).select("id", "place", "raw", "parts")
+    wanted = open_.groupBy("id", "t", "parent").agg(F.collect_set("place").alias("parts"))
+    rows = cuts.join(wanted.withColumnRenamed("parent", "place"), ["id", "t", "place"]).select("id", "t", "place", "raw", "parts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def parts() -> Iterator[dict[str, np.ndarray]]:
@@ -277,13 +288,14 @@ def _single(cuts: DataFrame, open_: DataFrame, alphabet: Alphabet, k: int, w: in
                 r = Regions(s, k, w)
                 many = b["parts"].map(len).to_numpy()
                 of = np.repeat(np.arange(len(b)), many)
-                _, lo, n = unplace(np.concatenate(b["parts"].to_numpy()))
-                tag, first, _ = unplace(b["place"].to_numpy())
+                lo, n = unplace(np.concatenate(b["parts"].to_numpy()))
+                first, _ = unplace(b["place"].to_numpy())
                 begin = at[of] + lo - first[of]
                 j = np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
                 of = np.repeat(of, n)
                 key, whole = r.windows(j)
-                yield {"id": b["id"].to_numpy()[of], "place": place_of(tag[of], first[of] + j - at[of], np.ones(len(j), np.int64)),
+                yield {"id": b["id"].to_numpy()[of], "t": b["t"].to_numpy()[of],
+                       "place": place_of(first[of] + j - at[of], np.ones(len(j), np.int64)),
                        "key": key.view(np.int64), "whole": whole.view(np.int64)}
         yield from _tables(parts(), same_doc, ROW_NAMES)
     return rows.mapInPandas(run, ROW)
@@ -292,27 +304,26 @@ def _single(cuts: DataFrame, open_: DataFrame, alphabet: Alphabet, k: int, w: in
 def repeated(texts: DataFrame, flagged: DataFrame, alphabet: Alphabet, k: int, w: int, same_doc: bool) -> DataFrame:
     """(id, z, places): every text, compressed, with its runs of repeated windows (null where it has none).
 
-    ``flagged``: (id, place, dup) of the regions that are settled as repeated or open.
+    ``flagged``: (id, t, place, dup) of the regions that are settled as repeated or open.
     """
     span, w2 = k + w - 1, min(w, max(3, w // 9))
     k2 = span - w2 + 1
     flagged = materialise(flagged)
     cuts = materialise(_cut_out(texts, flagged.where("NOT dup"), alphabet, span))
     finer = materialise(judged(_finer(cuts, alphabet, k2, w2, span, same_doc), same_doc).where("dup OR open")
-                        .select("id", "place", "parent", "dup"))
+                        .select("id", "t", "place", "parent", "dup"))
     single = judged(_single(cuts, finer.where("NOT dup"), alphabet, k2, w2, span, same_doc), same_doc).where("dup")
-    runs = flagged.where("dup").select("id", "place").union(finer.where("dup").select("id", "place")) \
-        .union(single.select("id", "place"))
-    found = runs.groupBy("id").agg(F.collect_list("place").alias("places"))
-    return blobs(texts).join(found, "id", "left").select("id", "z", "places")
+    one = ["id", "t", "place"]
+    runs = flagged.where("dup").select(one).union(finer.where("dup").select(one)).union(single.select(one))
+    found = runs.groupBy("id", "t").agg(F.collect_set("place").alias("places"))   # equal rows of one id give theirs once
+    return packed(texts).join(found, ["id", "t"], "left").select("id", "z", "places")
 
 
-def covered(size: int, raw: bytes, places: np.ndarray | None, span: int) -> np.ndarray:
+def covered(size: int, places: np.ndarray | None, span: int) -> np.ndarray:
     """Mask of the symbols of a text that lie in a repeated window of ``span`` symbols."""
     edge = np.zeros(size + 1, np.int64)
     if places is not None and len(places):
-        tag, at, n = unplace(places)
-        own = tag == tag_of(raw)
-        np.add.at(edge, at[own], 1)
-        np.add.at(edge, at[own] + n[own] - 1 + span, -1)
+        at, n = unplace(places)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + n - 1 + span, -1)
     return np.cumsum(edge[:-1]) > 0

@@ -34,11 +34,11 @@ def drop_repeats(docs: DataFrame, window: int = 13, seed: int = 4, id_col: str =
 
     Words are separated by ASCII white space and compared byte by byte; spans are [start, end) word numbers; text is
     the kept words joined by one space.  Null and empty texts have no words and come back empty.  Rows that share a
-    doc_id are never duplicates of each other; null ids count as one id before all others; an empty table gives no
+    doc_id, told apart by a 64-bit digest of their texts, are never duplicates of each other; null ids count as one id before all others; an empty table gives no
     rows; other columns are not read.  Documents of any length are handled, one in memory at a time.
     """
     texts, w = texts_of(docs, id_col, text_col), window - seed + 1
-    flagged = judged(region_rows(texts, WORDS, seed, w, False), False).where("dup OR open").select("id", "place", "dup")
+    flagged = judged(region_rows(texts, WORDS, seed, w, False), False).where("dup OR open").select("id", "t", "place", "dup")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -46,7 +46,7 @@ def drop_repeats(docs: DataFrame, window: int = 13, seed: int = 4, id_col: str =
             for doc, z, places in zip(b["id"], b["z"], b["places"]):
                 raw = unblob(z)
                 words = raw.split()
-                gone = covered(len(words), raw, places, window)
+                gone = covered(len(words), places, window)
                 starts, ends = runs_of(gone)
                 kept = [x for x, g in zip(words, gone.tolist()) if not g] if len(starts) else words
                 out.append((doc, b" ".join(kept).decode(), len(words), len(words) - len(kept),

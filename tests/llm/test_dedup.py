@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+from collections import Counter
 
+import xxhash
 from conftest_llm import brute_bytes, brute_lines, brute_words
 from flareframe.llm.op3_line_dedup import LineRuns, drop_lines
 from flareframe.llm.op8_substring_dedup import drop_repeats
@@ -74,3 +76,39 @@ def test_repeated_ids_null_ids_and_empty_tables(spark, no_docs):
     assert drop_repeated_bytes(df).count() == 5 and drop_lines(df, 2).count() == 5
     for f in (drop_lines, drop_repeats, drop_repeated_bytes):
         assert f(no_docs).count() == 0
+
+
+def test_many_texts_under_one_id(spark):
+    """More texts under one id, and under null, than a short tag could tell apart, and copies among them."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(1, " ".join(passage))]
+    for i in range(1500):
+        t = [f"u{i}x{j}" for j in range(rng.randint(20, 60))]
+        at = rng.randint(0, len(t))
+        rows.append((5 if i % 3 else None, " ".join(t[:at] + passage[:rng.randint(14, 30)] + t[at:])))
+    rows += rows[1:40]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    rank = {r: i for i, r in enumerate(sorted(set(rows), key=lambda r: (
+        r[0] is not None, r[0] or 0, (xxhash.xxh64_intdigest(r[1]) + (1 << 63)) % (1 << 64))))}
+    order = sorted(rank, key=rank.get)
+    first = {}
+    for d, t in order:                                        # the null id is before all others
+        w = t.split()
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i:i + 13]), d)
+    want = Counter()
+    for d, t in rows:
+        w, gone = t.split(), set()
+        for i in range(len(w) - 12):
+            if first[tuple(w[i:i + 13])] != d:
+                gone.update(range(i, i + 13))
+        want[d, " ".join(x for i, x in enumerate(w) if i not in gone)] += 1
+    got = Counter((r.doc_id, r.text) for r in drop_repeats(df).collect())
+    assert got == want
+    cut = brute_bytes([(rank[r], r[1]) for r in rank], 60)
+    want = Counter((d, *cut[rank[d, t]]) for d, t in rows)
+    for batches in ((1,), (0.125, 0.875), (1, 1, 1)):
+        got = Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest())
+                      for r in drop_repeated_bytes(df, 60, batches=batches).collect())
+        assert got == want
