@@ -1,4 +1,4 @@
-"""Removing passages that stand in earlier documents, by relative Lempel-Ziv factors over the whole corpus."""
+"""Removing passages that stand in earlier documents, by hashed content-defined regions of words."""
 
 from __future__ import annotations
 
@@ -24,13 +24,10 @@ def drop_repeats(docs: DataFrame, window: int = 13, seed: int = 4, id_col: str =
                  text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_words, n_removed, spans): words covered by a window that a smaller doc_id has are removed.
 
-    Every document is both text and reference.  The reference index holds the corpus as phrases, cut where the
-    content says (regions of :mod:`anchors` on ``seed``-word grams), in hash-partitioned blocks; each phrase knows
-    the smallest document that has it.  A document is parsed from left to right into phrases; those with an earlier
-    reference join up greedily to factors, and a factor of ``window`` words or more is a duplicate span.  Where a
-    factor ends - a phrase whose key other phrases share, but which is not found as a whole - shorter phrases and then
-    single windows are checked against those of all such places, so spans end at the exact word.  ``window - seed + 1`` grams make a
-    window.
+    Every document is cut where the content says (regions of :mod:`anchors` on ``seed``-word grams), and regions with
+    an equal hash are repeated as wholes.  Where a region's key has other regions, too, finer regions and then single
+    windows are compared with those of all such places, so spans end at the exact word.  Nothing is parsed into
+    Lempel-Ziv phrases or factors.  ``window - seed + 1`` grams make a window.
 
     Words are separated by ASCII white space and compared byte by byte; spans are [start, end) word numbers; text is
     the kept words joined by one space.  Null and empty texts have no words and come back empty.  Rows that share a
