@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from flareframe.llm.common import digest_kept, new_folder
 from flareframe.llm.op10_suffix_dedup import drop_repeated_bytes
+from flareframe.llm.op11_alignment import align
+from flareframe.llm.op12_collocations import collocations
+from flareframe.llm.op13_secret_scans import RULES, scan_secrets
 from flareframe.llm.op1_packing import pack
 from flareframe.llm.op2_quality import fit_quality, score_quality
 from flareframe.llm.op3_line_dedup import drop_lines
@@ -84,6 +87,27 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       digest_kept(F.col("kept")).alias("kept_sha256"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = align(docs_of(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                public_tokenizers.path("piece_bpe_32k.model"), keep=lambda groups: F.when(groups != "", F.sha2(groups, 256)))
+    return got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                      F.coalesce("groups", F.lit("")).alias("groups_sha256"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(docs_of(spark, sf_dir), least=30, longest=4, top=2000)
+
+
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = scan_secrets(docs_of(spark, sf_dir))
+    said = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(r.kind) for r in RULES]
+    return got.select("doc_id", *counts, F.sha2(said, 256).alias("base_sha256"), said.alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
@@ -95,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_alignment": op11_alignment,
+    "op12_collocations": op12_collocations,
+    "op13_secret_scans": op13_secret_scans,
 }
 
 __all__ = ["QUERIES", "SQL"]

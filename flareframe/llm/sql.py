@@ -49,4 +49,49 @@ kept AS (SELECT t.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY t.p) AS t
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
   sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id"""
 
-SQL = {"op3_line_dedup": lines_sql(), "op4_decontamination": contamination_sql(), "op8_substring_dedup": SUBSTRINGS}
+_PIECE = r"'[.,;:!?\x0A-\x0D]'"
+
+COLLOCATIONS = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_AZ}) AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, {_PIECE})) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1 HAVING sum(len(w)) > 0),
+occ AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM
+  (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM occ GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, c.k, a, h, x.f AS l, y.f AS r,
+    (2000000::HUGEINT * a) // (x.f::HUGEINT + y.f::HUGEINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS h FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:h], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[h + 1:c.k], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, h) = 1),
+inner_ AS (SELECT lang, array_to_string(w[s:s + j - 1], ' ') AS phrase, max(a) AS most FROM
+  (SELECT *, unnest(range(1, k - j + 2)) AS s FROM (SELECT *, unnest(range(2, k)) AS j FROM c WHERE k > 2)) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inner_ i ON i.lang = best.lang AND i.phrase = best.phrase
+  WHERE i.most IS NULL OR 100 * i.most::HUGEINT < 80 * best.a::HUGEINT),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN total ON total.lang = ranked.lang WHERE rank <= 2000"""
+
+_PLAIN = "translate(coalesce(text, ''), chr(1), chr(2))"
+_KEYWORD = ("([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"
+            "|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)")
+SECRETS = f"""
+WITH rules AS (SELECT * FROM (VALUES (0, 'assign', 8), (1, 'access', 16), (2, 'hex', 32)) AS v(o, kind, least)),
+d AS (SELECT row_number() OVER () AS row, doc_id, {_PLAIN} AS t FROM documents),
+cut AS (
+  SELECT row, 0 AS o, string_split(regexp_replace(t, '{_KEYWORD}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS s FROM d
+  UNION ALL SELECT row, 1, string_split(regexp_replace(t, 'AKIA[A-Z0-9]+', chr(1) || '\\0' || chr(1), 'g'), chr(1)) FROM d
+  UNION ALL SELECT row, 2, string_split(regexp_replace(t, '[0-9a-f]{{32,}}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) FROM d),
+parts AS (SELECT row, o, unnest(s) AS part, unnest(range(1, len(s) + 1)) AS i FROM cut WHERE len(s) > 1),
+ends AS (SELECT *, sum(length(part)) OVER (PARTITION BY row, o ORDER BY i) AS e FROM parts),
+found AS (SELECT row, ends.o, kind, CAST(e - length(part) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM ends JOIN rules ON rules.o = ends.o
+  WHERE i % 2 = 0 AND CASE WHEN ends.o = 0 THEN length(regexp_extract(part, '{_KEYWORD}', 2)) ELSE length(part) END >= least),
+said AS (SELECT row, count(*) FILTER (WHERE o = 0) AS n_assign, count(*) FILTER (WHERE o = 1) AS n_access,
+  count(*) FILTER (WHERE o = 2) AS n_hex, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS spans FROM found GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN said ON said.row = d.row"""
+
+SQL = {"op3_line_dedup": lines_sql(), "op4_decontamination": contamination_sql(), "op8_substring_dedup": SUBSTRINGS,
+       "op12_collocations": COLLOCATIONS, "op13_secret_scans": SECRETS}

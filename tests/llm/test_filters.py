@@ -186,4 +186,4 @@ def test_registration():
     import __spark_entry__ as e
     names = e.queries()
     assert set(QUERIES) | {"pipeline"} <= set(names) and set(SQL) <= set(e.oracle_sql())
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
