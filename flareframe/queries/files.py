@@ -11,7 +11,7 @@ from flareframe.operators import grid as G
 from flareframe.operators import series as V
 from flareframe.operators import splits as S
 from flareframe.plans.datasets import image_items
-from flareframe.queries.inputs import (BACKGROUND, FLUX, FRAMES, GROUPED, ITEMS, ORDERS, background, flux,
+from flareframe.queries.inputs import (BACKGROUND, FLARES, FLUX, FRAMES, GROUPED, ITEMS, ORDERS, background, flare_events, flux,
                                        frames, items, orders_items, r6, stamp, table)
 from flareframe.queries.metrics import CROUND, RUNC, rnd, run_curves
 from flareframe.queries.plans import AUG, WIN, augmented, labelled
@@ -106,6 +106,50 @@ def _(spark, sf):
     return d.select(sat.alias("satellite"), stamp("ts").alias("t"), "flux")
 
 
+MIXED_EVENTS = {0: ["start_time", "timestamp_end", "class"], 1: ["flare_type", "TIMESTAMP_END", "note", "Timestamp_Start"],
+                2: ["CLASS", "Timestamp", "timestamp_END"]}
+
+
+@query("s08_mixed_columns", f"""WITH {FLARES} SELECT id % 3 AS layout, strftime(timestamp_start, {T}) AS t_occ, class, CAST(sev AS BIGINT) AS sev,
+  CASE WHEN id % 3 <> 2 THEN strftime(timestamp_start, {T}) END AS t_start, CASE WHEN id % 5 <> 0 THEN strftime(timestamp_end, {T}) END AS t_end
+FROM flares WHERE id % 7 <> 0""")
+def _(spark, sf):
+    path = fresh(spark, "mixed-events")
+    role = {"start_time": "s", "timestamp_start": "s", "timestamp": "s", "timestamp_end": "e", "class": "c", "flare_type": "c", "note": "k"}
+    d = flare_events(spark, sf).select(
+        "id", stamp("timestamp_start").alias("s"), F.when(F.col("id") % 5 != 0, stamp("timestamp_end")).alias("e"),
+        F.when(F.col("id") % 7 != 0, F.concat(F.lower("class"), F.lit("1."), (F.col("id") % 3).cast("string"))).alias("c"), F.lit("M9").alias("k"))
+    for i, names in MIXED_EVENTS.items():
+        d.where(F.col("id") % 3 == i).select(*[F.col(role[n.lower()]).alias(n) for n in names]).write.option("header", True).csv(f"{path}/{i}")
+    got = R.read_events(spark, path)
+    return got.select(F.substring("flare_type", -1, 1).cast("long").alias("layout"), stamp("t_occ").alias("t_occ"), "class",
+                      F.col("sev").cast("long").alias("sev"), stamp("timestamp_start").alias("t_start"), stamp("timestamp_end").alias("t_end"))
+
+
+@query("s09_mixed_columns", f"WITH {FLUX} SELECT satellite, strftime(ts, {T}) AS t, CASE WHEN flux <= 200 THEN flux END AS flux FROM flux")
+def _(spark, sf):
+    path = fresh(spark, "mixed-flux")
+    v = F.when(F.col("flux") > 200, F.lit(float("nan"))).otherwise(F.col("flux"))
+    layouts = [[F.col("ts").alias("Time"), v.alias("XRSB_flux_obs")], [v.cast("string").alias("xrsb_flux"), F.lit(7.5).alias("XRSB_flux_obs"), F.col("ts").alias("timestamp")],
+               [F.lit(True).alias("quality"), v.alias("goes_xrsb_mean"), F.col("ts").cast("timestamp").alias("TIMESTAMP")]]
+    f = flux(spark, sf).withColumn("third", F.pmod(F.xxhash64("satellite", "ts"), F.lit(3)))
+    for i, cols in enumerate(layouts):
+        f.where(F.col("third") == i).select("satellite", *cols).write.parquet(f"{path}/{i}")
+    d = R.read_series(spark, path, ["time", "timestamp"], ["xrsb_flux"], "xrsb")
+    return d.select("satellite", stamp("ts").alias("t"), "flux")
+
+
+@query("s10_mixed_columns", f"WITH {FLUX}, {BACKGROUND} SELECT satellite, CAST(date AS VARCHAR) AS day, background FROM bgday")
+def _(spark, sf):
+    path = fresh(spark, "mixed-background")
+    b = background(spark, sf).withColumn("half", F.pmod(F.xxhash64("satellite", "ts"), F.lit(2)))
+    b.where("half = 0").select("satellite", F.col("ts").alias("time"), F.col("background").alias("bkg_long")).write.parquet(f"{path}/a")
+    b.where("half = 1").select(F.col("background"), F.lit(0.0).alias("bkg"), "satellite", F.col("ts").alias("timestamp")).write.parquet(f"{path}/b")
+    d = R.read_series(spark, path, ["time", "timestamp"], ["background_long", "background", "bkg_long", "bkg"], name="background")
+    d = G.first_per_day(d, ["satellite"], "ts", "background")
+    return d.select("satellite", F.col("date").cast("string").alias("day"), "background")
+
+
 @query("s10_read_background", f"WITH {FLUX}, {BACKGROUND} SELECT satellite, CAST(date AS VARCHAR) AS day, background FROM bgday")
 def _(spark, sf):
     path = fresh(spark, "background")

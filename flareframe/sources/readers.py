@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -94,11 +95,42 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
         .select("ImgName", "r.Label")
 
 
+def by_layout(spark: SparkSession, paths: str | Sequence[str], fmt: str, pattern: str = "*", **options) -> list[DataFrame]:
+    """The files below ``paths`` as one DataFrame per layout: files with the same columns in the same order and types.
+
+    The header or footer of every file is read once, sixteen files at a time; names and types are all that reaches
+    the driver.  Each layout is then read with its own columns, so a name means the same in all files of a DataFrame.
+    Files without columns (empty ones) are in none.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern) \
+        .load(paths if isinstance(paths, str) else list(paths)).where("length > 0").select("path").distinct()
+    files = sorted(re.sub(r"([\[\]{}*?\\])", r"\\\1", r.path) for r in found.toLocalIterator())
+
+    def columns(path: str) -> T.StructType:
+        return spark.read.format(fmt).options(**options).load(path).schema
+    layouts: dict[str, tuple[T.StructType, list[str]]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for path, schema in zip(files, pool.map(columns, files)):
+            if schema.fields:
+                layouts.setdefault(schema.json(), (schema, []))[1].append(path)
+    return [spark.read.format(fmt).options(**options).schema(schema).load(group) for schema, group in layouts.values()]
+
+
+def union_layouts(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def read_events(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Normalised events of CSV files with a header; columns may come in any order, case and alias."""
+    """Normalised events of CSV files with a header; each file may have its columns in its own order, case and alias.
+
+    Files that are empty, or hold nothing but a header, give no events.
+    """
     from flareframe.operators.events import normalise_events
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(paths if isinstance(paths, str) else list(paths))
-    return normalise_events(raw)
+    parts = by_layout(spark, paths, "csv", header=True, inferSchema=False)
+    return union_layouts([normalise_events(p) for p in parts or [spark.createDataFrame([], "timestamp string, class string")]])
 
 
 def read_keys(spark: SparkSession, path: str, name: str = "ar") -> DataFrame:
@@ -150,16 +182,23 @@ def resolve_column(df: DataFrame, candidates: Sequence[str], pattern: str | None
 
 def read_series(spark: SparkSession, path: str, time_names: Sequence[str], value_names: Sequence[str],
                 value_pattern: str | None = None, name: str = "flux", fmt: str = "parquet",
-                satellite: str | None = None) -> DataFrame:
-    """(satellite, ts, value) of all files below ``path`` with columns found by name;
-    NaN becomes null."""
-    df = spark.read.format(fmt).option("recursiveFileLookup", "true") \
-        .option("header", "true").load(path)
-    t, v = resolve_column(df, time_names), resolve_column(df, value_names, value_pattern)
-    sat = F.lit(satellite) if satellite else (
-        F.col("satellite") if "satellite" in df.columns else F.lit(None).cast("string"))
-    return df.select(sat.alias("satellite"), F.col(t).cast("timestamp_ntz").alias("ts"),
-                     nan_to_null(F.col(v).cast("double")).alias(name))
+                satellite: str | None = None, pattern: str = "*") -> DataFrame:
+    """(satellite, ts, value) of all files below ``path``; NaN becomes null.
+
+    The time and value columns are looked up in each file by itself, so files may name, order and type their columns
+    differently; a file that has none of the names fails the read with its columns named.
+    """
+    def one(df: DataFrame) -> DataFrame:
+        t, v = resolve_column(df, time_names), resolve_column(df, value_names, value_pattern)
+        sat = F.lit(satellite) if satellite else (
+            F.col("satellite").cast("string") if "satellite" in df.columns else F.lit(None).cast("string"))
+        return df.select(sat.alias("satellite"), F.col(f"`{t}`").cast("timestamp_ntz").alias("ts"),
+                         nan_to_null(F.col(f"`{v}`").cast("double")).alias(name))
+    options = {"header": True} if fmt == "csv" else {}
+    parts = by_layout(spark, path, fmt, pattern, **options)
+    if not parts:
+        return spark.createDataFrame([], f"satellite string, ts timestamp_ntz, {name} double")
+    return union_layouts([one(p) for p in parts])
 
 
 def read_curves(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

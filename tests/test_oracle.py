@@ -19,7 +19,7 @@ CORE = ("d15 d16 j09_missing d08_null j02_null o02_top_movers e4 a01 a07_missing
         "a13_fit_robust a15_class_weights_inverse_v2 a17_sample a19 d03_keep d08 d10 d12 "
         "d14_group_split_cumulative d18 e1_flux e2_augmented f05 f07 j02 j03 j04 j06 j10 m09_multi m10 "
         "m15 m16 m20 m24 m26_roc_auc m27_average m29 m30_consensus_threshold m35 p02 p08 q01 q02 s01 s05 "
-        "s07 s08 s12 s14_flat s17 t02_history_skip t06_apply_robust t08 t11 t12 u03 w01 w03 w04 w05 w07 "
+        "s07 s08 s09_mixed s10_mixed s12 s14_flat s17 t02_history_skip t06_apply_robust t08 t11 t12 u03 w01 w03 w04 w05 w07 "
         "w09 w11 x03 x05 x08 x09").split()
 NAMES = sorted(n for n in all_sql() if os.environ.get("FLAREFRAME_ALL") or any(n.startswith(c) for c in CORE))
 
