@@ -327,30 +327,57 @@ def _(spark, sf):
     return rnd(X.cross_entropy(logits(spark, sf), "logits", "y", [1.0, 2.0, 3.0, 4.0]), ["loss"])
 
 
-@query("m34_flat_report", f"""WITH {MICRO}, {rates_sql('ov')}, pf AS (SELECT tp, fp, fn, tp + fn AS s, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f FROM ov),
+def ovr_sql(src: str, k: int) -> str:
+    """One-vs-rest counts ``ov`` of the ``k`` classes of ``src`` (y, h)."""
+    def n(test: str) -> str:
+        return f"CAST(count(CASE WHEN {test} THEN 1 END) AS DOUBLE)"
+    return f"""ov AS (SELECT c AS cls, {n('y = c AND h = c')} AS tp, {n('y <> c AND h = c')} AS fp, {n('y = c AND h <> c')} AS fn, {n('y <> c AND h <> c')} AS tn
+  FROM (SELECT unnest(range({k})) AS c) kc CROSS JOIN {src} GROUP BY 1)"""
+
+
+MEANS = """pf AS (SELECT tp, fp, fn, tp + fn AS s, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f FROM ov),
 o AS (SELECT sum(tp) AS c, sum(tp + fn) AS s, sum((tp + fp) * (tp + fn)) AS pt, sum((tp + fp) * (tp + fp)) AS pp, sum((tp + fn) * (tp + fn)) AS tt FROM ov),
-u AS (SELECT 'accuracy' AS metric, sum(tp) / sum(tp + fn) AS value FROM ov
+mean AS (SELECT 'accuracy' AS metric, sum(tp) / sum(tp + fn) AS value FROM ov
 UNION ALL SELECT unnest(['precision', 'recall', 'f1_weighted', 'f1_micro', 'f1_macro']), unnest([sum(p * s) / sum(s), sum(r * s) / sum(s), sum(f * s) / sum(s), 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), avg(f)]) FROM pf
-UNION ALL SELECT 'mcc_rk', (c * s - pt) / sqrt((s * s - pp) * (s * s - tt)) FROM o
+UNION ALL SELECT 'mcc_rk', (c * s - pt) / sqrt((s * s - pp) * (s * s - tt)) FROM o)"""
+
+#: ``flat`` (metric, value): the whole report of three classes or more, from ``ov``.
+FLAT = f"""{MICRO[len(CM) + 2:]}, {rates_sql('ov')}, {MEANS}, flat AS (SELECT * FROM mean
 UNION ALL SELECT unnest(['tpr_macro', 'tnr_macro', 'tss_macro', 'hss_macro', 'gss_macro']), unnest([avg(tpr), avg(tnr), avg(tss), avg(hss), avg(gss)]) FROM sk
 UNION ALL SELECT unnest(['tpr_weighted', 'tnr_weighted', 'tss_weighted', 'hss_weighted', 'gss_weighted']), unnest([sum(tpr * support) / (sum(support) + 1e-7), sum(tnr * support) / (sum(support) + 1e-7), sum(tss * support) / (sum(support) + 1e-7), sum(hss * support) / (sum(support) + 1e-7), sum(gss * support) / (sum(support) + 1e-7)]) FROM sk
 UNION ALL SELECT unnest(['tp_micro', 'fp_micro', 'fn_micro', 'tn_micro', 'n_micro', 'tpr_micro', 'tnr_micro', 'ppv_micro', 'npv_micro', 'fpr_micro', 'fnr_micro', 'fdr_micro', 'tss_micro', 'hss_micro', 'gss_micro', 'accuracy_micro']),
-  unnest([tp, fp, fn, tn, n, tpr, tnr, ppv, npv, fpr, fnr, fdr, tpr + tnr - 1, 2 * (tp * tn - fp * fn) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn) + 1e-7), (tp - ch) / (tp + fp + fn - ch + 1e-7), (tp + tn) / (n + 1e-7)]) FROM mi)
-SELECT metric, round(value, 6) + 0.0 AS value FROM u""")
+  unnest([tp, fp, fn, tn, n, tpr, tnr, ppv, npv, fpr, fnr, fdr, tpr + tnr - 1, 2 * (tp * tn - fp * fn) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn) + 1e-7), (tp - ch) / (tp + fp + fn - ch + 1e-7), (tp + tn) / (n + 1e-7)]) FROM mi)"""
+
+
+def flat_binary_sql(eps: str = "1e-12") -> str:
+    """``flat`` (metric, value): the whole report of two classes, from ``ov``."""
+    names = "tp fp fn tn tpr tnr ppv npv fpr fnr fdr acc tss hss gss mcc apss".split()
+    return f"""pos AS (SELECT tp, fp, fn, tn FROM ov WHERE cls = 1), {rates_sql('pos', eps)}, {MEANS},
+bp AS (SELECT *, tp / (tp + fp + {eps}) AS pp, tp / (tp + fn + {eps}) AS rp, tn / (tn + fn + {eps}) AS pn, tn / (tn + fp + {eps}) AS rn FROM pos),
+flat AS (SELECT * FROM mean UNION ALL SELECT unnest({names}), unnest([{', '.join(names)}]) FROM sk
+UNION ALL SELECT unnest(['f1_pos', 'f1_neg', 'tss_pos', 'tss_neg']), unnest([2 * pp * rp / (pp + rp + {eps}), 2 * pn * rn / (pn + rn + {eps}), rp + rn - 1, rp + rn - 1]) FROM bp)"""
+
+
+@query("m34_flat_report", f"WITH {CM}, {FLAT} SELECT metric, round(value, 6) + 0.0 AS value FROM flat")
 def _(spark, sf):
     return rnd(M.summary_metrics(classes(spark, sf), "y", "yhat", 3), ["value"])
 
 
 @query("m35_prediction_report", f"""WITH {TOP}, z AS (SELECT CASE WHEN a.y >= 2 THEN 1 ELSE 0 END AS y, CASE WHEN a.j >= 2 THEN 1 ELSE 0 END AS h FROM (SELECT am.id, lg.y, am.j FROM am JOIN lg USING (id) WHERE am.k = 1) a),
-b AS (SELECT count(CASE WHEN y = 1 AND h = 1 THEN 1 END)::DOUBLE AS tp, count(CASE WHEN y = 0 AND h = 1 THEN 1 END)::DOUBLE AS fp, count(CASE WHEN y = 1 AND h = 0 THEN 1 END)::DOUBLE AS fn, count(CASE WHEN y = 0 AND h = 0 THEN 1 END)::DOUBLE AS tn FROM z),
-{rates_sql('b', '1e-7')}, u AS (SELECT unnest(['accuracy', 'tpr', 'tnr', 'ppv', 'npv', 'fpr', 'fnr', 'fdr', 'tss', 'hss', 'gss', 'mcc', 'apss']) AS metric, unnest([acc, tpr, tnr, ppv, npv, fpr, fnr, fdr, tss, hss, gss, mcc, apss]) AS value FROM sk)
-SELECT metric, round(value, 6) + 0.0 AS value FROM u""")
+{ovr_sql('z', 2)}, {flat_binary_sql('1e-7')} SELECT metric, round(value, 6) + 0.0 AS value FROM flat""")
+def _(spark, sf):
+    return rnd(M.prediction_report(named(spark, sf), scheme="binary", threshold="M"), ["value"])
+
+
+@query("m35_prediction_report_classes", f"""WITH {TOP}, z AS (SELECT lg.y, am.j AS h FROM am JOIN lg USING (id) WHERE am.k = 1),
+{ovr_sql('z', 4)}, {FLAT} SELECT metric, round(value, 6) + 0.0 AS value FROM flat""")
 def _(spark, sf):
+    return rnd(M.prediction_report(named(spark, sf, False), eps=1e-12), ["value"])
+
+
+def named(spark, sf, both: bool = True):
+    """Predictions with class names; both spellings of the positive class occur in prediction files."""
     from flareframe.operators.predictions import decode
     d = decode(logits(spark, sf), "logits", "multi", labels=LABELS)
-    d = d.select(F.element_at(F.array(*[F.lit(c) for c in LABELS]), F.col("y").cast("int") + 1).alias("label"),
-                 # both spellings of the positive class occur in prediction files
-                 F.when(F.col("label_pred") == "X", "M+").otherwise(F.col("label_pred")).alias("label_pred"))
-    r = M.prediction_report(d, scheme="binary", threshold="M")
-    keep = ["accuracy", "tpr", "tnr", "ppv", "npv", "fpr", "fnr", "fdr", "tss", "hss", "gss", "mcc", "apss"]
-    return rnd(r.where(F.col("metric").isin(*keep)), ["value"])
+    pred = F.when(F.col("label_pred") == "X", "M+").otherwise(F.col("label_pred")) if both else F.col("label_pred")
+    return d.select(F.element_at(F.array(*[F.lit(c) for c in LABELS]), F.col("y").cast("int") + 1).alias("label"), pred.alias("label_pred"))

@@ -11,7 +11,7 @@ from flareframe.operators import metrics as M
 from flareframe.operators import multilabel as L
 from flareframe.queries.decoding import FREE
 from flareframe.queries.inputs import LOGITS, ORD, SCORES, logits, r6, scores
-from flareframe.queries.metrics import rnd
+from flareframe.queries.metrics import FLAT, ovr_sql, rnd
 from flareframe.queries.registry import query
 
 # three labels per row: truth = bits of the class, forecast = sign of the first three logits
@@ -101,16 +101,14 @@ def _(spark, sf):
 
 @query("m29_ordinal_metrics", f"""WITH {BT}, {MV}, {KAPPA[len(ORD) + 2:]}, {FREE[len(ORD) + 2:]},
 best AS (SELECT y, CASE greatest(p0, p1, p2, p3) WHEN p0 THEN 0 WHEN p1 THEN 1 WHEN p2 THEN 2 ELSE 3 END AS h FROM op),
-u AS (SELECT 'accuracy' AS metric, avg(CASE WHEN y = h THEN 1.0::DOUBLE ELSE 0 END) AS value FROM best UNION ALL SELECT 'qwk', qwk FROM kx UNION ALL SELECT 'auc_' || threshold, auc FROM au
+{ovr_sql('best', 4)}, {FLAT}, u AS (SELECT * FROM flat UNION ALL SELECT 'qwk', qwk FROM kx UNION ALL SELECT 'auc_' || threshold, auc FROM au
 UNION ALL SELECT 'ap_' || threshold, ap FROM ap UNION ALL SELECT 'mvr', mvr FROM mv UNION ALL SELECT 'mvm', mvm FROM mv)
 SELECT metric, round(value, 6) + 0.0 AS value FROM u""")
 def _(spark, sf):
     # truth as cumulative flags: the other accepted form
     d = ordinal(spark, sf).withColumn("y", F.transform(F.sequence(F.lit(1), F.lit(3)),
                                                        lambda k: (F.col("y") >= k).cast("int")))
-    m = L.ordinal_metrics(d, "y", "ologits", 4)
-    keep = ["accuracy", "qwk", "mvr", "mvm"] + [f"{a}_{k}" for a in ("auc", "ap") for k in (1, 2, 3)]
-    return rnd(m.where(F.col("metric").isin(*keep)), ["value"])
+    return rnd(L.ordinal_metrics(d, "y", "ologits", 4), ["value"])
 
 
 @query("m32_multilabel_focal", f"""WITH {ML}, l AS (SELECT t, [1.0, 2.0, 0.5][j + 1] AS w, 1 / (1 + exp(-x)) AS p FROM ml),

@@ -8,7 +8,7 @@ from flareframe.operators import grid as G
 from flareframe.plans import clip_dataset, datasets, feature_series, flux_windows, verification
 from flareframe.queries.inputs import (BACKGROUND, CLASS_SQL, HOURLY, SCORES, SEV_SQL, background, flare_events, flux,
                                        frames, r6, scores, stamp, table)
-from flareframe.queries.metrics import B2, curve_sql, rates_sql
+from flareframe.queries.metrics import curve_sql, flat_binary_sql, ovr_sql
 from flareframe.queries.registry import query
 from flareframe.queries.sequences import CLIPS, ISLANDS, T, clips
 
@@ -136,17 +136,17 @@ def _(spark, sf):
 
 # the same scores through a logistic curve, as single logits
 LOGISTIC = SCORES.replace("scores AS", "s0 AS", 1) + ", scores AS (SELECT id, 1 / (1 + exp(-(8 * p - 4))) AS p, y, run FROM s0)"
-KEPT = ["accuracy", "tpr", "tnr", "ppv", "tss", "hss", "gss", "mcc", "apss", "bss", "tss_expected_average",
-        "threshold_at_best_tss", "threshold_at_best_f1", "threshold_at_best_mcc"]
 
 
-@query("e3_verification", f"""WITH {LOGISTIC}, {B2[len(SCORES) + 2:]}, {rates_sql('b')}, {curve_sql(1001)},
-m AS (SELECT avg((p - y) * (p - y)) AS mse, avg(y) AS o, sum(y * p) / sum(y) + sum((1 - y) * (1 - p)) / sum(1 - y) - 1 AS ex FROM scores),
-u AS (SELECT unnest(['accuracy', 'tpr', 'tnr', 'ppv', 'tss', 'hss', 'gss', 'mcc', 'apss']) AS metric, unnest([acc, tpr, tnr, ppv, tss, hss, gss, mcc, apss]) AS value FROM sk
-UNION ALL SELECT 'bss', 1 - mse / (o * (1 - o)) FROM m UNION ALL SELECT 'tss_expected_average', ex FROM m
-UNION ALL (SELECT 'threshold_at_best_tss', threshold FROM cv ORDER BY tss DESC, tick LIMIT 1) UNION ALL (SELECT 'threshold_at_best_f1', threshold FROM cv ORDER BY f1 DESC, tick LIMIT 1)
-UNION ALL (SELECT 'threshold_at_best_mcc', threshold FROM cv ORDER BY mcc DESC, tick LIMIT 1)) SELECT metric, round(value, 6) + 0.0 AS value FROM u""")
+@query("e3_verification", f"""WITH {LOGISTIC}, z AS (SELECT y, CASE WHEN p >= 0.4 THEN 1 ELSE 0 END AS h FROM scores), {ovr_sql('z', 2)}, {flat_binary_sql()}, {curve_sql(1001)},
+m AS (SELECT avg((p - y) * (p - y)) AS mse, avg(y) AS o, sum(y * p) AS tp, sum((1 - y) * p) AS fp, sum(y * (1 - p)) AS fn, sum((1 - y) * (1 - p)) AS tn, sum(y)::DOUBLE AS n1, sum(1 - y)::DOUBLE AS n0 FROM scores),
+ex AS (SELECT tp / (tp + fn) + tn / (tn + fp) - 1 AS t, n1, n0 FROM m),
+at_ AS (SELECT 'tss' AS c, threshold, tss, f1, mcc, row_number() OVER (ORDER BY tss DESC, tick) AS k FROM cv UNION ALL SELECT 'f1', threshold, tss, f1, mcc, row_number() OVER (ORDER BY f1 DESC, tick) FROM cv
+  UNION ALL SELECT 'mcc', threshold, tss, f1, mcc, row_number() OVER (ORDER BY mcc DESC, tick) FROM cv
+  UNION ALL SELECT 'precrec', threshold, tss, f1, mcc, row_number() OVER (ORDER BY precision > 0 AND recall > 0 DESC, abs(precision - recall), tick) FROM cv),
+u AS (SELECT * FROM flat UNION ALL SELECT 'bss', 1 - mse / (o * (1 - o)) FROM m
+UNION ALL SELECT unnest(['tss_expected_average', 'tss_expected_weighted']), unnest([t, t]) FROM ex
+UNION ALL SELECT unnest(['threshold', 'tss', 'f1', 'mcc']) || '_at_best_' || c, unnest([threshold, tss, f1, mcc]) FROM at_ WHERE k = 1) SELECT metric, round(value, 6) + 0.0 AS value FROM u""")
 def _(spark, sf):
     d = scores(spark, sf).withColumn("lg", F.array(F.col("p") * 8 - 4))
-    v = verification.verify(d, "lg", "y", ["NONE", "M+"], 0.4)
-    return v.where(F.col("metric").isin(*KEPT)).withColumn("value", r6("value"))
+    return verification.verify(d, "lg", "y", ["NONE", "M+"], 0.4).withColumn("value", r6("value"))
