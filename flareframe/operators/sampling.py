@@ -33,11 +33,63 @@ def rank_uniform(df: DataFrame, keys: Sequence[str], id: str, seed: int | str, n
                        attach).drop("__u")
 
 
+#: Half the width of the bracket around the k-th smallest of n hashes: so many times sqrt(k), and so many rows more.
+SPREAD, MARGIN = 6.0, 12.0
+#: Up to this limit Spark cuts each task's part of a group to the limit before the shuffle.
+GROUP_LIMIT = 1000
+
+
+def cut_offs(df: DataFrame, keys: Sequence[str], id: str, seed: int | str, quotas: DataFrame) -> DataFrame:
+    """``quotas`` (keys, n = rows of the group, k) with ``edge``, the k-th smallest (u, id) of the group, u its hash.
+
+    A row is among the k first of its random order exactly if (u, id) <= edge.  The k-th of n uniform hashes lies
+    near k / n: one pass counts the rows below and within a bracket around it, per task first; a second ranks the rows
+    inside the bracket only, about 12 sqrt(k) of a group.  A bracket that should miss the k-th becomes the whole
+    group.  So what is shuffled grows with sqrt(k) of each group, not with its rows.  Edge is null for k < 1 and
+    for k >= n, where there is nothing to find.
+    """
+    rows = df.select(F.struct(*keys).alias("__grp"), uniform(seed, id).alias("__u"), F.col(id).alias("__id"))
+    wanted = materialise(quotas.select(F.struct(*keys).alias("__grp"), "n", F.col("k").cast("long").alias("k")).distinct())
+    half = SPREAD * F.sqrt("k") + MARGIN
+    open_ = wanted.where("k > 0 AND k < n").withColumns({"lo": (F.col("k") - half) / F.col("n"), "hi": (F.col("k") + half) / F.col("n")})
+    u = F.col("__u")
+    counted = rows.join(open_, "__grp").groupBy("__grp", "k", "lo", "hi").agg(
+        F.count_if(u < F.col("lo")).alias("below"), F.count_if(u < F.col("hi")).alias("upto"))
+    miss = (F.col("below") >= F.col("k")) | (F.col("upto") < F.col("k"))
+    brackets = materialise(counted.withColumn("miss", miss).select(
+        "__grp", "k", F.when(F.col("miss"), 0.0).otherwise(F.col("lo")).alias("lo"), F.when(F.col("miss"), 1.0).otherwise(F.col("hi")).alias("hi"),
+        F.when(F.col("miss"), 0).otherwise(F.col("below")).alias("below")))
+    inside = rows.join(brackets, "__grp").where((u >= F.col("lo")) & (u < F.col("hi")))
+    place = (u - F.greatest("lo", F.lit(0.0))) / (F.least("hi", F.lit(1.0)) - F.greatest("lo", F.lit(0.0)))
+    ranked = number_rows(inside, ["__grp", "k"], ["__u", "__id"], uniform_segment(inside, place))
+    found = ranked.where(F.col("rn") == F.col("k") - F.col("below")).select(
+        "__grp", "k", F.struct(u.alias("u"), F.col("__id").alias("id")).alias("edge"))
+    return wanted.join(materialise(found), ["__grp", "k"], "left").select("__grp.*", "n", "k", "edge")
+
+
+def first_k(df: DataFrame, keys: Sequence[str], id: str, seed: int | str, quotas: DataFrame, name: str) -> DataFrame:
+    """Add ``name``: is the row among the k first of its group's random order?  False for groups without a quota.
+
+    ``quotas``: keys, n and k, one row a group.  The rows themselves are only joined with a row per group.
+    """
+    edges = cut_offs(df, keys, id, seed, quotas)
+    table = edges.select(F.struct(*keys).alias("__grp"), F.col("n").alias("__n"), F.col("k").alias("__k"), F.col("edge").alias("__edge"))
+    mine = F.struct(uniform(seed, id).alias("u"), F.col(id).alias("id"))
+    inside = F.when(F.col("__k") >= F.col("__n"), True).when(F.col("__k") < 1, False).otherwise(mine <= F.col("__edge"))
+    return (df.withColumn("__grp", F.struct(*keys)).join(table, "__grp", "left")
+            .withColumn(name, F.coalesce(inside, F.lit(False))).drop("__grp", "__n", "__k", "__edge"))
+
+
 def sample_per_group(df: DataFrame, keys: Sequence[str], id: str, k: int | Column, seed: int,
                      ) -> DataFrame:
-    """``k`` random rows per group (``k`` may be a column)."""
+    """``k`` random rows per group (``k`` may be a column, the same in all rows of a group)."""
+    if isinstance(k, int) and k <= GROUP_LIMIT:
+        order = Window.partitionBy(*keys).orderBy("__u", id)
+        return (df.withColumn("__u", uniform(seed, id)).withColumn("__rk", F.row_number().over(order))
+                .where(F.col("__rk") <= k).drop("__u", "__rk"))
     limit = k if isinstance(k, Column) else F.lit(k)
-    return rank_uniform(df, keys, id, seed).where(F.col("rk") <= limit).drop("rk")
+    quotas = df.groupBy(*keys).agg(F.max(limit).alias("k"), F.count(F.lit(1)).alias("n"))
+    return first_k(df, keys, id, seed, quotas, "__in").where("__in").drop("__in")
 
 
 def sample_k(df: DataFrame, id: str, k: int, seed: int) -> DataFrame:
@@ -152,10 +204,10 @@ def downsample(df: DataFrame, id: str, group: str, label: str, target_total: int
                         .agg(F.count(F.lit(1)).alias("size")))
     goals = downsample_targets(sizes, "label", target_total, targets, removable, "size")
     plan = keep_plan(sizes.join(goals.select("label", "target"), "label"), seed)
-    plan = plan.select(F.col("label").alias(label), F.col("ar").alias(group), "keep_n")
-    ranked = rank_uniform(df, [label, group], id, seed, attach=plan)
-    return (ranked.withColumn("keep", F.col(label).isNull() | F.coalesce(F.col("rk") <= F.col("keep_n"), F.lit(False)))
-            .drop("rk", "keep_n"))
+    plan = plan.select(F.col("label").alias(label), F.col("ar").alias(group), "size", "keep_n")
+    quotas = plan.select(label, group, F.col("size").alias("n"), F.col("keep_n").alias("k"))
+    out = first_k(df, [label, group], id, seed, quotas, "__in")
+    return out.withColumn("keep", F.col(label).isNull() | F.col("__in")).drop("__in")
 
 
 def plan_mismatch(df: DataFrame, plan: DataFrame, label: str = "label",
@@ -237,18 +289,18 @@ def stratified_split(df: DataFrame, id: str, cls: str, fractions: tuple[float, f
     a class short of its train target are appended (column ``copy`` > 0).
     """
     quotas = materialise(split_quotas(df, cls, fractions, train_targets, strategy))
-    q = quotas.withColumnRenamed("cls", cls).select(cls, "train_q", "cv_q")
-    ranked = rank_uniform(df, [cls], id, f"{seed}:class", attach=q)
-    out = ranked.withColumn("split", F.when(F.col("rk") <= F.col("train_q"), "train")
-                            .when(F.col("rk") <= F.col("train_q") + F.col("cv_q"), "cv")
-                            .otherwise("test")).drop("rk", "train_q", "cv_q")
+    q = quotas.withColumnRenamed("cls", cls)
+    out = first_k(df, [cls], id, f"{seed}:class", q.select(cls, "n", F.col("train_q").alias("k")), "__train")
+    out = first_k(out, [cls], id, f"{seed}:class", q.select(cls, "n", (F.col("train_q") + F.col("cv_q")).alias("k")), "__cv")
+    out = out.withColumn("split", F.when(F.col("__train"), "train").when(F.col("__cv"), "cv").otherwise("test")).drop("__train", "__cv")
     # one row of totals tells whether the test set needs cutting at all
     over = quotas.agg(F.sum(F.col("n") - F.col("train_q") - F.col("cv_q")).alias("left"),
                       F.max("test_n").alias("test_n")).first()
     if over["left"] is not None and over["left"] > over["test_n"]:
-        out = rank_uniform(out, ["split"], id, f"{seed}:test")
-        cut = (F.col("split") == "test") & (F.col("rk") > over["test_n"])
-        out = out.withColumn("split", F.when(cut, "unused").otherwise(F.col("split"))).drop("rk")
+        test = df.sparkSession.createDataFrame([("test", over["left"], over["test_n"])], "split string, n long, k long")
+        out = first_k(out, ["split"], id, f"{seed}:test", test, "__in")
+        cut = (F.col("split") == "test") & ~F.col("__in")
+        out = out.withColumn("split", F.when(cut, "unused").otherwise(F.col("split"))).drop("__in")
     if train_targets and strategy == "oversample":
         extra = oversample_draws(df, id, cls, quotas, seed)
         out = out.withColumn("copy", F.lit(0).cast("long")).unionByName(extra)
