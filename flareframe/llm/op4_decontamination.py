@@ -10,8 +10,8 @@ from flareframe.llm.common import materialise, new_folder
 # Characters between words (all ASCII but digits and lower-case letters).
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Test terms up to which a table of terms (at most about 30 MB) is sent to every task; more are joined by shuffle.
-MAX_BROADCAST_TERMS = 200_000
+#: Bytes up to which a table of test terms is sent to every task; a larger one is joined by shuffle.
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -20,8 +20,10 @@ def words(text: Column) -> Column:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A stored table, marked for broadcast only after its rows have been counted."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST_TERMS else df
+    """A stored table, marked for broadcast only after its bytes have been added up: 16 a value, and those of texts."""
+    texts = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind == "string"]
+    size = df.agg(sum((F.coalesce(t, F.lit(0)) for t in texts), F.count("*") * (16 * len(df.columns)))).first()[0]
+    return F.broadcast(df) if size <= MAX_BROADCAST_BYTES else df
 
 
 class PositionalIndex:
@@ -106,30 +108,36 @@ class PositionalIndex:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, id_col: str = "doc_id",
-                  text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                  text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+                  unique: bool = False) -> DataFrame:
     """(doc_id, n_words, n_hit, items, contaminated) of every document.
 
     A window is ``window`` consecutive words of an item, or the whole of a shorter item that has words; a document
     word is hit inside any exact occurrence of a window; ``items`` are the ids, as sorted strings, of those with
     occurring windows; contaminated: n_hit > 0 and share * n_hit >= n_words.
 
-    Null texts have no words and are not contaminated.  Rows with one id are read as one document only in that
-    their hits are united; each row keeps its own n_words.  Rows with null ids have no hits looked up (0).  Items
-    with one id are separate texts of that id; null item ids are left out of ``items`` but hit words.  Empty tables
-    give no rows or no hits; other columns are not read.
+    Null texts have no words and are not contaminated.  Rows that share an id, or have none, are documents of their
+    own: rows are stored once with a number, and are indexed and answered by it (``unique`` says that the ids are
+    such numbers already).  Items with one id are separate texts of that id; null item ids are left out of ``items``
+    but hit words.  Empty tables give no rows or no hits; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    stored = rows.withColumn("row", F.col("id"))
+    if not unique:
+        path = new_folder(docs.sparkSession, "numbered-texts")
+        rows.select(F.monotonically_increasing_id().alias("row"), "id", "text").write.option("compression", "zstd").parquet(path)
+        stored = docs.sparkSession.read.schema("row long, id long, text string").parquet(path)
+        rows = stored.select(F.col("row").alias("id"), "text")
     marked = items.select(F.col(item_col).cast("string").alias("name"), words(F.col(item_text_col)).alias("w"))
     tests = materialise(marked.where(F.size("w") > 0).withColumn("item_id", F.monotonically_increasing_id()))
-    known = rows.where("id IS NOT NULL")
-    index = PositionalIndex(known, tests.select("item_id", "w"))
-    found = index.phrases(known, window).join(tests.select("item_id", "name"), "item_id")
+    index = PositionalIndex(rows, tests.select("item_id", "w"))
+    found = index.phrases(rows, window).join(tests.select("item_id", "name"), "item_id")
     spans = F.flatten(F.transform("m", lambda m: F.sequence(m["start"], m["start"] + m["length"] - 1)))
     hits = (found.groupBy("id").agg(F.collect_set(F.struct("start", "length")).alias("m"),
                                     F.array_sort(F.collect_set("name")).alias("items"))
             .select(F.col("id").alias("hit_id"), F.size(F.array_distinct(spans)).cast("long").alias("n_hit"), "items"))
-    sized = rows.select("id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = sized.join(hits, F.col("id") == F.col("hit_id"), "left").select(
+    sized = stored.select("row", "id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    out = sized.join(hits, F.col("row") == F.col("hit_id"), "left").select(
         F.col("id").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))

@@ -74,9 +74,9 @@ def brute(rows, items, n, share):
     return out
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])               # with and without broadcasting the terms
+@pytest.mark.parametrize("limit", [32 << 20, 0])               # with and without broadcasting the terms
 def test_contamination(spark, docs, odd_docs, monkeypatch, limit):
-    monkeypatch.setattr(d4, "MAX_BROADCAST_TERMS", limit)
+    monkeypatch.setattr(d4, "MAX_BROADCAST_BYTES", limit)
     long = next(t for d, t in odd_docs if d == 0)
     items = [(1, " ".join(long.split()[5:40])), (2, "w1"), (3, "The, OF"), (4, None), (5, "..."), (6, "never seen words " * 9),
              (7, " ".join(long.split()[-20:])), (8, " ".join(long.split()[-20:])), (9, "the " * 20), (10, "é ü ß 中文")]
@@ -94,7 +94,10 @@ def test_contamination_of_odd_tables(spark, docs, odd_docs, no_docs):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c d e f"), (None, "a b c"), (None, None)], "doc_id long, text string")
     it = spark.createDataFrame([(None, "a b"), (3, "b c")], "item_id long, text string")
     got = sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in d4.contamination(df, it).collect()), key=str)
-    assert got == [(1, 3, 3, ["3"]), (1, 6, 3, ["3"]), (None, 0, 0, []), (None, 3, 0, [])]
+    assert got == [(1, 3, 3, ["3"]), (1, 6, 3, ["3"]), (None, 0, 0, []), (None, 3, 3, ["3"])]   # null ids are looked up
+    twice = spark.createDataFrame([(1, "x a b y"), (1, "q q q"), (None, "b c"), (None, "c b")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_hit) for r in d4.contamination(twice, it).collect()), key=str)
+    assert got == [(1, 3, 0), (1, 4, 2), (None, 2, 0), (None, 2, 2)]                            # each row by its own text
 
 
 def test_near_matches(spark):
