@@ -94,7 +94,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Every row is judged by its own text, whatever its id.  Null and empty texts stay; an empty table gives no rows.
     """
     rows, row = numbered(spark, docs)
-    bad = contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row).where("contaminated")
+    bad = contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row, unique=True).where("contaminated")
     return rows.join(bad.select(F.col("doc_id").alias(row)), row, "left_anti").select(*docs.columns)
 
 
