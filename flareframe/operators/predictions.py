@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,11 +49,18 @@ def decode(df: DataFrame, logits: str, kind: str = "multi", threshold: float = 0
                           "prob_pred": F.array_max("__p")}).drop("__p")
 
 
-def score_with(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],
-               schema: str) -> DataFrame:
-    """Run a user model over the rows in Arrow batches: ``fn`` maps a pandas frame of
-    rows to a pandas frame of ``schema``."""
+def score_with(df: DataFrame, fn: Callable[..., pd.DataFrame], schema: str, setup: Callable[[], object] | None = None,
+               profile: ResourceProfile | None = None) -> DataFrame:
+    """Run a user model over the rows in Arrow batches: ``fn`` maps a pandas frame of rows to one of ``schema``.
+
+    With ``setup`` (load a model, open a device) its result is the second argument of ``fn``; it is called once a
+    task, before the first batch, and not at all in tasks without rows.  ``profile`` names the resources, such as
+    accelerators or memory, that the scoring tasks need.
+    """
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        more = None
         for pdf in it:
-            yield fn(pdf)
-    return df.mapInPandas(batches, schema)
+            if setup is not None and more is None:
+                more = (setup(),)
+            yield fn(pdf, *(more or ()))
+    return df.mapInPandas(batches, schema, profile=profile) if profile else df.mapInPandas(batches, schema)

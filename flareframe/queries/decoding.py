@@ -107,6 +107,23 @@ def _linear(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": pdf["id"], "score": np.round(x @ np.array([0.5, -0.25, 1.0, 2.0]), 6) + 0.0})
 
 
+def _weights():
+    """Stands for loading a model."""
+    import numpy as np
+    return np.array([0.5, -0.25, 1.0, 2.0])
+
+
+def _with_weights(pdf, model):
+    import numpy as np
+    x = np.stack([np.asarray(v, dtype=float)[:4] for v in pdf["logits"]]) if len(pdf) else np.empty((0, 4))
+    return pdf[["id"]].assign(score=[round(float(v), 6) + 0.0 for v in x @ model])
+
+
 @query("x09_score_with", f"WITH {LOGITS} SELECT id, round(0.5 * x0 - 0.25 * x1 + x2 + 2 * x3, 6) + 0.0 AS score FROM lg")
 def _(spark, sf):
     return P.score_with(logits(spark, sf).select("id", "logits"), _linear, "id long, score double")
+
+
+@query("x09_score_with_setup", f"WITH {LOGITS} SELECT id, round(0.5 * x0 - 0.25 * x1 + x2 + 2 * x3, 6) + 0.0 AS score FROM lg")
+def _(spark, sf):
+    return P.score_with(logits(spark, sf).select("id", "logits"), _with_weights, "id long, score double", setup=_weights)

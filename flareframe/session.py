@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,11 +45,41 @@ def materialise(df: DataFrame) -> DataFrame:
     For small derived tables (counts per group, fitted statistics) that a plan
     uses several times.  Written files cut the lineage and survive lost executors.
     """
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = folder(df.sparkSession, "step")
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_made: list[str] = []
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """An unused path in the shared folder; :func:`scratch` removes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove on leaving all tables that steps inside have stored.
+
+    Results that read them have to be written before: a DataFrame made inside is no longer good outside.
+    """
+    mark = len(_made)
+    try:
+        yield
+    finally:
+        while len(_made) > mark:
+            remove(spark, _made.pop())
+
+
 _local: str | None = None
 
 
