@@ -126,3 +126,45 @@ def test_missing_groups_and_leaks_raise(spark, items):
     leak = items.withColumn("split", F.when(F.col("id") % 2 == 0, "train").otherwise("cv"))
     with pytest.raises(ValueError):
         S.check_exclusive(leak, "ar")
+
+
+def _by_groups(plan, targets):
+    """The rule of rebalance, group by group."""
+    have = {s: sum(n for _, n, x in plan if x == s) for s in targets}
+    out, line, to = {}, 0, {}
+    for s, t in targets.items():
+        run = 0
+        for g, n, _ in sorted((p for p in plan if p[2] == s), key=lambda p: (p[1], p[0])):
+            run += n
+            out[g] = run <= have[s] - t
+    for g, n, s in sorted(plan, key=lambda p: (p[1], p[0])):
+        to[g] = s
+        if out[g]:
+            line += n
+            below = 0
+            for x, t in targets.items():
+                room = max(t - have[x], 0)
+                if below <= line - n / 2 < below + room:
+                    to[g] = x
+                below += room
+    return to
+
+
+def test_rebalance_by_classes_equals_groups(spark):
+    import random
+    rng = random.Random(12)
+    for case in range(8):
+        sizes = [rng.choice((1, 1, 1, 2, 3, rng.randint(1, 400))) for _ in range(rng.choice((5, 60, 400)))]
+        plan = [(f"g{i:04d}", n, rng.choices(("train", "cv", "test"), (90, 5, 5) if case % 2 else (30, 60, 10))[0]) for i, n in enumerate(sizes)]
+        total = sum(sizes)
+        goal = {"train": total * 55 // 100, "cv": total // 4, "test": total // 5}
+        df = spark.createDataFrame(plan, "ar string, size long, split string").repartition(3)
+        new = S.rebalance(df, "ar", goal)
+        assert {r.ar: r.split for r in new.collect()} == _by_groups(plan, goal)
+        assert new._jdf.queryExecution().analyzed().toString().count("Relation") <= 4
+
+
+def test_rebalance_leaves_a_good_plan(spark):
+    df = spark.createDataFrame([("a", 5, "train"), (None, 3, "cv"), ("c", 2, "test")], "ar string, size long, split string")
+    assert {r.ar: r.split for r in S.rebalance(df, "ar", {"train": 5, "cv": 3, "test": 2}).collect()} == {"a": "train", None: "cv", "c": "test"}
+    assert S.rebalance(df.limit(0), "ar", {"train": 5, "cv": 3, "test": 2}).count() == 0
