@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -18,11 +19,39 @@ from flareframe.llm.tokens import byte_alphabet
 
 #: Pairs of token ids up to which their counts (20 bytes each) are sent to every task; more are joined by shuffle.
 MAX_BROADCAST_PAIRS = 1_000_000
-#: Aligned pieces of text that a worker process remembers, and links gathered before they are counted.
-ENTRIES, GATHER = 150_000, 1 << 21
+#: Aligned units that a worker process remembers, in two halves of so many, and links gathered before they are counted.
+ENTRIES, GATHER = 80_000, 1 << 20
 #: A blank before the first, or after a character that is no white space, ends what both tokenizers cut alone.
 UNIT = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
 SPACE = "▁"
+# Fixed value: how a byte-level BPE cuts text into pre-tokens.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _quick(tok, path: str) -> Callable[[str], list[int]] | None:
+    """A faster encoder of the same ids, if the file is a plain byte-level BPE whose ids rise with the merges.
+
+    It takes a pre-token that is an entry without merging, so every entry is encoded both ways first; None if any
+    differs.
+    """
+    import tiktoken
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model, back = spec.get("pre_tokenizer") or {}, spec["model"], {c: b for b, c in byte_alphabet().items()}
+    if pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space") or spec.get("normalizer") \
+            or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    special = {a["content"] for a in spec.get("added_tokens") or []}
+    vocab = {t: i for t, i in model["vocab"].items() if t not in special}
+    merged = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    if any(c not in back for t in vocab for c in t) or merged != sorted(set(merged)) or min(merged, default=0) < 256 \
+            or any(len(t) == 1 and i > 255 for t, i in vocab.items()):
+        return None
+    ranks = {bytes(map(back.__getitem__, t)): i for t, i in vocab.items()}
+    of = tiktoken.Encoding("own", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    some = [t.decode("utf-8", "ignore") for t in ranks]
+    same = all(of(t) == x.ids for t, x in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)))
+    return of if same else None
 
 
 class Aligner:
@@ -42,6 +71,7 @@ class Aligner:
         self.a.no_padding()
         self.a.no_truncation()
         self.a.encode_special_tokens = True                   # their strings in texts are plain text
+        self.quick = _quick(self.a, path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         back = {c: b for b, c in byte_alphabet().items()}
         vocab = self.a.get_vocab()
@@ -50,57 +80,61 @@ class Aligner:
             self.bytes_a[i] = bytes(map(back.__getitem__, token)) if all(c in back for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.size_a, self.size_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        self.name_a, self.name_b = list(map(str, range(len(self.bytes_a)))), list(map(str, range(len(self.bytes_b))))
         self.blank = self.b.piece_to_id(SPACE)
         plain = all(SPACE not in p.lstrip(SPACE) for p in pieces) and not self.b.is_unknown(self.blank)
         self.unit = UNIT if plain else re.compile(".+", re.DOTALL)
-        self.known: dict[str, tuple | None] = {}
+        self.known: dict[str, tuple | bool] = {}
+        self.older: dict[str, tuple | bool] = {}
 
     def ids_b(self, units: list[str]) -> list[list[int]]:
         """The model writes a blank before what it gets, but nothing for the empty text."""
         return [ids or [self.blank] for ids in self.b.encode([u[1:] for u in units])]
 
-    def pair(self, unit: str, a: list[int], b: list[int]) -> tuple[int, int, int, str, bytes] | None:
-        """Counts of A, B and groups, the groups in text form, and the links as (a << 32 | b); None if bytes differ."""
-        ba, bb = list(map(self.bytes_a.__getitem__, a)), list(map(self.bytes_b.__getitem__, b))
+    def pair(self, unit: str, a: list[int], b: list[int]) -> tuple[int, str, bytes] | bool:
+        """Numbers of tokens (A << 32 | B), the groups in text form, the links as (a << 32 | b); False if bytes differ."""
         raw = unit.encode()
-        if b"".join(ba) != raw or b"".join(bb) != raw:
-            return None
-        groups, links, i, j, p, q = [], [], 0, 0, 0, 0
-        end_a, end_b, last = len(ba[0]), len(bb[0]), len(a) - 1
-        while True:
-            if end_a < end_b:
-                i += 1
-                end_a += len(ba[i])
-            elif end_b < end_a:
-                j += 1
-                end_b += len(bb[j])
-            else:
-                groups.append(f"{','.join(map(str, a[p:i + 1]))}|{','.join(map(str, b[q:j + 1]))}")
-                links.append(a[i] << 32 | b[j])
-                if i == last:
-                    return len(a), len(b), len(groups), ";".join(groups), array("q", links).tobytes()
-                p, q = i + 1, j + 1
-                i, j = p, q
-                end_a, end_b = end_a + len(ba[i]), end_b + len(bb[j])
-
-    def learn(self, units: list[str]) -> dict[str, tuple | None]:
-        found = self.a.encode_batch_fast(units, add_special_tokens=False)
-        return {u: self.pair(u, a.ids, b) for u, a, b in zip(units, found, self.ids_b(units))}
+        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+            return False
+        size_a, size_b, name_a, name_b = self.size_a, self.size_b, self.name_a, self.name_b
+        groups, links, text_a, text_b = [], [], "", ""
+        ids_b, end_a, end_b = iter(b), 0, 0
+        for x in a:
+            end_a += size_a[x]
+            text_a = f"{text_a},{name_a[x]}" if text_a else name_a[x]
+            while end_b < end_a:
+                y = next(ids_b)
+                end_b += size_b[y]
+                text_b = f"{text_b},{name_b[y]}" if text_b else name_b[y]
+            if end_a == end_b:
+                groups.append(f"{text_a}|{text_b}")
+                links.append(x << 32 | y)
+                text_a = text_b = ""
+        return len(a) << 32 | len(b), ";".join(groups), array("q", links).tobytes()
+
+    def learn(self, units: list[str]) -> dict[str, tuple | bool]:
+        found = map(self.quick, units) if self.quick else [x.ids for x in self.a.encode_batch_fast(units, add_special_tokens=False)]
+        return {u: self.pair(u, a, b) for u, a, b in zip(units, found, self.ids_b(units))}
 
     def __call__(self, texts: list[str]) -> list[tuple[int, int, int, str, bytes]]:
+        """(n_a, n_b, n_groups, groups, links) of each text."""
+        if len(self.known) > ENTRIES:                         # units that are used again move to the new half
+            self.older, self.known = self.known, {}
+        out, once = [], {}
         cut = [self.unit.findall(f" {t}") if t else [] for t in texts]
-        if len(self.known) > ENTRIES:
-            self.known.clear()
-        new = self.learn(list({u for units in cut for u in units if u not in self.known}))
-        self.known.update((u, x) for u, x in new.items() if len(u) <= 64)
-        out = []
+        missing = {u for units in cut for u in units}.difference(self.known)
+        again = {u: self.older[u] for u in missing if u in self.older}
+        for u, x in (self.learn([u for u in missing if u not in again]) | again).items():
+            (self.known if len(u) <= 64 else once)[u] = x
         for units in cut:
-            got = [new[u] if u in new else self.known[u] for u in units]
-            if not got or None in got:
+            got = [self.known[u] for u in units] if not once else [once[u] if u in once else self.known[u] for u in units]
+            if not got or False in got:
                 out.append((0, 0, 0, "", b""))
             else:
-                a, b, n, groups, links = zip(*got)
-                out.append((sum(a), sum(b), sum(n), ";".join(groups), b"".join(links)))
+                sizes, groups, links = zip(*got)
+                n, links = sum(sizes), b"".join(links)
+                out.append((n >> 32, n & 0xFFFFFFFF, len(links) // 8, ";".join(groups), links))
         return out
 
 
@@ -119,13 +153,14 @@ def _aligned(distinct: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = aligner(path_a, path_b)
         for b in batches:
-            for at in range(0, b.num_rows, 64):               # so that few groups are held at a time
-                part = b.slice(at, 64)
+            for at in range(0, b.num_rows, 128):              # so that few groups are held at a time
+                part = b.slice(at, 128)
                 a, bb, n, groups, links = zip(*of(part.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), part.column("copies"), pa.array(a, pa.int64()), pa.array(bb, pa.int64()), pa.array(n, pa.int64()),
                      pa.array(groups, pa.string()), pa.array(links, pa.binary())],
                     names=["key", "copies", "n_a", "n_b", "n_groups", "groups", "links"])
+            b = part = None                                   # gone before the next batch is read
     return distinct.select("key", "copies", "text").mapInArrow(
         run, "key binary, copies long, n_a long, n_b long, n_groups long, groups string, links binary")
 
