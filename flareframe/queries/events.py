@@ -288,3 +288,24 @@ def _(spark, sf):
     run_bins(resample_stream(live, KEY, "ts", "flux", "1 hour"), out)
     d = latest_bins(spark, out, [*KEY, "ts"])
     return d.select("satellite", stamp("ts").alias("t"), r6("flux", 8).alias("flux"))
+
+
+@query("j02_label_ahead_stream", f"""WITH fl AS (SELECT event_id AS id, user_id % 8 AS ar, ts, {SEV_SQL} AS sev FROM events),
+w AS (SELECT id, ar, ts FROM fl WHERE id % 10 = 0 AND ts <= (SELECT max(ts) FROM fl) - INTERVAL 2 DAY)
+SELECT w.id, strftime(w.ts, '%Y-%m-%d %H:%M:%S') AS t, {sev_to_class_sql('max(e.sev)')} AS flare_class
+FROM w LEFT JOIN fl e ON e.ar = w.ar AND e.ts > w.ts + INTERVAL 1 HOUR AND e.ts <= w.ts + INTERVAL 7 HOUR GROUP BY 1, 2""")
+def _(spark, sf):
+    from flareframe.queries.inputs import EVENT_CLASS, table
+    from flareframe.session import folder
+    from flareframe.streaming.labels import label_ahead_stream, latest_labels, run_labels
+    out, schema = folder(spark, "stream-labels"), table(spark, sf, "events").schema
+
+    def live():
+        e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+        return e.select(F.col("event_id").alias("id"), (F.col("user_id") % 8).alias("ar"), F.col("ts").alias("t_occ"),
+                        L.severity(L.lookup(EVENT_CLASS, F.col("event_type"))).alias("sev"))
+    run_labels(label_ahead_stream(live().where("id % 10 = 0"), live(), ["ar"], "id", "t_occ", "6 hours", "1 hour", "10 hours"), out)
+    # windows near the end of the stream are still open
+    last = table(spark, sf, "events").agg(F.max("ts")).scalar()
+    d = latest_labels(spark, out).where(F.col("t_end") <= last - F.expr("INTERVAL '2' DAY"))
+    return d.select("id", stamp("t_end").alias("t"), "flare_class")
