@@ -54,12 +54,16 @@ def _(spark, sf):
     return R.read_any(spark, path, schema="id long, ar long, label string, value double")
 
 
-@query("s04_list_images", "SELECT CAST(user_id % 50 AS VARCHAR) AS sname, true AS has_files FROM events GROUP BY 1")
+@query("s04_list_images", f"""WITH {ITEMS}, k AS (SELECT DISTINCT ar % 50 AS ar, label FROM items)
+SELECT CAST(ar AS VARCHAR) AS sname, count(*) AS n_files, string_agg(label, ',' ORDER BY label) AS labels FROM k GROUP BY 1""")
 def _(spark, sf):
     path = fresh(spark, "images")
-    items(spark, sf).select((F.col("ar") % 50).alias("ar"), "filepath").write.partitionBy("ar").text(path)
-    d = R.list_images(spark, path, "*.txt", F.regexp_extract("path", r"ar=(\d+)", 1))
-    return d.select("sname", (F.size("filepaths") > 0).alias("has_files"))
+    d = items(spark, sf).select((F.col("ar") % 50).alias("ar"), "label", F.lit("x").alias("x"))
+    # every (entity, label) is one file: its rows are brought to one task, of which any writes
+    d.dropDuplicates(["ar", "label"]).repartition("ar", "label").write.partitionBy("ar", "label").text(path)
+    found = R.list_images(spark, path, "*.txt", F.regexp_extract("path", r"ar=(\d+)", 1))
+    label = F.transform("filepaths", lambda p: F.regexp_extract(p, "label=([^/]+)", 1))
+    return found.select("sname", F.size("filepaths").cast("long").alias("n_files"), F.array_join(label, ",").alias("labels"))
 
 
 @query("s05_read_labels", f"WITH {FRAMES} SELECT file AS ImgName, label AS Label FROM frames")
@@ -168,12 +172,11 @@ def _(spark, sf):
     return rnd(d.select("run", "threshold", *C.CURVE), ["threshold", *C.CURVE])
 
 
-@query("s13_write_curves", f"WITH {RUNC} SELECT count(*) AS n, round(sum(tss), 4) AS total FROM cv")
+@query("s13_write_curves", f"WITH {RUNC} SELECT round(threshold, 6) AS threshold, {CROUND} FROM cv")
 def _(spark, sf):
     path = fresh(spark, "curve")
     W.write_curves(run_curves(spark, sf), path)
-    d = R.read_csv(spark, path, R.CURVE_SCHEMA)
-    return d.agg(F.count(F.lit(1)).alias("n"), r6(F.sum("tss"), 4).alias("total"))
+    return rnd(R.read_csv(spark, path, R.CURVE_SCHEMA).select("threshold", *C.CURVE), ["threshold", *C.CURVE])
 
 
 @query("s14_write_flat_windows", f"""WITH {WIN}, f AS (SELECT satellite, s FROM fw WHERE reason = 'ok' AND n_points = 24)
@@ -214,9 +217,25 @@ def _(spark, sf):
     return d.select("category", "split", "label", "n")
 
 
-@query("s18_write_split_report", f"WITH {BOTH} SELECT split, label, n AS new_n FROM z WHERE category = 'per_label'")
+@query("s18_write_split_report", f"""WITH {BOTH}, oc AS (SELECT split, label, count(*) AS n FROM oi GROUP BY 1, 2),
+zo AS (SELECT 'composition' AS tab, split, label, n FROM oc UNION ALL SELECT 'collapsed', split, CASE label WHEN 'NONE' THEN 'NONE' WHEN 'C' THEN 'OTHER' ELSE 'M+' END, sum(n)::BIGINT FROM oc GROUP BY 2, 3),
+zn AS (SELECT CASE category WHEN 'per_label' THEN 'composition' ELSE 'collapsed' END AS tab, split, label, n FROM z),
+a_ AS (SELECT split, count(*) AS n, count(DISTINCT ar) AS g FROM oi GROUP BY 1), b_ AS (SELECT split, count(*) AS n, count(DISTINCT ar) AS g FROM ni GROUP BY 1)
+SELECT coalesce(zo.tab, zn.tab) AS tab, coalesce(zo.split, zn.split) AS split, coalesce(zo.label, zn.label) AS name, coalesce(zo.n, 0) AS x, coalesce(zn.n, 0) AS y
+FROM zo FULL JOIN zn ON zo.tab = zn.tab AND zo.split = zn.split AND zo.label = zn.label
+UNION ALL SELECT 'movement', a_.split, 'groups', a_.g, b_.g FROM a_ JOIN b_ ON a_.split = b_.split
+UNION ALL SELECT 'sizes', a_.split, 'items', a_.n, b_.n FROM a_ JOIN b_ ON a_.split = b_.split
+UNION ALL SELECT 'exclusivity', '', 'groups', count(*), count(CASE WHEN k > 1 THEN 1 END) FROM (SELECT ar, count(DISTINCT split) AS k FROM ni GROUP BY 1)""")
 def _(spark, sf):
-    return spark.read.parquet(f"{report(spark, sf)}/composition").select("split", "label", "new_n")
+    path = report(spark, sf)
+
+    def part(tab: str, *cols):
+        return spark.read.parquet(f"{path}/{tab}").select(F.lit(tab).alias("tab"), *[c.alias(n) for c, n in zip(cols, ("split", "name", "x", "y"))])
+    c = F.col
+    comp = [part(t, c("split"), c("label"), c("orig_n"), c("new_n")) for t in ("composition", "collapsed")]
+    return comp[0].union(comp[1]).union(part("movement", c("split"), F.lit("groups"), c("groups_orig"), c("groups_new"))) \
+        .union(part("sizes", c("split"), F.lit("items"), c("original"), c("achieved"))) \
+        .union(part("exclusivity", F.lit(""), F.lit("groups"), c("n_groups"), c("n_violations")))
 
 
 @query("s19_spot_check", f"WITH {CLIPS} SELECT ar, label, f0 AS fname_start, f2 AS fname_end FROM clips")
@@ -236,11 +255,15 @@ def _(spark, sf):
     return d.select("ar", "label_pred", F.array_join("filepaths", "|").alias("files"))
 
 
-@query("s21_write_augmented", f"WITH {AUG} SELECT coalesce(error, 'ok') AS reason, count(*) AS n FROM au GROUP BY 1")
+@query("s21_write_augmented", f"""WITH {AUG} SELECT 'stats' AS tab, coalesce(error, 'ok') AS name, count(*) AS n FROM au GROUP BY 2
+UNION ALL SELECT 'rows', ar || ' ' || strftime(t_start, {T}), CASE WHEN error IS NULL THEN 16 ELSE 0 END FROM au""")
 def _(spark, sf):
     path = fresh(spark, "augmented")
     W.write_augmented(augmented(spark, sf), path)
-    return spark.read.parquet(f"{path}/stats")
+    rows = spark.read.parquet(f"{path}/rows").select(
+        F.lit("rows").alias("tab"), F.concat_ws(" ", F.col("ar").cast("string"), stamp("t_start")).alias("name"),
+        F.coalesce(F.size("xrs_flux_ratio"), F.lit(0)).cast("long").alias("n"))
+    return spark.read.parquet(f"{path}/stats").select(F.lit("stats").alias("tab"), F.col("reason").alias("name"), "n").union(rows)
 
 
 @query("s22_scaler_stats", f"WITH {MED} SELECT 'x' AS var, round(avg(x), 6) AS a, round(stddev_pop(x), 6) AS b FROM fin")
@@ -250,11 +273,13 @@ def _(spark, sf):
     return rnd(R.read_stats(spark, path), ["a", "b"])
 
 
-@query("s23_write_distribution", f"WITH {ORDERS} SELECT split, label, count(*) AS n FROM oi GROUP BY 1, 2")
+@query("s23_write_distribution", f"""WITH {ORDERS} SELECT split, label AS name, count(*) AS n FROM oi GROUP BY 1, 2
+UNION ALL SELECT split, CAST(ar AS VARCHAR), count(*) FROM oi GROUP BY 1, 2""")
 def _(spark, sf):
     path = fresh(spark, "distribution")
     W.write_distribution(orders_items(spark, sf), path)
-    return R.read_csv(spark, f"{path}/class_counts", "split string, label string, n long")
+    parts = [R.read_csv(spark, f"{path}/{t}", "split string, name string, n long") for t in ("class_counts", "group_counts")]
+    return parts[0].union(parts[1])
 
 
 @query("s24_write_label_csv", f"WITH {FRAMES} SELECT file AS ImgName, label AS Label FROM frames")

@@ -244,16 +244,25 @@ def _(spark, sf):
         .select(F.col("o_orderkey").alias("id"))
 
 
-@query("f08_require_groups", f"WITH {ITEMS} SELECT count(*) AS n FROM items")
+@query("f08_require_groups", f"WITH {ITEMS} SELECT count(*) AS n, count(CASE WHEN id % 7 = 0 THEN 1 END) AS n_refused FROM items")
 def _(spark, sf):
     from flareframe.operators.splits import require_groups
-    return require_groups(items(spark, sf), "ar").agg(F.count(F.lit(1)).alias("n"))
+    d = items(spark, sf).withColumn("ar", F.when(F.col("id") % 7 != 0, F.col("ar")))
+    try:
+        require_groups(d, "ar")
+        refused = 0
+    except ValueError as e:
+        refused = int(str(e).split()[0])                      # the items without a group that it names
+    return require_groups(d, "ar", allow_missing=True).agg(F.count(F.lit(1)).alias("n"), F.lit(refused).cast("long").alias("n_refused"))
 
 
-@query("f11_same_length", "SELECT vec_id AS id FROM embeddings WHERE len(embedding) = 64")
+@query("f11_same_length", "SELECT vec_id AS id FROM embeddings WHERE len(embedding) = 64 AND vec_id % 3 <> 0 AND vec_id % 5 <> 0")
 def _(spark, sf):
     from flareframe.operators.series import same_length
-    return same_length(table(spark, sf, "embeddings"), ["embedding"], 64).select(F.col("vec_id").alias("id"))
+    x, i = F.col("embedding"), F.col("vec_id")
+    d = table(spark, sf, "embeddings").select(i.alias("id"), F.when(i % 3 == 0, F.slice(x, 1, 60)).otherwise(x).alias("a"),
+                                              F.when(i % 5 != 0, x).alias("b"))
+    return same_length(d, ["a", "b"], 64).select("id")
 
 
 @query("f13_drop_null", f"""WITH {ITEMS} SELECT id, value FROM items WHERE value < 100""")
