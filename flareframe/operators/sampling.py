@@ -64,7 +64,7 @@ def cut_offs(df: DataFrame, keys: Sequence[str], id: str, seed: int | str, quota
     ranked = number_rows(inside, ["__grp", "k"], ["__u", "__id"], uniform_segment(inside, place))
     found = ranked.where(F.col("rn") == F.col("k") - F.col("below")).select(
         "__grp", "k", F.struct(u.alias("u"), F.col("__id").alias("id")).alias("edge"))
-    return wanted.join(materialise(found), ["__grp", "k"], "left").select("__grp.*", "n", "k", "edge")
+    return materialise(wanted.join(found, ["__grp", "k"], "left").select("__grp.*", "n", "k", "edge"))
 
 
 def first_k(df: DataFrame, keys: Sequence[str], id: str, seed: int | str, quotas: DataFrame, name: str) -> DataFrame:

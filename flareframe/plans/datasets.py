@@ -11,6 +11,7 @@ from flareframe.operators import events as E
 from flareframe.operators import grid as G
 from flareframe.operators import reports as R
 from flareframe.operators.ordered import interval_micros, micros
+from flareframe.session import materialise
 
 
 def relabel(df: DataFrame, scheme: str = "multi", threshold: str | None = None,
@@ -51,27 +52,28 @@ def augment_clips(clips: DataFrame, flux: DataFrame, background: DataFrame, even
     window, coverage, background, length.
     """
     step = interval_micros(every)
+    # labelled clips and the values at all their times are used several times and stored; sources are read once
+    events = materialise(events.select("t_occ", "sev", "timestamp_start", "timestamp_end", "flare_type"))
+    clips = materialise(E.label_ahead(clips, events, [], "t_end", horizon, gap, "__raw"))
     lo, hi = micros("t_start"), micros("t_end")
     want = F.floor((hi - lo + (step - 1)) / step)
     good = clips.where(F.col("t_end") > F.col("t_start"))
-    pts = good.select(F.col(id).alias("__id"), lo.alias("__lo"), F.posexplode(
-        F.sequence(lo, hi - 1, F.lit(step))).alias("pos", "__us"))
-    pts = pts.withColumn("ts", G.from_micros(F.col("__us"))).drop("__us")
-    pts = G.align(pts, flux.select("ts", "flux"), [], "ts")
-    pts = pts.withColumn("__ok", G.is_finite(F.col("flux")).cast("double"))
-    filled = G.fill_linear(pts, ["__id"], "pos", "flux")
-    ratio = G.flux_ratio(filled, background, [], "ts", per="day")
+    times = good.select(F.col(id).alias("__id"), F.posexplode(F.sequence(lo, hi - 1, F.lit(step))).alias("pos", "__us"))
+    times = times.withColumn("ts", G.from_micros(F.col("__us"))).drop("__us")
+    ticks = materialise(times.select("ts").distinct())
+    at = G.align(ticks, flux.select("ts", "flux"), [], "ts").withColumn("date", G.day_of("ts")) \
+        .join(background.select("date", "background"), "date", "left").drop("date")
     if history:
-        ticks = ratio.select("ts").distinct()
-        ratio = ratio.join(E.history_channel(ticks, events, [], "ts", encoding, skip_ab), "ts")
+        at = at.join(E.history_channel(ticks, events, [], "ts", encoding, skip_ab), "ts")
+    pts = times.join(materialise(at), "ts").withColumn("__ok", G.is_finite(F.col("flux")).cast("double"))
+    filled = G.fill_linear(pts, ["__id"], "pos", "flux")
+    ratio = G.flux_ratio(filled, background, [], "ts", per="window")
     cols = ["ratio"] + (["hist"] if history else [])
     # a clip's grid is as long as the clip: arrays are bounded
     arr = (ratio.groupBy("__id").agg(
         F.array_sort(F.collect_list(F.struct("pos", *cols))).alias("__a"),
         F.bool_and(F.col("ratio").isNotNull()).alias("bg_ok"), F.avg("__ok").alias("cov")))
-    lab = E.label_ahead(clips.select(F.col(id).alias("__id"), "t_end"), events, [], "t_end",
-                        horizon, gap, "__raw").select("__id", "__raw")
-    out = clips.withColumn("__id", F.col(id)).join(arr, "__id", "left").join(lab, "__id", "left")
+    out = clips.withColumn("__id", F.col(id)).join(arr, "__id", "left")
     bad = R.first_reason([
         ("window", ~(F.col("t_end") > F.col("t_start"))),
         ("coverage", F.coalesce(F.col("cov"), F.lit(0.0)) < min_coverage),

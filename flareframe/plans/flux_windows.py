@@ -13,6 +13,7 @@ from flareframe.operators import events as E
 from flareframe.operators import grid as G
 from flareframe.operators import reports as R
 from flareframe.operators.ordered import interval, interval_micros, micros
+from flareframe.session import materialise
 
 KEY = ["satellite"]
 
@@ -51,22 +52,26 @@ def label_windows(flux: DataFrame, background: DataFrame, events: DataFrame,
     with reason ok.
     """
     n = interval_micros(width) // interval_micros(every)
-    grid = G.resample_mean(flux, KEY, "ts", "flux", every)
+    # the resampled series, the events and the windows are stored: each is much smaller than what it comes from and
+    # is used several times, while every source is read once (the flux twice: its bins and their range)
+    grid = materialise(G.resample_mean(flux, KEY, "ts", "flux", every))
+    events = materialise(events.select("t_occ", "sev", "timestamp_start", "timestamp_end", "flare_type"))
     bg = G.first_per_day(background, KEY, "ts", "background")
-    win = G.day_windows(bg.drop("date"), KEY, "ts", width, stride, align_to).drop("ts")
+    win = materialise(G.day_windows(bg.drop("date"), KEY, "ts", width, stride, align_to).drop("ts"))
     win = E.label_ahead(win, events, [], "end", width, gap, "flare_class")
     if skip_at_least != "NONE":
-        win = E.events_within(win, events, [], "start", "end", "sev_in")
+        win = E.events_within(materialise(win), events, [], "start", "end", "sev_in")
     else:
         win = win.withColumn("sev_in", F.lit(0))
+    win = materialise(win)
     pts = G.window_points(grid, win.select(*KEY, "start", "end", "background"), KEY, "ts", every, width)
     w = ["satellite", "start"]
     fill = pts.withColumn("__ok", nan_to_null(F.col("flux")).isNotNull())
-    fill = G.flux_ratio(G.fill_linear(fill, w, "pos", "flux"), bg, KEY, "ts", per="window")
+    fill = G.flux_ratio(G.fill_linear(fill, w, "pos", "flux"), win, KEY, "ts", per="window")
     cols = ["ratio"]
     if history:
         ticks = grid.select("ts").distinct()
-        fill = fill.join(E.history_channel(ticks, events, [], "ts", history, skip_ab), "ts")
+        fill = fill.join(materialise(E.history_channel(ticks, events, [], "ts", history, skip_ab)), "ts")
         cols.append("hist")
     arr = fill.groupBy(*w).agg(F.array_sort(F.collect_list(F.struct("pos", *cols))).alias("__a"),
                                F.count_if("__ok").alias("n_valid"), F.count(F.lit(1)).alias("n_points"))
