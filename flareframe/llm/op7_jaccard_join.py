@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flareframe.llm.anchors import grams
-from flareframe.llm.common import blobs, components, given, materialise, texts_of, unblob
+from flareframe.llm.common import components, given, materialise, texts_of, unblob
 
 #: Cells of the frequency sketch that orders tokens; its size is fixed, so it can be sent to every task.
 CELLS = 1 << 18
 #: Tokens of at most so many sets are rare: their sets are paired directly.  Above, combinations of tokens are indexed.
 RARE = 16
-#: Sets compared with each other in one unit of work, at most twice as many.
-BLOCK = 512
-
-
+#: Tokens on either side of a unit of work, and texts taken from a batch at a time; they bound a worker's memory.
+BLOCK, SLICE = 400_000, 64
+#: Heads that each group is compared with in a round, and rounds before the pairs that are left are listed.
+HEADS, ROUNDS = 2, 4
 #: Bits of the map that keeps most texts no set is wanted of out of the shuffle; its size is fixed (1 MB).
 BITS = 1 << 23
 
@@ -45,174 +45,214 @@ def linked(inter: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, pe
     return 100 * inter >= percent * (a + b - inter)
 
 
+def like_sized(a: Column, b: Column, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, size):
+            yield b.slice(at, size)
+
+
 def _frequencies(texts: DataFrame, k: int) -> np.ndarray:
     """Documents per sketch cell, counted over all documents; ``CELLS`` numbers come to the driver."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
-        for b in batches:
-            sets = [shingle_set((t or "").encode(), k) for t in b["text"]]
-            if sets:
-                total += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        for b in _slices(batches):
+            for t in b.column(0).to_pylist():
+                np.add.at(total, (shingle_set((t or "").encode(), k) & np.uint64(CELLS - 1)).astype(np.int64), 1)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"cell": at, "n": total[at]})
-    got = texts.mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+    got = texts.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(CELLS, np.int64)
     out[got["cell"].to_numpy(dtype=np.int64)] = got["n"]
     return out
 
 
 def _described(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(id, node, n, prefix): the set of every row, and its least frequent tokens, one more than the Jaccard prefix."""
+    """(id, d, node, n, prefix): the set of every row, and its least frequent tokens, one more than the Jaccard prefix."""
     sent = texts.sparkSession.sparkContext.broadcast(_frequencies(texts, k))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = sent.value
-        for b in batches:
-            out = []
-            for doc, text in zip(b["id"], b["text"]):
+        for b in _slices(batches):
+            node, size, prefix = [], [], []
+            for text in b.column("text").to_pylist():
                 s = shingle_set((text or "").encode(), k)
-                if not len(s):
-                    out.append((doc, 0, 0, []))
-                    continue
                 n = len(s)
-                take = min(n, n - -(-n * percent // 100) + 2)
-                order = np.lexsort((s, often[(s & np.uint64(CELLS - 1)).astype(np.int64)]))[:take]
-                out.append((doc, node_of(s), n, s[order].view(np.int64)))
-            yield pd.DataFrame(out, columns=["id", "node", "n", "prefix"])
-    return texts.mapInPandas(run, "id long, node long, n long, prefix array<long>")
+                order = np.lexsort((s, often[(s & np.uint64(CELLS - 1)).astype(np.int64)]))
+                node.append(node_of(s) if n else 0)
+                size.append(n)
+                prefix.append(s[order[:min(n, n - -(-n * percent // 100) + 2)]].view(np.int64))
+            ends = np.cumsum([0, *map(len, prefix)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("d"), pa.array(node, pa.int64()), pa.array(size, pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix)))], names=["id", "d", "node", "n", "prefix"])
+    return texts.mapInArrow(run, "id long, d long, node long, n long, prefix array<long>")
 
 
 def _combinations(nodes: DataFrame) -> DataFrame:
-    """(node, t array of frequent tokens) to (key, node): every two of the tokens as one key."""
-    two = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.xxhash64(x, y))))
-    return nodes.where(F.size("t") > 1).select("node", F.explode(two).alias("key"))
+    """(node, n, t array of frequent tokens) to (key, node, n): every two of the tokens as one key, a row for each."""
+    first = nodes.where(F.size("t") > 1).select("node", "n", "t", F.posexplode("t").alias("i", "x"))
+    return first.select("node", "n", "x", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("y")) \
+        .select(F.xxhash64("x", "y").alias("key"), "node", "n")
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, paired, family, s): sorted sets of the wanted (id, node, paired, family), computed again from the texts
-    of those ids.  Equal rows with one id give equal sets several times, which changes no link."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(BITS))
+def _blobs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, z): compressed texts of the wanted (node, id, d), one for each node; equal rows are taken once."""
+    bit = F.pmod(F.xxhash64("id", "d"), F.lit(BITS))
     words = wanted.groupBy((bit / 64).cast("int").alias("w")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("m")).toPandas()
     marks = np.zeros(BITS // 64, np.int64)
     marks[words["w"].to_numpy(dtype=np.int64)] = words["m"]
     sent = texts.sparkSession.sparkContext.broadcast(marks.view(np.uint64))
 
-    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            at = b["bit"].to_numpy(dtype=np.int64)
-            yield b.loc[(sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1, ["id", "text"]]
-    some = texts.withColumn("bit", bit).mapInPandas(likely, "id long, text string")
-    rows = blobs(some).join(wanted.withColumnRenamed("node", "want"), "id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for z, want, paired, family in zip(b["z"], b["want"], b["paired"], b["family"]):
-                s = shingle_set(unblob(z), k)
-                if len(s) and node_of(s) == want:
-                    out.append((want, paired, family, s.tobytes()))
-            yield pd.DataFrame(out, columns=["node", "paired", "family", "s"])
-    return rows.select("z", "want", "paired", "family").mapInPandas(run, "node long, paired boolean, family boolean, s binary")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) pairs whose whole sets are similar enough."""
-    both = (pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-            .join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            out = []
-            for a, b, x, y in zip(p["a"], p["b"], p["sa"], p["sb"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                if linked(int((x[at] == y).sum()), len(x), len(y), percent):
-                    out.append((a, b))
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-    return both.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
-
-
-def _within(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links that connect the linked members of each family (node, n, family).
-
-    Members are put into bands of size by powers of the threshold, so only equal and neighbouring bands can hold
-    similar sets, and bands are split into blocks by hash.  Every pair of blocks is one unit of work of bounded size;
-    it compares whole sets and gives back a link per linked member, not the pairs.
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = zstandard.ZstdCompressor(level=5)
+        for b in _slices(batches):
+            at = b.column("bit").to_numpy(zero_copy_only=False)
+            some = b.filter(pa.array((sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            z = [c.compress((t or "").encode()) for t in some.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column("id"), some.column("d"), pa.array(z, pa.binary())], names=["id", "d", "z"])
+    some = texts.withColumn("bit", bit).mapInArrow(likely, "id long, d long, z binary")
+    return some.join(wanted, ["id", "d"]).groupBy("id", "d").agg(F.first("node").alias("node"), F.first("z").alias("z")).select("node", "z")
+
+
+def _verified(pairs: DataFrame, sizes: DataFrame, blobs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b) of the distinct pairs (p, q) whose whole sets are similar enough; each pair is looked at once.
+
+    Sets that meet in pairs are brought together in units of work: a set's home is the least set it is paired with,
+    homes are split so that a part has about ``BLOCK`` tokens, and the parts of p and q make a unit.  A unit gets the
+    texts of its sets once, as compressed text, and then its pairs, which stream by.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
-    members = materialise(families.withColumn("band", band))
-    sizes = members.groupBy("family", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    up = sizes.select("family", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
-    down = sizes.select("family", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    m = (members.join(sizes, ["family", "band"]).join(up, ["family", "band"], "left").join(down, ["family", "band"], "left")
-         .withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
-
-    def ones(n: str) -> F.Column:
-        return F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(0)) - 1)
-    none = F.array().cast("array<int>")
-    same = F.transform(ones("blocks"), lambda j: F.struct(F.lit(0).alias("kind"), F.col("band").alias("at"), F.least("mine", j).alias("lo"),
-                                                          F.greatest("mine", j).alias("hi"), (F.col("mine") > j).alias("side")))
-    over = F.transform(F.when(F.col("above") > 0, ones("above")).otherwise(none), lambda j: F.struct(
-        F.lit(1).alias("kind"), F.col("band").alias("at"), F.col("mine").alias("lo"), j.alias("hi"), F.lit(False).alias("side")))
-    under = F.transform(F.when(F.col("below") > 0, ones("below")).otherwise(none), lambda j: F.struct(
-        F.lit(1).alias("kind"), (F.col("band") - 1).alias("at"), j.alias("lo"), F.col("mine").alias("hi"), F.lit(True).alias("side")))
-    unit = ["family", "kind", "at", "lo", "hi"]
-    rows = m.select("node", "family", F.explode(F.concat(same, over, under)).alias("u")).select("node", "family", "u.*").join(sets, "node")
-    return (rows.repartition(*unit).sortWithinPartitions(*unit)
-            .mapInPandas(lambda it: _compare(it, unit, percent), "a long, b long").distinct())
-
-
-def _compare(batches: Iterator[pd.DataFrame], unit: list[str], percent: int) -> Iterator[pd.DataFrame]:
-    rest = None
-    for b in batches:
-        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-        u = b[unit].to_numpy()
-        edges = np.concatenate(([0], np.flatnonzero((u[1:] != u[:-1]).any(1)) + 1))
-        for s, e in zip(edges[:-1], edges[1:]):
-            yield _unit(b.iloc[s:e], percent)
-        rest = b.iloc[edges[-1]:].reset_index(drop=True)
-    if rest is not None and len(rest):
-        yield _unit(rest, percent)
-
-
-def _unit(g: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links of one unit that connect what is linked in it: intersections by matrix products over token chunks."""
-    empty = pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    if len(g) < 2:
-        return empty
-    node, side = g["node"].to_numpy(), g["side"].to_numpy()
-    within = g["kind"].iloc[0] == 0 and g["lo"].iloc[0] == g["hi"].iloc[0]
-    sets = [np.frombuffer(s, np.uint64) for s in g["s"]]
-    sizes = np.array([len(s) for s in sets])
-    _, code, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    use = many[code] > 1                                       # tokens of one set add to no intersection
-    code, owner = np.unique(code[use], return_inverse=True)[1], owner[use]
-    left, right = (np.arange(len(sets)),) * 2 if within else (np.flatnonzero(~side), np.flatnonzero(side))
-    inter = np.zeros((len(left), len(right)), np.float32)
-    order = np.argsort(code, kind="stable")
-    code, owner = code[order], owner[order]
-    for c in range(0, int(code[-1]) + 1 if len(code) else 0, 2048):
-        s, e = np.searchsorted(code, (c, c + 2048))
-        m = np.zeros((len(sets), 2048), np.float32)
-        m[owner[s:e], code[s:e] - c] = 1
-        inter += m[left] @ m[right].T
-    ok = linked(inter.astype(np.int64), sizes[left][:, None], sizes[right][None, :], percent)
-    i, j = np.nonzero(ok)
-    i, j = left[i], right[j]
-    i, j = i[i != j], j[i != j]
-    root = np.arange(len(sets))
-    while len(i):
-        low, new = np.minimum(root[i], root[j]), root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
+    both = pairs.select(F.col("p").alias("node"), F.col("q").alias("other")).union(pairs.select("q", "p"))
+    homes = materialise(both.groupBy("node").agg(F.min("other").alias("other"))
+                        .select("node", F.least("node", "other").alias("home")).join(sizes, "node"))
+    parts = homes.groupBy("home").agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    place = materialise(homes.join(parts, "home").select(
+        "node", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("place")))
+    placed = materialise(pairs.join(place.withColumnsRenamed({"node": "p", "place": "x"}), "p")
+                         .join(place.withColumnsRenamed({"node": "q", "place": "y"}), "q").select(F.xxhash64("x", "y").alias("u"), "p", "q"))
+    members = placed.select("u", F.col("p").alias("node")).union(placed.select("u", "q")).distinct()
+    rows = members.join(blobs, "node").select("u", "node", F.lit(None).cast("long").alias("other"), "z").union(
+        placed.select("u", "p", "q", F.lit(None).cast("binary")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = None
+        for b in _slices(batches, 4096):
+            u, node = (b.column(c).to_numpy() for c in ("u", "node"))
+            other = b.column("other").fill_null(0).to_numpy()
+            pair = b.column("other").is_valid().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (node[1:] != node[:-1]) | (pair[1:] != pair[:-1]), [True])))
+            a, c = [], []
+            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if unit is None or unit.name != u[s]:
+                    unit = _Unit(u[s], percent)
+                if pair[s]:
+                    found = unit.linked_to(int(node[s]), other[s:e])
+                    a.append(np.full(len(found), node[s]))
+                    c.append(found)
+                else:
+                    unit.add(int(node[s]), shingle_set(unblob(b.column("z")[s].as_py()), k))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(c))], names=["a", "b"])
+    return (rows.repartition("u").sortWithinPartitions("u", F.col("other").isNotNull(), "node")
+            .mapInArrow(run, "a long, b long"))
+
+
+class _Unit:
+    """The sets of one unit of work; pairs are counted by marking one set's tokens and adding up the others' marks."""
+
+    def __init__(self, name: int, percent: int):
+        self.name, self.percent, self.sets, self.codes = name, percent, {}, None
+
+    def add(self, node: int, s: np.ndarray) -> None:
+        self.sets[node] = s
+
+    def linked_to(self, node: int, others: np.ndarray) -> np.ndarray:
+        if self.codes is None:
+            all_ = np.unique(np.concatenate(list(self.sets.values())))
+            self.codes = {n: np.searchsorted(all_, s) for n, s in self.sets.items()}
+            self.marks, self.sets = np.zeros(len(all_), np.int32), {}
+        mine, out = self.codes[node], []
+        self.marks[mine] = 1
+        sizes = np.array([len(self.codes[n]) for n in others.tolist()])
+        # some at a time, so that their tokens stay within bounds
+        for at in np.split(np.arange(len(others)), np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK)) + 1):
+            codes = np.concatenate([self.codes[n] for n in others[at].tolist()])
+            inter = np.add.reduceat(self.marks[codes], np.concatenate(([0], np.cumsum(sizes[at])[:-1])))
+            out.append(others[at][linked(inter.astype(np.int64), len(mine), sizes[at], self.percent)])
+        self.marks[mine] = 0
+        return np.concatenate(out)
+
+
+def _rare_pairs(shared: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
+    """(p, q): sets that share two rare tokens, or one and perhaps a frequent one; a rare token has at most RARE sets."""
+    listed = (shared.where(F.col("df") <= RARE).join(frequent.select("node", F.size("t").alias("f")), "node", "left")
+              .groupBy("token").agg(F.array_sort(F.collect_list(F.struct("node", "n", F.coalesce("f", F.lit(0)).alias("f")))).alias("m")))
+    paired = F.flatten(F.transform("m", lambda x, i: F.transform(
+        F.filter(F.slice("m", i + 2, F.size("m")), lambda y: like_sized(x["n"], y["n"], percent)),
+        lambda y: F.struct(x["node"].alias("p"), y["node"].alias("q"), F.least(x["f"], y["f"]).alias("f")))))
+    return (listed.select(F.explode(paired).alias("p")).select("p.*").groupBy("p", "q")
+            .agg(F.count("*").alias("c"), F.first("f").alias("f")).where("c + f >= 2").select("p", "q"))
+
+
+def _heads(prefix: str) -> list[Column]:
+    """The sets that come first in ``HEADS`` random orders."""
+    return [F.min(F.struct(F.xxhash64("node", F.lit(f"{prefix}{i}")), "node", "n")).alias(f"h{i}") for i in range(HEADS)]
+
+
+def _stars(rows: DataFrame, heads: DataFrame, by: str, percent: int) -> DataFrame:
+    """(p, q, by) of each row's set and its group's heads."""
+    each = F.explode(F.array(*[F.col(f"h{i}") for i in range(HEADS)]))
+    return (rows.join(heads, by).select(by, "node", "n", each.alias("h")).where(F.col("node") != F.col("h.node"))
+            .where(like_sized(F.col("n"), F.col("h.n"), percent))
+            .select(F.least("node", "h.node").alias("p"), F.greatest("node", "h.node").alias("q"), by))
+
+
+def _links(classes: DataFrame, blobs_of, k: int, percent: int) -> DataFrame:
+    """(a, b): links that connect whatever is linked; every one is verified on whole sets."""
+    postings = classes.select("node", "n", F.explode("prefix").alias("token"))
+    tokens = materialise(postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
+    shared = materialise(postings.join(tokens, "token"))
+    frequent = materialise(shared.where(F.col("df") > RARE).groupBy("node", "n").agg(F.array_sort(F.collect_list("token")).alias("t")))
+    sizes = classes.select("node", "n")
+    # frequent tokens: the sets of a combination are compared with a few of them
+    combined = materialise(_combinations(frequent))
+    heads = combined.groupBy("key").agg(F.count("*").alias("size"), *_heads("a")).where("size > 1")
+    stars = _stars(combined, heads, "key", percent).select("p", "q")
+    pairs = materialise(_rare_pairs(shared, frequent, percent).union(stars).distinct())
+    met = combined.join(heads.select("key"), "key", "left_semi").select("node").distinct()
+    blobs = blobs_of(materialise(pairs.select(F.col("p").alias("node")).union(pairs.select("q")).union(met).distinct()))
+    links = materialise(_verified(pairs, sizes, blobs, k, percent))
+    # what is connected already need not be compared; the rest meets more heads, then all that is left
+    listed = frequent.join(met, "node", "left_semi").select("node", "n", F.explode("t").alias("x"))
+    total = listed.count() if not met.isEmpty() else 0
+    for i in range(ROUNDS if total else 0):
+        rows = materialise(listed.join(components(links).withColumnRenamed("id", "node"), "node", "left")
+                           .withColumn("c", F.coalesce("component", "node")).drop("component"))
+        per = rows.groupBy("x", "c").agg(F.count("*").alias("size"))
+        groups = materialise(per.groupBy("x").agg(F.max_by("c", F.struct("size", "c")).alias("major"), F.sum("size").alias("all"),
+                                                  F.max("size").alias("most")).where(F.col("most") < F.col("all")))
+        rest = rows.join(groups.select("x", "major"), "x")
+        minor = rest.where("c <> major").drop("major")
+        left = groups.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
+        if not left:
+            break
+        last = i == ROUNDS - 1 or left <= RARE * total
+        if last:
+            two = minor.select("x", F.col("node").alias("p"), F.col("n").alias("np"), F.col("c").alias("cp")).join(rest, "x").where(
+                (F.col("c") != F.col("cp")) & ((F.col("c") == F.col("major")) | (F.col("p") < F.col("node")))
+                & like_sized(F.col("n"), F.col("np"), percent))
+            found = two.select(F.least("p", "node").alias("p"), F.greatest("p", "node").alias("q"), "x")
+        else:
+            found = _stars(minor, rest.where("c = major").groupBy("x").agg(*_heads(f"b{i}")), "x", percent)
+        pairs = materialise(found.groupBy("p", "q").agg(F.count("*").alias("c")).where("c > 1").select("p", "q"))
+        links = materialise(links.union(_verified(pairs, sizes, blobs, k, percent)))
+        if last:
             break
-        root = new
-    at = np.flatnonzero(root != np.arange(len(sets)))
-    return pd.DataFrame({"a": node[root[at]], "b": node[at]}) if len(at) else empty
+    return links
 
 
 def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -223,9 +263,11 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: st
     frequency sketch of all documents, rare first, and each set is cut to its Jaccard prefix extended by one token, so
     two similar sets share two tokens there.  Tokens of at most ``RARE`` sets are indexed singly and pair their sets
     directly; a pair goes on if it shares two tokens, or one and may share a frequent one.  Of the more frequent
-    tokens, all combinations of two are indexed; sets that meet there form families, and a family is compared in
-    bounded units of work (:func:`_within`).  Whole sets decide every link, so the result is exact but for collisions
-    of 64-bit hashes.
+    tokens, all combinations of two are indexed; the sets of a combination are first verified against a few heads, and
+    after each round only sets that no verified link connects with the largest part of their group go on, at last
+    against everything that shares two tokens with them.  So a large group costs a few comparisons a member unless its
+    members are similar to none.  Whole sets decide every link (:func:`_verified`) and nothing is joined without one,
+    so the result is exact but for collisions of 64-bit hashes.
 
     ``percent`` must be over 50.  Null texts and texts without words have no shingles and link with nothing, not even
     with each other; shorter texts are one shingle.  Rows that share an id are separate texts of that id, and
@@ -234,39 +276,14 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: st
     """
     if percent <= 50:
         raise ValueError("percent must be over 50")
-    texts = texts_of(docs, id_col, text_col)
+    texts = texts_of(docs, id_col, text_col).withColumn("d", F.xxhash64("text"))
     base = materialise(_described(texts, k, percent))
-    classes = base.where("n > 0").groupBy("node").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = materialise(classes)
-    postings = classes.select("node", "n", F.explode("prefix").alias("token"))
-    tokens = materialise(postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
-    shared = materialise(postings.join(tokens, "token"))
-    frequent = materialise(shared.where(F.col("df") > RARE).groupBy("node").agg(
-        F.array_sort(F.collect_list("token")).alias("t")))
-    # rare tokens: pairs of at most RARE sets each
-    listed = (shared.where(F.col("df") <= RARE).join(frequent.select("node", F.size("t").alias("f")), "node", "left")
-              .groupBy("token").agg(F.array_sort(F.collect_list(F.struct("node", "n", F.coalesce("f", F.lit(0)).alias("f")))).alias("m")))
-    paired = F.flatten(F.transform("m", lambda x, i: F.transform(
-        F.filter(F.slice("m", i + 2, F.size("m")), lambda y: (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))),
-        lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), F.least(x["f"], y["f"]).alias("f")))))
-    pairs = (listed.select(F.explode(paired).alias("p")).select("p.*").groupBy("a", "b")
-             .agg(F.count("*").alias("c"), F.first("f").alias("f")).where("c + f >= 2").select("a", "b"))
-    pairs = materialise(pairs)
-    # frequent tokens: families of sets that meet in a combination of two
-    combined = materialise(_combinations(frequent))
-    heads = combined.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
-    met = combined.join(heads, "key").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    families = materialise(components(met).withColumnRenamed("id", "node").withColumnRenamed("component", "family")
-                           .join(classes.select("node", "n"), "node"))
-    yes, no = F.lit(True), F.lit(False)
-    involved = (pairs.select(F.col("a").alias("node"), yes.alias("p"), no.alias("f"))
-                .union(pairs.select("b", yes, no)).union(families.select("node", no, yes))
-                .groupBy("node").agg(F.bool_or("p").alias("paired"), F.bool_or("f").alias("family")))
-    sets = materialise(_sets(texts, materialise(involved.join(classes.select("node", "id"), "node")), k))
-    links = _verified(pairs, sets.where("paired").select("node", "s"), percent).union(
-        _within(families, sets.where("family").select("node", "s"), percent))
-    groups = components(links)
+    classes = materialise(base.where("n > 0").groupBy("node").agg(
+        F.min(F.struct("id", "d")).alias("r"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+
+    def blobs_of(nodes: DataFrame) -> DataFrame:
+        return materialise(_blobs(texts, materialise(classes.join(nodes, "node").select("node", "r.id", "r.d"))))
+    groups = components(_links(classes, blobs_of, k, percent))
     labelled = base.select(given().alias("id"), "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(groups.withColumnRenamed("id", "node"), "node", "left") \
         .withColumn("label", F.coalesce("component", "node"))
     least = labelled.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("component_id"))
