@@ -20,8 +20,8 @@ CELLS = 1 << 18
 RARE = 16
 #: Tokens on either side of a unit of work, and texts taken from a batch at a time; they bound a worker's memory.
 BLOCK, SLICE = 400_000, 64
-#: Heads that each group is compared with in a round, and rounds before the pairs that are left are listed.
-HEADS, ROUNDS = 2, 4
+#: Heads that the sets of a combination, and then those of a frequent token, are compared with before pairs are listed.
+HEADS, MORE_HEADS = 3, 8
 #: Bits of the map that keeps most texts no set is wanted of out of the shuffle; its size is fixed (1 MB).
 BITS = 1 << 23
 
@@ -49,6 +49,12 @@ def like_sized(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def least_shared(percent: int) -> int:
+    """Tokens that any two different sets similar enough must share in their extended prefixes: three where their
+    intersection is sure to have so many, else two."""
+    return min(3, -(-percent // (100 - percent))) if percent < 100 else 3
+
+
 def _slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, size):
@@ -71,7 +77,8 @@ def _frequencies(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def _described(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(id, d, node, n, prefix): the set of every row, and its least frequent tokens, one more than the Jaccard prefix."""
+    """(id, d, node, n, prefix): the set of every row, and its least frequent tokens: the Jaccard prefix, extended."""
+    more = least_shared(percent)
     sent = texts.sparkSession.sparkContext.broadcast(_frequencies(texts, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +91,7 @@ def _described(texts: DataFrame, k: int, percent: int) -> DataFrame:
                 order = np.lexsort((s, often[(s & np.uint64(CELLS - 1)).astype(np.int64)]))
                 node.append(node_of(s) if n else 0)
                 size.append(n)
-                prefix.append(s[order[:min(n, n - -(-n * percent // 100) + 2)]].view(np.int64))
+                prefix.append(s[order[:min(n, n - -(-n * percent // 100) + more)]].view(np.int64))
             ends = np.cumsum([0, *map(len, prefix)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("d"), pa.array(node, pa.int64()), pa.array(size, pa.int64()),
@@ -93,10 +100,9 @@ def _described(texts: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _combinations(nodes: DataFrame) -> DataFrame:
-    """(node, n, t array of frequent tokens) to (key, node, n): every two of the tokens as one key, a row for each."""
-    first = nodes.where(F.size("t") > 1).select("node", "n", "t", F.posexplode("t").alias("i", "x"))
-    return first.select("node", "n", "x", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("y")) \
-        .select(F.xxhash64("x", "y").alias("key"), "node", "n")
+    """(node, n, t sorted frequent tokens) to (key, node, n): neighbouring tokens as one key, so keys are as many as tokens."""
+    two = F.transform(F.slice("t", 1, F.size("t") - 1), lambda x, i: F.xxhash64(x, F.get("t", i + 1)))
+    return nodes.where(F.size("t") > 1).select(F.explode(two).alias("key"), "node", "n")
 
 
 def _blobs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -188,70 +194,78 @@ class _Unit:
 
 
 def _rare_pairs(shared: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
-    """(p, q): sets that share two rare tokens, or one and perhaps a frequent one; a rare token has at most RARE sets."""
+    """(p, q): sets that share enough tokens, at least one of them rare; a rare token has at most RARE sets."""
+    need = least_shared(percent)
     listed = (shared.where(F.col("df") <= RARE).join(frequent.select("node", F.size("t").alias("f")), "node", "left")
               .groupBy("token").agg(F.array_sort(F.collect_list(F.struct("node", "n", F.coalesce("f", F.lit(0)).alias("f")))).alias("m")))
     paired = F.flatten(F.transform("m", lambda x, i: F.transform(
         F.filter(F.slice("m", i + 2, F.size("m")), lambda y: like_sized(x["n"], y["n"], percent)),
         lambda y: F.struct(x["node"].alias("p"), y["node"].alias("q"), F.least(x["f"], y["f"]).alias("f")))))
-    return (listed.select(F.explode(paired).alias("p")).select("p.*").groupBy("p", "q")
-            .agg(F.count("*").alias("c"), F.first("f").alias("f")).where("c + f >= 2").select("p", "q"))
+    met = materialise(listed.select(F.explode(paired).alias("p")).select("p.*").groupBy("p", "q")
+                      .agg(F.count("*").alias("c"), F.first("f").alias("f")).where(F.col("c") + F.col("f") >= need))
+    t = frequent.select("node", "t")
+    few = (met.where(F.col("c") < need).join(t.withColumnsRenamed({"node": "p", "t": "tp"}), "p")
+           .join(t.withColumnsRenamed({"node": "q", "t": "tq"}), "q")
+           .where(F.col("c") + F.size(F.array_intersect("tp", "tq")) >= need))
+    return met.where(F.col("c") >= need).select("p", "q").union(few.select("p", "q"))
 
 
-def _heads(prefix: str) -> list[Column]:
-    """The sets that come first in ``HEADS`` random orders."""
-    return [F.min(F.struct(F.xxhash64("node", F.lit(f"{prefix}{i}")), "node", "n")).alias(f"h{i}") for i in range(HEADS)]
+def _heads(name: str, many: int) -> Column:
+    """The sets that come first in ``many`` random orders."""
+    return F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(f"{name}{i}")), "node", "n")) for i in range(many)]).alias("heads")
 
 
 def _stars(rows: DataFrame, heads: DataFrame, by: str, percent: int) -> DataFrame:
     """(p, q, by) of each row's set and its group's heads."""
-    each = F.explode(F.array(*[F.col(f"h{i}") for i in range(HEADS)]))
-    return (rows.join(heads, by).select(by, "node", "n", each.alias("h")).where(F.col("node") != F.col("h.node"))
+    return (rows.join(heads, by).select(by, "node", "n", F.explode(F.array_distinct("heads")).alias("h")).where(F.col("node") != F.col("h.node"))
             .where(like_sized(F.col("n"), F.col("h.n"), percent))
             .select(F.least("node", "h.node").alias("p"), F.greatest("node", "h.node").alias("q"), by))
 
 
+def _hooked(links: DataFrame, steps: int = 2) -> DataFrame:
+    """(node, c): equal c only for sets that links connect.  Labels travel ``steps`` links, so it is not the whole closure."""
+    both = materialise(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct())
+    label = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c"))
+    for _ in range(steps):
+        label = both.join(label.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("c").alias("near")) \
+            .join(label, "u").select("u", F.least("near", "c").alias("c"))
+    return materialise(label.withColumnRenamed("u", "node"))
+
+
 def _links(classes: DataFrame, blobs_of, k: int, percent: int) -> DataFrame:
     """(a, b): links that connect whatever is linked; every one is verified on whole sets."""
+    need = least_shared(percent)
     postings = classes.select("node", "n", F.explode("prefix").alias("token"))
     tokens = materialise(postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
     shared = materialise(postings.join(tokens, "token"))
-    frequent = materialise(shared.where(F.col("df") > RARE).groupBy("node", "n").agg(F.array_sort(F.collect_list("token")).alias("t")))
+    often = F.col("df") > RARE
+    frequent = materialise(shared.where(often).groupBy("node", "n").agg(F.array_sort(F.collect_list("token")).alias("t")))
     sizes = classes.select("node", "n")
     # frequent tokens: the sets of a combination are compared with a few of them
     combined = materialise(_combinations(frequent))
-    heads = combined.groupBy("key").agg(F.count("*").alias("size"), *_heads("a")).where("size > 1")
-    stars = _stars(combined, heads, "key", percent).select("p", "q")
-    pairs = materialise(_rare_pairs(shared, frequent, percent).union(stars).distinct())
-    met = combined.join(heads.select("key"), "key", "left_semi").select("node").distinct()
-    blobs = blobs_of(materialise(pairs.select(F.col("p").alias("node")).union(pairs.select("q")).union(met).distinct()))
+    heads = combined.groupBy("key").agg(F.count("*").alias("size"), _heads("a", HEADS)).where("size > 1").select("key", "heads")
+    pairs = materialise(_rare_pairs(shared, frequent, percent).union(_stars(combined, heads, "key", percent).select("p", "q")).distinct())
+    wanted = pairs.select(F.col("p").alias("node")).union(pairs.select("q")).union(frequent.where(F.size("t") >= need).select("node"))
+    blobs = blobs_of(materialise(wanted.distinct()))
     links = materialise(_verified(pairs, sizes, blobs, k, percent))
-    # what is connected already need not be compared; the rest meets more heads, then all that is left
-    listed = frequent.join(met, "node", "left_semi").select("node", "n", F.explode("t").alias("x"))
-    total = listed.count() if not met.isEmpty() else 0
-    for i in range(ROUNDS if total else 0):
-        rows = materialise(listed.join(components(links).withColumnRenamed("id", "node"), "node", "left")
-                           .withColumn("c", F.coalesce("component", "node")).drop("component"))
+    # sets of a frequent token that links connect already need not be compared; the rest meets more heads of the
+    # largest part, and what is still apart then is compared with everything that shares enough tokens with it
+    listed = frequent.where(F.size("t") >= need).select("node", "n", F.explode("t").alias("x"))
+    for last in (False, True):
+        rows = materialise(listed.join(_hooked(links), "node", "left").withColumn("c", F.coalesce("c", "node")))
         per = rows.groupBy("x", "c").agg(F.count("*").alias("size"))
-        groups = materialise(per.groupBy("x").agg(F.max_by("c", F.struct("size", "c")).alias("major"), F.sum("size").alias("all"),
-                                                  F.max("size").alias("most")).where(F.col("most") < F.col("all")))
-        rest = rows.join(groups.select("x", "major"), "x")
+        groups = per.groupBy("x").agg(F.max_by("c", F.struct("size", "c")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
+        rest = materialise(rows.join(groups.select("x", "major"), "x"))
         minor = rest.where("c <> major").drop("major")
-        left = groups.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
-        if not left:
-            break
-        last = i == ROUNDS - 1 or left <= RARE * total
         if last:
             two = minor.select("x", F.col("node").alias("p"), F.col("n").alias("np"), F.col("c").alias("cp")).join(rest, "x").where(
                 (F.col("c") != F.col("cp")) & ((F.col("c") == F.col("major")) | (F.col("p") < F.col("node")))
                 & like_sized(F.col("n"), F.col("np"), percent))
             found = two.select(F.least("p", "node").alias("p"), F.greatest("p", "node").alias("q"), "x")
         else:
-            found = _stars(minor, rest.where("c = major").groupBy("x").agg(*_heads(f"b{i}")), "x", percent)
-        pairs = materialise(found.groupBy("p", "q").agg(F.count("*").alias("c")).where("c > 1").select("p", "q"))
+            found = _stars(minor, rest.where("c = major").groupBy("x").agg(_heads("b", MORE_HEADS)), "x", percent)
+        pairs = materialise(found.groupBy("p", "q").agg(F.count("*").alias("s")).where(F.col("s") >= need).select("p", "q"))
         links = materialise(links.union(_verified(pairs, sizes, blobs, k, percent)))
-        if last:
-            break
     return links
 
 
@@ -260,14 +274,15 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: st
     """(doc_id, n_shingles, component_id) of every row: connected groups of rows with Jaccard >= percent / 100.
 
     Rows with equal sets form one class; only classes are joined.  Tokens are put in one order by a fixed-size
-    frequency sketch of all documents, rare first, and each set is cut to its Jaccard prefix extended by one token, so
-    two similar sets share two tokens there.  Tokens of at most ``RARE`` sets are indexed singly and pair their sets
-    directly; a pair goes on if it shares two tokens, or one and may share a frequent one.  Of the more frequent
-    tokens, all combinations of two are indexed; the sets of a combination are first verified against a few heads, and
-    after each round only sets that no verified link connects with the largest part of their group go on, at last
-    against everything that shares two tokens with them.  So a large group costs a few comparisons a member unless its
-    members are similar to none.  Whole sets decide every link (:func:`_verified`) and nothing is joined without one,
-    so the result is exact but for collisions of 64-bit hashes.
+    frequency sketch of all documents, rare first, and each set is cut to its Jaccard prefix extended by two tokens, so
+    two similar sets share three tokens there (two where similar sets may be too small for three).  Tokens of at most
+    ``RARE`` sets are indexed singly and pair their sets directly; a pair goes on if it shares enough tokens, rare and
+    frequent.  Of the more frequent tokens, combinations of two neighbours are indexed, and the sets of a combination
+    are verified against a few heads.  Then only sets that no verified link connects with the largest part of their
+    token's sets go on, first against more heads, at last against everything that shares enough tokens with them.  So
+    a large group costs a few comparisons a member unless its members are similar to none.  Whole sets decide every
+    link (:func:`_verified`) and nothing is joined without one, so the result is exact but for collisions of 64-bit
+    hashes.
 
     ``percent`` must be over 50.  Null texts and texts without words have no shingles and link with nothing, not even
     with each other; shorter texts are one shingle.  Rows that share an id are separate texts of that id, and
