@@ -304,11 +304,10 @@ def _single(cuts: DataFrame, open_: DataFrame, alphabet: Alphabet, k: int, w: in
 def repeated(texts: DataFrame, flagged: DataFrame, alphabet: Alphabet, k: int, w: int, same_doc: bool) -> DataFrame:
     """(id, z, places): every text, compressed, with its runs of repeated windows (null where it has none).
 
-    ``flagged``: (id, t, place, dup) of the regions that are settled as repeated or open.
+    ``flagged``: (id, t, place, dup) of the regions that are settled as repeated or open, a stored table.
     """
     span, w2 = k + w - 1, min(w, max(3, w // 9))
     k2 = span - w2 + 1
-    flagged = materialise(flagged)
     cuts = materialise(_cut_out(texts, flagged.where("NOT dup"), alphabet, span))
     finer = materialise(judged(_finer(cuts, alphabet, k2, w2, span, same_doc), same_doc).where("dup OR open")
                         .select("id", "t", "place", "parent", "dup"))

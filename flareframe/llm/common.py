@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flareframe.session import materialise, shared_dir
+from flareframe.session import folder, materialise, remove, shared_dir
 
 __all__ = ["NO_ID", "blobs", "components", "digest_kept", "given", "materialise", "new_folder", "remove_folder", "shared_dir",
            "runs_of", "texts_of", "unblob"]
@@ -20,14 +19,13 @@ NO_ID = -(1 << 63)                                           # stands for a null
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """An unused path in the folder that all machines share."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """An unused path in the folder that all machines share; ``session.scratch`` removes it."""
+    return folder(spark, name)
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a stored step that nothing reads any more."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    remove(spark, path)
 
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

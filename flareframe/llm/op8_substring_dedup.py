@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from flareframe.llm.anchors import Alphabet, covered, judged, region_rows, repeated
-from flareframe.llm.common import given, runs_of, texts_of, unblob
+from flareframe.llm.common import given, materialise, runs_of, texts_of, unblob
 
 
 def word_symbols(raw: bytes) -> np.ndarray:
@@ -35,7 +35,7 @@ def drop_repeats(docs: DataFrame, window: int = 13, seed: int = 4, id_col: str =
     rows; other columns are not read.  Documents of any length are handled, one in memory at a time.
     """
     texts, w = texts_of(docs, id_col, text_col), window - seed + 1
-    flagged = judged(region_rows(texts, WORDS, seed, w, False), False).where("dup OR open").select("id", "t", "place", "dup")
+    flagged = materialise(judged(region_rows(texts, WORDS, seed, w, False), False).where("dup OR open").select("id", "t", "place", "dup"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
