@@ -20,6 +20,7 @@ from flareframe.llm.op2_quality import STATS, fit_quality, stats_of
 from flareframe.llm.op3_line_dedup import drop_lines
 from flareframe.llm.op4_decontamination import contamination
 from flareframe.llm.op7_jaccard_join import similar_documents
+from flareframe.session import scratch
 
 #: Documents below this score are rejected.
 MIN_QUALITY = 0.5
@@ -116,11 +117,13 @@ ORACLE_SQL = None                                            # tested against th
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is stored in the shared folder and read by the next stage."""
+    """All stages over ``documents``; each result is stored in the shared folder and read by the next stage, and what a
+    stage has stored for itself is removed when its result is written."""
     at = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = new_folder(spark, "corpus-pipeline")
     for i, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{i}"
-        stage(spark, at, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, at, sf_dir).write.parquet(path)
         at = spark.read.parquet(path)
     return at
