@@ -151,13 +151,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, id_col
 
     The sample's ids, ``max_rows`` rows, are sent to the tasks; statistics of the sampled texts, ``max_rows`` by
     the number of statistics, come to the driver.  Labels that are null or that match no document are ignored; of
-    several labels of a document the largest holds.
+    several labels of a document the largest holds.  Rows that share a sampled id are fitted each, up to ``max_rows``
+    in all.
     """
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")) \
         .agg(F.max(label_col).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     rows = text_stats(texts_of(docs, id_col, text_col).join(F.broadcast(sample), "id"), ["label"]) \
-        .orderBy("id", *STATS).toPandas()
+        .orderBy("id", *STATS).limit(max_rows).toPandas()
     return fit_rules(rows[STATS].to_numpy(), rows["label"].to_numpy(dtype=float))
 
 
