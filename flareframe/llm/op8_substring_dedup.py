@@ -32,7 +32,7 @@ def drop_repeats(docs: DataFrame, window: int = 13, seed: int = 4, id_col: str =
     Words are separated by ASCII white space and compared byte by byte; spans are [start, end) word numbers; text is
     the kept words joined by one space.  Null and empty texts have no words and come back empty.  Rows that share a
     doc_id, told apart by a 64-bit digest of their texts, are never duplicates of each other; null ids count as one id before all others; an empty table gives no
-    rows; other columns are not read.  Documents of any length are handled, one in memory at a time.
+    rows; other columns are not read.  A worker holds one Arrow batch of compressed texts and one text at a time in full.
     """
     texts, w = texts_of(docs, id_col, text_col), window - seed + 1
     flagged = materialise(judged(region_rows(texts, WORDS, seed, w, False), False).where("dup OR open").select("id", "t", "place", "dup"))
