@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flareframe.llm.common import materialise, new_folder, remove_folder
@@ -19,137 +20,189 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Bits of the map of phrases that have reached the threshold, a power of two.  Its size is fixed (4 MB), so it can be
 #: sent to every task; a phrase that falls on another's bit is counted for nothing, which changes no result.
 BITS = 1 << 25
-#: Words gathered before a block is written, and phrases gathered before they are counted.
-BLOCK, GATHER = 1 << 15, 1 << 21
+#: Words gathered before a block is written, phrases gathered before they are counted, and words of the corpus for
+#: each part of the key space: a part is merged in one task at a time.
+BLOCK, GATHER, PART = 1 << 15, 1 << 21, 1 << 20
 #: Hashed words that a worker process remembers.
-ENTRIES = 400_000
+ENTRIES = 300_000
+U = np.uint64
 _TO_BREAK = bytes.maketrans(BREAKS, b"." * len(BREAKS))
 _VOCABULARY = -1
 
 
-class _Hashes(dict):
-    """Word to 64-bit hash; 0 is kept for the end of a piece."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > ENTRIES:
-            self.clear()
-            self[b"."] = 0
-        h = self[word] = xxhash.xxh64_intdigest(word) or 1
-        return h
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
 
 
-def _seed(lang: str) -> np.uint64:
-    return np.uint64(xxhash.xxh64_intdigest(lang.encode(), seed=7))
+def next_key(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Keys of phrases from those of their first words and their last word; a word is its own key."""
+    return _mixed(keys * U(0x9E3779B97F4A7C15) + words)
 
 
-def first_key(words: np.ndarray, lang: str) -> np.ndarray:
-    """Keys of single words in a language."""
-    return _mixed(words ^ _seed(lang))
+class _Words(dict):
+    """Word of one language to its 64-bit key; 0 is kept for the end of a piece.  ``new``: words not seen before."""
 
+    def __init__(self, lang: str):
+        self.seed, self.new = xxhash.xxh64_intdigest(lang.encode(), seed=7), []
+        self[b"."] = 0
 
-def next_key(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Keys of phrases from those of their first words and their last word."""
-    return _mixed(keys * np.uint64(0x9E3779B97F4A7C15) + words)
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = xxhash.xxh64_intdigest(word, seed=self.seed) or 1
+        self.new.append(word)
+        return k
 
 
 def _write_blocks(docs: DataFrame, shards: int, path: str) -> None:
-    """Texts as hashed words: blocks of one language, dealt over ``shards``, and the words themselves apart."""
+    """Texts as word keys: blocks of one language, dealt over ``shards``, and the words themselves apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, told, names = _Hashes(), set(), []
-        hashes[b"."] = 0
-        open_: dict[str, list[np.ndarray]] = {}
-        size: dict[str, int] = {}
+        words: dict[str, _Words] = {}
+        held: dict[str, list[np.ndarray]] = {}
         turn = TaskContext.get().partitionId()
 
-        def rows(shard: int, lang: str | None, n: int, ids: np.ndarray, words: list[str]) -> pa.RecordBatch:
+        def row(shard: int, lang: str, n: int, ids: np.ndarray, names: list[bytes]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([
                 pa.array([shard], pa.int32()), pa.array([lang], pa.string()), pa.array([n], pa.int64()),
-                pa.array([ids.tobytes()], pa.binary()), pa.array([words], pa.list_(pa.string()))],
+                pa.array([ids.tobytes()], pa.binary()), pa.array([[w.decode() for w in names]], pa.list_(pa.string()))],
                 names=["shard", "lang", "n", "ids", "words"])
 
+        def told(lang: str) -> pa.RecordBatch:
+            of = words[lang]
+            names, of.new = of.new, []
+            out = row(_VOCABULARY, lang, 0, np.array([of[w] for w in names], U), names)
+            if len(of) > ENTRIES:
+                del words[lang]
+            return out
+
         def block(lang: str) -> pa.RecordBatch:
             nonlocal turn
             turn += 1
-            ids = np.concatenate(open_.pop(lang))
-            size.pop(lang)
-            return rows(turn % shards, lang, int(np.count_nonzero(ids)), ids, [])
+            ids = np.concatenate(held.pop(lang))
+            return row(turn % shards, lang, int(np.count_nonzero(ids)), ids, [])
+        sizes: dict[str, int] = {}
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                cut = text.encode().lower().translate(_TO_BREAK).replace(b".", b" . ").split()
-                cut.append(b".")
-                open_.setdefault(lang, []).append(np.fromiter(map(hashes.__getitem__, cut), np.uint64, len(cut)))
-                size[lang] = size.get(lang, 0) + len(cut)
-                new = set(cut) - told
-                told |= new
-                names += new
-                if size[lang] >= BLOCK:
-                    yield block(lang)
-                if len(names) >= BLOCK:
-                    yield rows(_VOCABULARY, None, 0, np.array([hashes[w] for w in names], np.uint64), [w.decode() for w in names])
-                    names.clear()
-                if len(told) > ENTRIES:
-                    told.clear()
-        for lang in list(open_):
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if lang not in words:
+                        words[lang] = _Words(lang)
+                    of, cut = words[lang], text.encode().lower().translate(_TO_BREAK).replace(b".", b" . ").split()
+                    cut.append(b".")
+                    held.setdefault(lang, []).append(np.fromiter(map(of.__getitem__, cut), U, len(cut)))
+                    sizes[lang] = sizes.get(lang, 0) + len(cut)
+                    if len(of.new) >= BLOCK:
+                        yield told(lang)
+                    if sizes[lang] >= BLOCK:
+                        sizes[lang] = 0
+                        yield block(lang)
+        for lang in list(held):
             yield block(lang)
-        if names:
-            yield rows(_VOCABULARY, None, 0, np.array([hashes[w] for w in names], np.uint64), [w.decode() for w in names])
+        for lang in [x for x in words if words[x].new]:
+            yield told(lang)
     (docs.mapInArrow(run, "shard int, lang string, n long, ids binary, words array<string>")
      .write.partitionBy("shard").option("compression", "zstd").parquet(path))
 
 
+def _sent(spark: SparkSession, bits: np.ndarray) -> Broadcast:
+    return spark.sparkContext.broadcast(zstandard.compress(bits.tobytes()))
+
+
+def _bits(sent: Broadcast) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(sent.value), U)
+
+
 def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys % np.uint64(len(bits) * 64)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    at = keys & U(len(bits) * 64 - 1)
+    return (bits[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) == 1
+
 
+def _phrases(ids: np.ndarray, longest: int, bits: np.ndarray, old: np.ndarray | None = None,
+             ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(length, places, keys, before) of one block's active phrases: those whose two subphrases are both marked.
 
-def _phrases(ids: np.ndarray, lang: str, longest: int, bits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, places, keys): phrases of one block that are active, that is, both of whose subphrases are marked."""
-    keys, at = first_key(ids, lang), np.flatnonzero(ids)
-    yield 1, at, keys[at]
+    ``before`` tells which of them were active under the ``old`` map, too.
+    """
+    keys, at = ids, np.flatnonzero(ids)
+    was = None if old is None else np.ones(len(at), bool)
+    yield 1, at, keys[at], was
     for length in range(2, longest + 1):
-        some = np.zeros(len(keys), bool)
-        some[at] = _marked(bits, keys[at])
-        if length == 2:
-            some &= ids != 0
+        some, then = np.zeros(len(keys), bool), np.zeros(len(keys) if old is not None else 0, bool)
+        mine = keys[at]
+        some[at] = _marked(bits, mine)
+        if old is not None:
+            then[at] = was & _marked(old, mine)
         at = np.flatnonzero(some[:-1] & some[1:])             # first words and last words of the next length
         if not len(at):
             return
-        longer = np.zeros(len(keys) - 1, np.uint64)
+        was = None if old is None else then[at] & then[at + 1]
+        longer = np.zeros(len(keys) - 1, U)
         longer[at] = next_key(keys[at], ids[at + length - 1])
         keys = longer
-        yield length, at, keys[at]
+        yield length, at, keys[at], was
 
 
-def _scan(blocks: DataFrame, longest: int, now: Broadcast, before: Broadcast | None) -> DataFrame:
-    """(key, n): active phrases of a shard that were not yet active when it was last scanned."""
+def _in_parts(keys: np.ndarray, shift: int, *more: np.ndarray) -> pa.RecordBatch:
+    """Sorted keys and columns beside them as one row for each part of the key space."""
+    part = keys >> U(shift) if shift < 64 else np.zeros(len(keys), U)
+    cut = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(keys)])) if len(keys) else np.zeros(1, np.int64)
+    cols = [[c[s:e].tobytes() for s, e in zip(cut[:-1].tolist(), cut[1:].tolist())] for c in (keys, *more)]
+    return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int64)), *[pa.array(c, pa.binary()) for c in cols]],
+                                      names=["part", "keys", "n", "since"][:2 + len(more)])
+
+
+def _scan(blocks: DataFrame, longest: int, shift: int, now: Broadcast, before: Broadcast | None) -> DataFrame:
+    """(part, keys, n): counts of a shard's active phrases that were not yet active when it was last scanned."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, size, bits, old = [], 0, _bits(now), None if before is None else _bits(before)
 
         def counted() -> pa.RecordBatch:
-            keys, many = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(many.astype(np.int64))], names=["key", "n"])
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            return _in_parts(keys, shift, n.astype(np.int64))
         for b in batches:
-            for lang, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.frombuffer(raw.as_py(), np.uint64)
-                old = {k: at for k, at, _ in _phrases(ids, lang, longest, before.value)} if before else {}
-                for length, at, keys in _phrases(ids, lang, longest, now.value):
-                    if length in old:
-                        keys = keys[~np.isin(at, old[length], assume_unique=True)]
+            for raw in b.column("ids"):
+                for _, _, keys, was in _phrases(np.frombuffer(raw.as_py(), U), longest, bits, old):
+                    keys = keys if was is None else keys[~was]
                     if len(keys):
                         held.append(keys)
-                        n += len(keys)
-                if n >= GATHER:
+                        size += len(keys)
+                if size >= GATHER:
                     yield counted()
-                    held, n = [], 0
-        if n:
+                    held, size = [], 0
+        if size:
             yield counted()
-    return blocks.select("lang", "ids").mapInArrow(run, "key long, n long")
+    return blocks.select("ids").mapInArrow(run, "part long, keys binary, n binary")
+
+
+def _merged(rows: DataFrame, shift: int, least: int, last: int) -> DataFrame:
+    """(part, keys, n, since) rows of every part as one ``open`` row, with counts still in their cycle, and one not
+    open, with the complete ones (since at most ``last``) of ``least`` or more."""
+    kind = "part long, keys binary, n binary, since binary, open boolean"
+
+    def merge(part: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        keys, n, since = (np.concatenate([np.frombuffer(x, d) for x in c]) for c, d in zip(zip(*part), (U, np.int64, np.int32)))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        keys, n, since = keys[first], np.add.reduceat(n[order], first), np.minimum.reduceat(since[order], first)
+        done = since <= last
+        for open_, some in ((True, ~done), (False, done & (n >= least))):
+            if some.any():
+                b = _in_parts(keys[some], shift, n[some], since[some])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([open_] * b.num_rows)], names=[*b.schema.names, "open"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, []
+        for b in batches:
+            for part, *cols in zip(*(b.column(c) for c in ("part", "keys", "n", "since"))):
+                if held and part.as_py() != name:
+                    yield from merge(held)
+                    held = []
+                name = part.as_py()
+                held.append([c.as_py() for c in cols])
+        if held:
+            yield from merge(held)
+    return rows.select("part", "keys", "n", "since").repartition("part").sortWithinPartitions("part").mapInArrow(run, kind)
 
 
 class PhraseCounts:
@@ -160,88 +213,125 @@ class PhraseCounts:
     the first) have been counted ``least`` times, wherever in the cycle that is, until each shard was read once for
     it.  What has reached the threshold is a bit map; the one of the last visit to the same shard tells which phrases
     have been counted there.  Counts of phrases in their cycle are one table, rewritten by every scan; complete ones
-    leave it, and those under the threshold are dropped.  It ends when a full cycle has added nothing to the map.
+    leave it, and those under the threshold are dropped.  Counts travel in sorted arrays, one for each part of the key
+    space, and a task merges a part at a time.  It ends when a full cycle has added nothing to the map.
     """
 
-    def __init__(self, blocks: DataFrame, longest: int, least: int, shards: int, bits: int = BITS):
-        spark, self.longest, self.bits = blocks.sparkSession, longest, bits
-        self.folder = new_folder(spark, "phrase-counts")
-        state, done, self.steps, self.scans = None, [], 0, 0
-        maps = [np.zeros(bits // 64, np.uint64)]              # the map that each step has used
-        sent: list[Broadcast | None] = []
-        while True:
-            t = self.steps
-            sent.append(spark.sparkContext.broadcast(maps[t]) if t < 1 or (maps[t] != maps[t - 1]).any() else sent[-1])
-            if t >= shards and all(sent[t] is x for x in sent[t - shards:t]):
-                break
-            before = sent[t - shards] if t >= shards else None
-            if sent[t] is not before:
-                new = _scan(blocks.where(F.col("shard") == t % shards), longest, sent[t], before).withColumn("since", F.lit(t))
-                rows = new if state is None else new.unionByName(state)
+    def __init__(self, blocks: DataFrame, words: int, longest: int, least: int, shards: int, bits: int = BITS):
+        spark, self.longest, self.least = blocks.sparkSession, longest, least
+        self.folder, self.scans = new_folder(spark, "phrase-counts"), 0
+        shift = 64 - max(0, (words // PART).bit_length())     # parts of the key space, a power of two of them
+        bits, state, done, t = np.zeros(bits // 64, U), None, [], 0
+        recent = [_sent(spark, bits)]                         # the maps of the last steps, this one's at the end
+        while not (len(recent) > shards and all(x is recent[-1] for x in recent)):
+            now, before = recent[-1], recent[0] if len(recent) > shards else None
+            rows = state
+            if now is not before:
+                new = _scan(blocks.where(F.col("shard") == t % shards), longest, shift, now, before)
+                new = new.withColumn("since", F.unhex(F.repeat(F.lit(np.int32(t).tobytes().hex()), (F.octet_length("n") / 8).cast("int"))))
+                rows = new if state is None else new.unionByName(state.drop("open"))
                 self.scans += 1
-            else:
-                rows = state
             path = f"{self.folder}/{t:05d}"
-            rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("since").alias("since")).write.parquet(path)
-            counts = spark.read.schema("key long, n long, since int").parquet(path)
-            maps.append(self._mark(maps[t], counts.where(F.col("n") >= least)))
-            complete = F.col("since") <= t - shards + 1
+            _merged(rows, shift, least, t - shards + 1).write.option("compression", "zstd").parquet(path)
+            counts = spark.read.schema("part long, keys binary, n binary, since binary, open boolean").parquet(path)
+            marked = self._mark(bits, counts, now)
+            recent.append(now if (marked == bits).all() else _sent(spark, marked))
+            bits = marked
+            if len(recent) > shards + 1 and recent.pop(0) is not recent[0]:
+                before.destroy()
             if t >= shards - 1:
-                done.append(materialise(counts.where(complete & (F.col("n") >= least)).select("key", "n")))
+                done.append(materialise(self._listed(counts.where("NOT open"))))
             if t:
                 remove_folder(spark, f"{self.folder}/{t - 1:05d}")
-            state = counts.where(~complete)
-            self.steps += 1
+            state = counts.where("open")
+            t += 1
+        # what was active before the last cycle began has been counted everywhere, seen early or late
+        done.append(materialise(self._listed(state)))
         remove_folder(spark, self.folder)
-        for b in {id(x): x for x in sent if x is not None}.values():
-            b.unpersist()
-        self.map, self.frequent = maps[-1], done[0]
+        self.map, self.frequent = recent[-1], done[0]
         for d in done[1:]:
             self.frequent = self.frequent.unionByName(d)
 
-    def _mark(self, bits: np.ndarray, reached: DataFrame) -> np.ndarray:
-        """The map with the keys of ``reached``; at most as many numbers as the map has come to the driver."""
-        words = reached.select(F.pmod("key", F.lit(self.bits)).alias("at")).groupBy((F.col("at") / 64).cast("int").alias("w")).agg(
-            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("m")).toPandas()
+    def _listed(self, counts: DataFrame) -> DataFrame:
+        """(key, n) of the counts that reach the threshold."""
+        least = self.least
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for keys, n in zip(b.column("keys"), b.column("n")):
+                    keys, n = np.frombuffer(keys.as_py(), np.int64), np.frombuffer(n.as_py(), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[n >= least]), pa.array(n[n >= least])], names=["key", "n"])
+        return counts.select("keys", "n").mapInArrow(run, "key long, n long")
+
+    def _mark(self, bits: np.ndarray, counts: DataFrame, now: Broadcast) -> np.ndarray:
+        """The map with the phrases that have reached the threshold; at most as many numbers as it has reach the driver."""
+        least = self.least
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = _bits(now)
+            for b in batches:
+                for keys, n in zip(b.column("keys"), b.column("n")):
+                    keys = np.frombuffer(keys.as_py(), U)[np.frombuffer(n.as_py(), np.int64) >= least]
+                    at = keys[~_marked(known, keys)] & U(len(known) * 64 - 1)
+                    word, of = np.unique(at >> U(6), return_inverse=True)
+                    m = np.zeros(len(word), U)
+                    np.bitwise_or.at(m, of, U(1) << (at & U(63)))
+                    yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(m.view(np.int64))], names=["w", "m"])
+        words = counts.select("keys", "n").mapInArrow(run, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
         out = bits.copy()
-        out[words["w"].to_numpy(dtype=np.int64)] |= words["m"].to_numpy(dtype=np.int64).view(np.uint64)
+        out[words["w"].to_numpy(dtype=np.int64)] |= words["m"].to_numpy(dtype=np.int64).view(U)
         return out
 
-    def named(self, blocks: DataFrame) -> DataFrame:
-        """(key, length, lang, w array of word hashes) of every frequent phrase, and some others, once or more."""
-        longest, sent = self.longest, blocks.sparkSession.sparkContext.broadcast(self.map)
+    def map_of(self, phrases: DataFrame) -> Broadcast:
+        """The map of the given keys alone."""
+        size = len(_bits(self.map))
+        at = F.pmod("key", F.lit(64 * size))
+        words = phrases.groupBy((at / 64).cast("int").alias("w")).agg(
+            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("m")).toPandas()
+        out = np.zeros(size, U)
+        out[words["w"].to_numpy(dtype=np.int64)] = words["m"].to_numpy(dtype=np.int64).view(U)
+        return _sent(phrases.sparkSession, out)
+
+    def named(self, blocks: DataFrame, wanted: Broadcast) -> DataFrame:
+        """(key, length, lang, w array of word keys) of the blocks' phrases in the map ``wanted``."""
+        longest, sent = self.longest, self.map
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            told: set[int] = set()
+            bits, only, held, size = _bits(sent), _bits(wanted), {}, 0
+
+            def told() -> Iterator[pa.RecordBatch]:
+                for (lang, length), found in held.items():
+                    keys, one = np.unique(np.concatenate([k for k, _ in found]), return_index=True)
+                    w = np.concatenate([x for _, x in found])[one]
+                    ends = pa.array(np.arange(0, len(keys) * length + 1, length, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), length, np.int32)), pa.array([lang] * len(keys), pa.string()),
+                         pa.ListArray.from_arrays(ends, pa.array(w.ravel().view(np.int64)))], names=["key", "length", "lang", "w"])
             for b in batches:
-                for lang, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                    ids, out = np.frombuffer(raw.as_py(), np.uint64), []
-                    for length, at, keys in _phrases(ids, lang, longest, sent.value):
+                for lang, raw in zip(b.column("lang").to_pylist(), b.column("ids")):
+                    ids = np.frombuffer(raw.as_py(), U)
+                    for length, at, keys, _ in _phrases(ids, longest, bits):
                         keys, one = np.unique(keys, return_index=True)
-                        for i in np.flatnonzero(_marked(sent.value, keys)).tolist():
-                            k = int(keys[i])
-                            if k not in told:
-                                told.add(k)
-                                p = at[one[i]]
-                                out.append((np.uint64(k).view(np.int64), length, lang, ids[p:p + length].view(np.int64)))
-                    if len(told) > 4 * ENTRIES:
-                        told.clear()
-                    if out:
-                        key, n, lang_, w = zip(*out)
-                        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(lang_, pa.string()),
-                                                          pa.array(list(w), pa.list_(pa.int64()))], names=["key", "length", "lang", "w"])
+                        some = _marked(only, keys)
+                        at = at[one[some]]
+                        held.setdefault((lang, length), []).append((keys[some], ids[at[:, None] + np.arange(length)]))
+                        size += len(at)
+                if size >= GATHER:
+                    yield from told()
+                    held, size = {}, 0
+            yield from told()
         return blocks.select("lang", "ids").mapInArrow(run, "key long, length int, lang string, w array<long>")
 
 
-def _parts(named: DataFrame, longest: int) -> DataFrame:
-    """(key, n, length, lang, w) with ``parts``: (from, to, key) of every contiguous part of the phrase."""
+def _parts(named: DataFrame) -> DataFrame:
+    """(key, length, lang, w, n) with ``parts``: (f, t, k), the key of every contiguous part of the phrase."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("f", pa.int32()), ("t", pa.int32()), ("k", pa.int64())]))
         for b in batches:
             out = []
-            for lang, w in zip(b.column("lang").to_pylist(), b.column("w").to_pylist()):
-                ids, row = np.array(w, np.int64).view(np.uint64), []
-                keys = first_key(ids, lang)
+            for w in b.column("w").to_pylist():
+                ids, row = np.array(w, np.int64).view(U), []
+                keys = ids
                 for length in range(1, len(ids)):
                     if length > 1:
                         keys = next_key(keys[:-1], ids[length - 1:])
@@ -286,12 +376,16 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int =
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     _write_blocks(texts.where("text <> ''"), shards, path)
     blocks = spark.read.schema("lang string, n long, ids binary, words array<string>, shard int").parquet(path)
-    counted = PhraseCounts(blocks.where("shard >= 0"), longest, least, shards)
-    frequent = counted.frequent
-    names = counted.named(blocks.where("shard >= 0")).groupBy("key").agg(
-        F.min("length").alias("length"), F.min("lang").alias("lang"), F.min("w").alias("w"))
-    known = materialise(_parts(names.join(frequent, "key").select("key", "length", "lang", "w", "n"), longest))
     total = materialise(blocks.where("shard >= 0").groupBy("lang").agg(F.sum("n").alias("total")))
+    words = total.agg(F.sum("total")).first()[0] or 0
+    counted = PhraseCounts(blocks.where("shard >= 0"), words, longest, least, shards)
+    frequent = materialise(counted.frequent)
+    some = [blocks.where("shard = 0"), blocks.where("shard > 0")]                   # the rest names what the first shard has not
+    names = materialise(counted.named(some[0], counted.map).join(frequent, "key").dropDuplicates(["key"]))
+    missing = materialise(frequent.join(names, "key", "left_anti"))
+    names = names.unionByName(counted.named(some[1], counted.map_of(missing)).join(missing, "key").dropDuplicates(["key"])) \
+        .select("key", "length", "lang", "w", "n")
+    known = materialise(_parts(names))
     big = known.where("length > 1")
     # inside a longer phrase with nearly all occurrences
     inner = (big.where("length > 2").select("n", F.explode("parts").alias("p")).where("p.t - p.f > 1")

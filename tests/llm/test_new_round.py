@@ -129,6 +129,7 @@ def test_collocations(spark, odd_docs, monkeypatch, shards, bits, top):
     """Any number of shards, and a bit map so small that most phrases share a bit, give the same counts."""
     monkeypatch.setattr(o12, "BLOCK", 300)
     monkeypatch.setattr(o12, "GATHER", 5000)
+    monkeypatch.setattr(o12, "PART", 4000)
     monkeypatch.setattr(o12.PhraseCounts.__init__, "__defaults__", (bits,))
     langs = ["en", None, "und", "de", "x y"]
     rows = [(langs[d % 5], t) for d, t in odd_docs] + [("en", "New York, new york! NEW YORK\tcity a.b\x0bc"), (None, None), ("", "the of the of")] * 6
@@ -146,7 +147,7 @@ def test_phrases_join_in_while_words_are_counted(spark):
     path = o12.new_folder(spark, "test-blocks")
     o12._write_blocks(df, 4, path)
     blocks = spark.read.schema("lang string, n long, ids binary, words array<string>, shard int").parquet(path).where("shard >= 0")
-    found = o12.PhraseCounts(blocks, 4, 8, 4)
+    found = o12.PhraseCounts(blocks, 256, 4, 8, 4)
     assert found.frequent.count() == 10 and {r.n for r in found.frequent.collect()} == {64}
     assert found.scans <= 8                                   # each length in turn would take 16
 
