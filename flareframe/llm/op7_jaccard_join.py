@@ -21,7 +21,7 @@ RARE = 16
 #: Tokens on either side of a unit of work, and texts taken from a batch at a time; they bound a worker's memory.
 BLOCK, SLICE = 400_000, 64
 #: Heads that the sets of a combination, and then those of a frequent token, are compared with before pairs are listed.
-HEADS, MORE_HEADS = 3, 8
+HEADS, MORE_HEADS = 3, 48
 #: Bits of the map that keeps most texts no set is wanted of out of the shuffle; its size is fixed (1 MB).
 BITS = 1 << 23
 
@@ -250,21 +250,26 @@ def _links(classes: DataFrame, blobs_of, k: int, percent: int) -> DataFrame:
     links = materialise(_verified(pairs, sizes, blobs, k, percent))
     # sets of a frequent token that links connect already need not be compared; the rest meets more heads of the
     # largest part, and what is still apart then is compared with everything that shares enough tokens with it
-    listed = frequent.where(F.size("t") >= need).select("node", "n", F.explode("t").alias("x"))
+    listed = frequent.where(F.size("t") >= need).select("node", "n", "t", F.explode("t").alias("x"))
     for last in (False, True):
         rows = materialise(listed.join(_hooked(links), "node", "left").withColumn("c", F.coalesce("c", "node")))
         per = rows.groupBy("x", "c").agg(F.count("*").alias("size"))
-        groups = per.groupBy("x").agg(F.max_by("c", F.struct("size", "c")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
-        rest = materialise(rows.join(groups.select("x", "major"), "x"))
-        minor = rest.where("c <> major").drop("major")
+        groups = per.groupBy("x").agg(F.max_by("c", F.struct("size", "c")).alias("major"), F.count("*").alias("parts"), F.sum("size").alias("all")) \
+            .where("parts > 1")
+        rest = materialise(rows.join(groups.select("x", "major", "all"), "x"))
+        minor = rest.where("c <> major")
         if last:
-            two = minor.select("x", F.col("node").alias("p"), F.col("n").alias("np"), F.col("c").alias("cp")).join(rest, "x").where(
-                (F.col("c") != F.col("cp")) & ((F.col("c") == F.col("major")) | (F.col("p") < F.col("node")))
-                & like_sized(F.col("n"), F.col("np"), percent))
-            found = two.select(F.least("p", "node").alias("p"), F.greatest("p", "node").alias("q"), "x")
+            # a pair comes out at the first token that both have
+            common = F.array_intersect("tp", "t")
+            two = minor.select("x", F.col("node").alias("p"), F.col("n").alias("np"), F.col("c").alias("cp"), F.col("t").alias("tp")).join(
+                rest, "x").where((F.col("c") != F.col("cp")) & ((F.col("c") == F.col("major")) | (F.col("p") < F.col("node")))
+                                 & like_sized(F.col("n"), F.col("np"), percent) & (F.size(common) >= need) & (F.get(common, F.lit(0)) == F.col("x")))
+            found = two.select(F.least("p", "node").alias("p"), F.greatest("p", "node").alias("q"))
         else:
-            found = _stars(minor, rest.where("c = major").groupBy("x").agg(_heads("b", MORE_HEADS)), "x", percent)
-        pairs = materialise(found.groupBy("p", "q").agg(F.count("*").alias("s")).where(F.col("s") >= need).select("p", "q"))
+            # each set at its most frequent token
+            one = minor.groupBy("node", "n").agg(F.max_by("x", F.struct("all", "x")).alias("x"))
+            found = _stars(one, rest.where("c = major").groupBy("x").agg(_heads("b", MORE_HEADS)), "x", percent).select("p", "q")
+        pairs = materialise(found.distinct())
         links = materialise(links.union(_verified(pairs, sizes, blobs, k, percent)))
     return links
 
