@@ -6,6 +6,7 @@ rows, not on ids: rows with null ids and rows that share an id are judged one by
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -20,7 +21,7 @@ from flareframe.llm.op2_quality import STATS, fit_quality, stats_of
 from flareframe.llm.op3_line_dedup import drop_lines
 from flareframe.llm.op4_decontamination import contamination
 from flareframe.llm.op7_jaccard_join import similar_documents
-from flareframe.session import scratch
+from flareframe.session import noted, remove, scratch
 
 #: Documents below this score are rejected.
 MIN_QUALITY = 0.5
@@ -109,9 +110,27 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return got.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-STAGES = [("quality classifier", keep_good), ("line dedup", drop_shared_lines),
-          ("n-gram Jaccard join", keep_one_of_each_group), ("benchmark decontamination", drop_contaminated),
-          ("packing", pack_windows)]
+_left: list[str] = []                                        # folders of steps that the stage before has stored
+
+
+def tidy(stage):
+    """The stage, which first removes what the stage before has stored: its result is written by now.
+
+    Nothing is removed while ``docs`` still reads from those folders.
+    """
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _left and not any(f.split("/")[-1] in path for f in _left for path in docs.inputFiles()):
+            while _left:
+                remove(spark, _left.pop())
+        with noted(_left):
+            return stage(spark, docs, sf_dir)
+    return run_stage
+
+
+STAGES = [(name, tidy(stage)) for name, stage in (
+    ("quality classifier", keep_good), ("line dedup", drop_shared_lines), ("n-gram Jaccard join", keep_one_of_each_group),
+    ("benchmark decontamination", drop_contaminated), ("packing", pack_windows))]
 
 ORACLE_SQL = None                                            # tested against the stages run one by one
 

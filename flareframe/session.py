@@ -80,6 +80,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, _made.pop())
 
 
+@contextmanager
+def noted(into: list[str]) -> Iterator[None]:
+    """Add to ``into`` the folders of all tables that steps inside have stored."""
+    mark = len(_made)
+    try:
+        yield
+    finally:
+        into.extend(_made[mark:])
+
+
 _local: str | None = None
 
 
