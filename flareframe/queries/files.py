@@ -42,9 +42,9 @@ def _(spark, sf):
 
 @query("s02_write_dataset", f"WITH {ORDERS} SELECT id, ar, label, split FROM oi")
 def _(spark, sf):
-    path = fresh(spark, "dataset")
-    W.write_dataset(orders_items(spark, sf).select("id", "ar", "label", "split"), path, ["split"])
-    return spark.read.parquet(path)
+    path, d = fresh(spark, "dataset"), orders_items(spark, sf).select("id", "ar", "label", "split")
+    W.write_dataset(d, path, ["split"])
+    return R.read_dataset(spark, path, d.schema)
 
 
 @query("s03_read_any", f"WITH {ITEMS} SELECT id, ar, label, value FROM items")
@@ -192,10 +192,10 @@ def _(spark, sf):
 
 @query("s15_write_windows", f"WITH {WIN} SELECT satellite, strftime(s, {T}) AS date_start, label, round(check_ratio, 3) AS chk FROM fw WHERE reason = 'ok'")
 def _(spark, sf):
-    path = fresh(spark, "windows")
-    W.write_windows(labelled(spark, sf).where("reason = 'ok'"), path)
+    path, kept = fresh(spark, "windows"), labelled(spark, sf).where("reason = 'ok'")
+    W.write_windows(kept, path)
     chk = F.aggregate(F.transform("xrs_flux_ratio", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
-    return spark.read.parquet(path).select("satellite", "date_start", "label", r6(chk, 3).alias("chk"))
+    return R.read_dataset(spark, path, kept.schema).select("satellite", "date_start", "label", r6(chk, 3).alias("chk"))
 
 
 BOTH = f"""{GROUPED}, a AS (SELECT split, label, count(*) AS n FROM ni GROUP BY 1, 2),

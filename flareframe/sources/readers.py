@@ -208,6 +208,14 @@ def read_curves(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("run"), "*")
 
 
+def read_dataset(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """Parquet rows written by ``write_dataset`` or ``write_windows``.
+
+    One folder per value means no file at all where no row was written, so the schema cannot come from the files.
+    """
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_stats(spark: SparkSession, path: str) -> DataFrame:
     """Fitted scaler statistics written by ``write_stats``."""
     return spark.read.parquet(path)

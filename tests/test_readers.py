@@ -48,3 +48,13 @@ def test_layouts(spark, tmp_path):
     parts = R.by_layout(spark, str(tmp_path), "csv", header=True)
     assert sorted((p.columns, p.count()) for p in parts) == [(["a", "b"], 2), (["b", "a"], 3)]
     assert len(R.by_layout(spark, str(tmp_path), "csv", "[13].csv", header=True)) == 1
+
+
+def test_windows_that_are_all_rejected_read_back_empty(spark, tmp_path):
+    """No window passes, so no folder of a satellite is written."""
+    from flareframe.queries import all_queries
+    rows = [(i, i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), "error", 400.0, None) for i in range(72)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string") \
+        .write.parquet(str(tmp_path / "events.parquet"))
+    got = all_queries()["s15_write_windows"](spark, str(tmp_path))
+    assert got.columns == ["satellite", "date_start", "label", "chk"] and got.collect() == []
