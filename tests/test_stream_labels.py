@@ -40,3 +40,19 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path):
     want = label_ahead(spark.createDataFrame(windows, WINDOWS), spark.createDataFrame(events, EVENTS), ["ar"], "end", "6 hours", "1 hour")
     assert {i: c for i, c in got.items() if i < 1000} == {r.wid: r.flare_class for r in want.collect()}
     assert len(set(got.values())) > 3
+
+
+def test_dense_events_give_a_window_few_rows(spark, tmp_path):
+    """Windows and events at the same minutes of a day: rows a window do not grow with the events in its range."""
+    win, evs, folder = (str(tmp_path / x) for x in ("win", "evs", "out"))
+    windows = [(i, 0, at(i / 4)) for i in range(96)] + [(1000, 0, at(400))]
+    events = [(0, at(i / 60), 1 + (i % 7 == 0) + 3 * (i % 977 == 0), "") for i in range(24 * 60)] + [(0, at(400), 1, "")]
+    spark.createDataFrame(windows, WINDOWS).coalesce(1).write.parquet(win)
+    spark.createDataFrame(events, EVENTS).coalesce(1).write.parquet(evs)
+    streams = [spark.readStream.schema(s).parquet(p) for s, p in ((WINDOWS, win), (EVENTS, evs))]
+    run_labels(label_ahead_stream(*streams, ["ar"], "wid", "end", "6 hours", "1 hour"), folder)
+    rows = spark.read.parquet(f"{folder}/labels").groupBy("id").count().collect()
+    assert max(r["count"] for r in rows) <= 2 * 4                              # two bins, four classes
+    got = {r.id: r.flare_class for r in latest_labels(spark, folder).collect() if r.id < 1000}
+    want = label_ahead(spark.createDataFrame(windows, WINDOWS), spark.createDataFrame(events, EVENTS), ["ar"], "end", "6 hours", "1 hour")
+    assert got == {r.wid: r.flare_class for r in want.collect() if r.wid < 1000} and len(set(got.values())) > 2
