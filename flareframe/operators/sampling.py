@@ -35,23 +35,35 @@ def rank_uniform(df: DataFrame, keys: Sequence[str], id: str, seed: int | str, n
 
 #: Half the width of the bracket around the k-th smallest of n hashes: so many times sqrt(k), and so many rows more.
 SPREAD, MARGIN = 6.0, 12.0
-#: Up to this limit Spark cuts each task's part of a group to the limit before the shuffle.
+#: Up to this limit Spark cuts each task's part of a group to the limit before the shuffle; groups of so many rows are ranked whole.
 GROUP_LIMIT = 1000
 
 
 def cut_offs(df: DataFrame, keys: Sequence[str], id: str, seed: int | str, quotas: DataFrame) -> DataFrame:
     """``quotas`` (keys, n = rows of the group, k) with ``edge``, the k-th smallest (u, id) of the group, u its hash.
 
-    A row is among the k first of its random order exactly if (u, id) <= edge.  The k-th of n uniform hashes lies
-    near k / n: one pass counts the rows below and within a bracket around it, per task first; a second ranks the rows
-    inside the bracket only, about 12 sqrt(k) of a group.  A bracket that should miss the k-th becomes the whole
-    group.  So what is shuffled grows with sqrt(k) of each group, not with its rows.  Edge is null for k < 1 and
-    for k >= n, where there is nothing to find.
+    A row is among the k first of its random order exactly if (u, id) <= edge.  Groups of up to ``GROUP_LIMIT`` rows are
+    ranked whole.  In larger ones the k-th of n uniform hashes lies near k / n: one pass counts the rows below and within
+    a bracket around it, per task first; a second ranks the rows inside the bracket only, about 12 sqrt(k) of a group.  A
+    bracket that should miss the k-th becomes the whole group.  So what is shuffled of a large group grows with sqrt(k),
+    not with its rows.  Edge is null for k < 1 and for k >= n, where there is nothing to find.
     """
     rows = df.select(F.struct(*keys).alias("__grp"), uniform(seed, id).alias("__u"), F.col(id).alias("__id"))
     wanted = materialise(quotas.select(F.struct(*keys).alias("__grp"), "n", F.col("k").cast("long").alias("k")).distinct())
+    open_, small = wanted.where("k > 0 AND k < n"), F.col("n") <= GROUP_LIMIT
+    few, many = open_.where(small).select("__grp", "k"), open_.where(~small)
+    ranks = Window.partitionBy("__grp", "k").orderBy("__u", "__id")
+    at = rows.join(few, "__grp").withColumn("rn", F.row_number().over(ranks)).where(F.col("rn") == F.col("k"))
+    found = at.select("__grp", "k", F.struct(F.col("__u").alias("u"), F.col("__id").alias("id")).alias("edge"))
+    if not many.isEmpty():
+        found = found.unionByName(_edges_of_many(rows, many))
+    return materialise(wanted.join(found, ["__grp", "k"], "left").select("__grp.*", "n", "k", "edge"))
+
+
+def _edges_of_many(rows: DataFrame, open_: DataFrame) -> DataFrame:
+    """(__grp, k, edge) of groups (__grp, n, k) with many rows, by brackets."""
     half = SPREAD * F.sqrt("k") + MARGIN
-    open_ = wanted.where("k > 0 AND k < n").withColumns({"lo": (F.col("k") - half) / F.col("n"), "hi": (F.col("k") + half) / F.col("n")})
+    open_ = open_.withColumns({"lo": (F.col("k") - half) / F.col("n"), "hi": (F.col("k") + half) / F.col("n")})
     u = F.col("__u")
     counted = rows.join(open_, "__grp").groupBy("__grp", "k", "lo", "hi").agg(
         F.count_if(u < F.col("lo")).alias("below"), F.count_if(u < F.col("hi")).alias("upto"))
@@ -62,9 +74,8 @@ def cut_offs(df: DataFrame, keys: Sequence[str], id: str, seed: int | str, quota
     inside = rows.join(brackets, "__grp").where((u >= F.col("lo")) & (u < F.col("hi")))
     place = (u - F.greatest("lo", F.lit(0.0))) / (F.least("hi", F.lit(1.0)) - F.greatest("lo", F.lit(0.0)))
     ranked = number_rows(inside, ["__grp", "k"], ["__u", "__id"], uniform_segment(inside, place))
-    found = ranked.where(F.col("rn") == F.col("k") - F.col("below")).select(
+    return ranked.where(F.col("rn") == F.col("k") - F.col("below")).select(
         "__grp", "k", F.struct(u.alias("u"), F.col("__id").alias("id")).alias("edge"))
-    return materialise(wanted.join(found, ["__grp", "k"], "left").select("__grp.*", "n", "k", "edge"))
 
 
 def first_k(df: DataFrame, keys: Sequence[str], id: str, seed: int | str, quotas: DataFrame, name: str) -> DataFrame:
@@ -183,7 +194,11 @@ def keep_plan(sizes: DataFrame, seed: int, label: str = "label", group: str = "a
          .withColumn("__w", F.when(~F.col("__many"), F.col("size").cast("double"))
                      .when(F.col("__remsum") > 0, F.col("__rem")).otherwise(F.col("__res")))
          .withColumn("__gid", F.concat_ws(":", F.col(label), F.col(group).cast("string"))))
-    p = rank_weighted(materialise(p), [label], "__gid", "__w", seed)
+    p = materialise(p)
+    # the same for all groups of a label: whether their order decides anything
+    drawn = F.coalesce(F.when(F.col("__many"), (F.col("__resum") > 0) & (F.col("__left") > 0)).otherwise(F.col("__t") > 0), F.lit(True))
+    p = rank_weighted(p.where(drawn), [label], "__gid", "__w", seed).unionByName(
+        p.where(~drawn).withColumn("rk", F.lit(None).cast("long")))
     keep = F.when(F.col("__many"), F.least(
         F.col("size"), 1 + F.col("__fl")
         + F.when((F.col("__resum") > 0) & (F.col("rk") <= F.col("__left")), 1).otherwise(0))) \

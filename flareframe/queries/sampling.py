@@ -9,6 +9,7 @@ from flareframe.operators import splits as S
 from flareframe.queries.inputs import GROUPED, ORDERS, orders_items, table, u_sql
 from flareframe.queries.registry import query
 from flareframe.queries.sets import grouped
+from flareframe.session import materialise
 
 
 def half(spark, sf):
@@ -51,7 +52,8 @@ def plan_for(spark, sf, target=None):
     o = orders_items(spark, sf)
     goals = (M.downsample_targets(o, "label", target_total=half(spark, sf)) if target is None
              else M.downsample_targets(o, "label", targets=target))
-    return M.keep_plan(S.group_sizes(o, "label", "ar").join(goals.select("label", "target"), "label"), 3)
+    sizes = materialise(S.group_sizes(o, "label", "ar"))       # the plan reads it several times
+    return M.keep_plan(sizes.join(goals.select("label", "target"), "label"), 3)
 
 
 @query("d03_keep_plan", f"WITH {TARGETS}, {PLAN} SELECT label, ar, size, target, keep_n FROM plan")

@@ -168,3 +168,23 @@ def test_rebalance_leaves_a_good_plan(spark):
     df = spark.createDataFrame([("a", 5, "train"), (None, 3, "cv"), ("c", 2, "test")], "ar string, size long, split string")
     assert {r.ar: r.split for r in S.rebalance(df, "ar", {"train": 5, "cv": 3, "test": 2}).collect()} == {"a": "train", None: "cv", "c": "test"}
     assert S.rebalance(df.limit(0), "ar", {"train": 5, "cv": 3, "test": 2}).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1, 12, 1000])
+def test_cut_offs_of_small_and_large_groups(spark, monkeypatch, limit):
+    """Small groups are ranked whole, without the two passes that large ones take."""
+    from flareframe.session import noted
+    monkeypatch.setattr(M, "GROUP_LIMIT", limit)
+    rows = [(g, g * 100 + i) for g in range(1, 7) for i in range(g * 5)] + [(None, 900 + i) for i in range(9)]
+    df = spark.createDataFrame(rows, "g int, id long")
+    quotas = spark.createDataFrame([(g, sum(r[0] == g for r in rows), k) for g, k in ((1, 2), (2, 0), (3, 15), (4, 7), (5, 24), (6, 1), (None, 4))],
+                                   "g int, n long, k long")
+    stored = []
+    with noted(stored):
+        got = M.first_k(df, ["g"], "id", 3, quotas, "__in").where("__in").collect()
+    assert len(stored) == (2 if limit == 1000 else 3)
+    u = {r.id: r.u for r in df.select("id", M.uniform(3, "id").alias("u")).collect()}
+    want = set()
+    for g, k in ((1, 2), (3, 15), (4, 7), (5, 24), (6, 1), (None, 4)):
+        want |= set(sorted((r[1] for r in rows if r[0] == g), key=lambda i: (u[i], i))[:k])
+    assert {r.id for r in got} == want
