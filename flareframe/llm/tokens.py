@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
+from collections.abc import Callable
 
 import numpy as np
 
@@ -31,6 +33,26 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Cache(dict[str, bytes]):
+    """Values worked out when first asked for, of keys of up to 64 characters.  When ``entries`` are full a new set of them
+    begins, into which those of the last set that are asked for again are taken over; older ones are forgotten."""
+
+    def __init__(self, of: Callable[[str], bytes], entries: int):
+        super().__init__()
+        self.of, self.entries, self.last = of, entries, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.last.get(key)
+        if value is None:
+            value = self.of(key)
+        if len(key) <= 64:
+            if len(self) >= self.entries:
+                self.last = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes; the same as the library gives for whole texts."""
 
@@ -51,19 +73,20 @@ class Encoder:
                      "word" if steps == ["Split", "ByteLevel"] and SHORT in json.dumps(pre)
                      and pre["pretokenizers"][0]["behavior"] == "Removed" else "whole")
         self.alphabet = byte_alphabet()
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.entries = entries
+        self.pieces, self.chunks = Cache(self.piece, entries), Cache(self.whole, entries)
 
     @staticmethod
     def pack(ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def whole(self, text: str) -> bytes:
         return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
 
     def piece(self, s: str) -> bytes:
-        shown = s.encode().decode("latin-1").translate(self.alphabet)
+        if s.isascii() and s.isprintable():
+            shown = s.replace(" ", self.alphabet[32])
+        else:
+            shown = s.encode().decode("latin-1").translate(self.alphabet)
         return self.pack([t.id for t in self.model.tokenize(shown)])
 
     def __call__(self, text: str | None) -> bytes:
@@ -72,21 +95,10 @@ class Encoder:
         if self.kind == "whole" or any(a in text for a in self.added):
             return self.whole(text)
         if PLAIN.fullmatch(text):
-            cut, of, cache = (BYTE_PIECE.findall(text) if self.kind == "byte" else WORD_PIECE.findall(text.lower()),
-                              self.piece, self.pieces)
+            cut, cache = (BYTE_PIECE.findall(text) if self.kind == "byte" else WORD_PIECE.findall(text.lower())), self.pieces
         else:
-            cut, of, cache = (CHUNK.findall(text) if self.kind == "byte" else
-                              [c.decode() for c in text.encode().split()], self.whole, self.chunks)
-        try:
-            return b"".join(map(cache.__getitem__, cut))
-        except KeyError:
-            pass
-        if len(cache) > self.entries:
-            cache.clear()
-        new = {c: of(c) for c in set(cut) if c not in cache}
-        out = b"".join([new[c] if c in new else cache[c] for c in cut])
-        cache.update((c, v) for c, v in new.items() if len(c) <= 64)
-        return out
+            cut, cache = (CHUNK.findall(text) if self.kind == "byte" else [c.decode() for c in text.encode().split()]), self.chunks
+        return b"".join(map(cache.__getitem__, cut))
 
     def sentence_ends(self) -> np.ndarray:
         """Ids of tokens that are nothing but sentence-final punctuation."""

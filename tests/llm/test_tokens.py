@@ -130,3 +130,14 @@ def test_crc_is_over_little_endian_ids(spark):
     r = pack(spark.createDataFrame([(1, "hello")], "doc_id long, text string"), WORD).withColumn("c", F.crc32("ids")).first()
     ids = ids_of(WORD, [(1, "hello")])[1] + [1]
     assert r.c == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def test_cache_keeps_what_is_asked_for_again():
+    """A full cache does not forget a key that is used all the time, and holds two sets of entries at most."""
+    from flareframe.llm.tokens import Cache
+    made = []
+    cache = Cache(lambda k: made.append(k) or k.encode(), 10)
+    for i in range(100):
+        assert cache["often"] == b"often" and cache[f"rare{i}"] == f"rare{i}".encode()
+        assert len(cache) <= 10 and len(cache.last) <= 10
+    assert made.count("often") == 1 and cache["x" * 65] == b"x" * 65 and "x" * 65 not in cache
