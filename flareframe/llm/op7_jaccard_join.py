@@ -55,6 +55,21 @@ def least_shared(percent: int) -> int:
     return min(3, -(-percent // (100 - percent))) if percent < 100 else 3
 
 
+def prefix_size(n: Column, percent: int) -> Column:
+    """Tokens of the extended prefix of a set of ``n``."""
+    return F.least(n, n - ((n * percent + 99) / 100).cast("long") + least_shared(percent))
+
+
+def must_share(a: Column, b: Column, percent: int) -> Column:
+    """Tokens that different sets of ``a`` and ``b`` tokens must share in their extended prefixes to be similar enough.
+
+    They share ``both`` tokens at least, so at most ``a - both`` of the first set's are not in the second.  The prefix
+    that ends earlier in the order of all tokens has the rest of its tokens in the other prefix as well.
+    """
+    both = ((percent * (a + b) + 99 + percent) / (100 + percent)).cast("long")
+    return F.greatest(F.lit(least_shared(percent)), both + F.least(prefix_size(a, percent) - a, prefix_size(b, percent) - b))
+
+
 def _slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, size):
@@ -105,26 +120,47 @@ def _combinations(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.size("t") > 1).select(F.explode(two).alias("key"), "node", "n")
 
 
-def _blobs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, z): compressed texts of the wanted (node, id, d), one for each node; equal rows are taken once."""
-    bit = F.pmod(F.xxhash64("id", "d"), F.lit(BITS))
+def _marks(wanted: DataFrame, *by: str) -> tuple[Column, np.ndarray]:
+    """The bit of a row by columns ``by``, and the map, of fixed size, of the bits that wanted rows have."""
+    bit = F.pmod(F.xxhash64(*by), F.lit(BITS))
     words = wanted.groupBy((bit / 64).cast("int").alias("w")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("m")).toPandas()
     marks = np.zeros(BITS // 64, np.int64)
     marks[words["w"].to_numpy(dtype=np.int64)] = words["m"]
-    sent = texts.sparkSession.sparkContext.broadcast(marks.view(np.uint64))
+    return bit, marks.view(np.uint64)
+
+
+def _marked(b: pa.RecordBatch, marks: np.ndarray) -> pa.RecordBatch:
+    at = b.column("bit").to_numpy(zero_copy_only=False)
+    return b.filter(pa.array((marks[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+
+
+def _blobs(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, z): compressed texts of the wanted (node, id, d), one for each node; equal rows are taken once."""
+    bit, marks = _marks(wanted, "id", "d")
+    sent = texts.sparkSession.sparkContext.broadcast(marks)
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=5)
         for b in _slices(batches):
-            at = b.column("bit").to_numpy(zero_copy_only=False)
-            some = b.filter(pa.array((sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            some = _marked(b, sent.value)
             z = [c.compress((t or "").encode()) for t in some.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([some.column("id"), some.column("d"), pa.array(z, pa.binary())], names=["id", "d", "z"])
     some = texts.withColumn("bit", bit).mapInArrow(likely, "id long, d long, z binary")
     return some.join(wanted, ["id", "d"]).groupBy("id", "d").agg(F.first("node").alias("node"), F.first("z").alias("z")).select("node", "z")
 
 
+def _some_blobs(blobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Blobs of most nodes that are not wanted stay out of the shuffle; a join has to follow."""
+    bit, marks = _marks(wanted, "node")
+    sent = blobs.sparkSession.sparkContext.broadcast(marks)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            yield _marked(b, sent.value).select(["node", "z"])
+    return blobs.withColumn("bit", bit).mapInArrow(likely, "node long, z binary")
+
+
 def _verified(pairs: DataFrame, sizes: DataFrame, blobs: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b) of the distinct pairs (p, q) whose whole sets are similar enough; each pair is looked at once.
 
@@ -141,7 +177,7 @@ def _verified(pairs: DataFrame, sizes: DataFrame, blobs: DataFrame, k: int, perc
     placed = materialise(pairs.join(place.withColumnsRenamed({"node": "p", "place": "x"}), "p")
                          .join(place.withColumnsRenamed({"node": "q", "place": "y"}), "q").select(F.xxhash64("x", "y").alias("u"), "p", "q"))
     members = placed.select("u", F.col("p").alias("node")).union(placed.select("u", "q")).distinct()
-    rows = members.join(blobs, "node").select("u", "node", F.lit(None).cast("long").alias("other"), "z").union(
+    rows = members.join(_some_blobs(blobs, place), "node").select("u", "node", F.lit(None).cast("long").alias("other"), "z").union(
         placed.select("u", "p", "q", F.lit(None).cast("binary")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,19 +231,18 @@ class _Unit:
 
 def _rare_pairs(shared: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
     """(p, q): sets that share enough tokens, at least one of them rare; a rare token has at most RARE sets."""
-    need = least_shared(percent)
-    listed = (shared.where(F.col("df") <= RARE).join(frequent.select("node", F.size("t").alias("f")), "node", "left")
-              .groupBy("token").agg(F.array_sort(F.collect_list(F.struct("node", "n", F.coalesce("f", F.lit(0)).alias("f")))).alias("m")))
+    listed = (shared.where(F.col("df") <= RARE).groupBy("token")
+              .agg(F.array_sort(F.collect_list(F.struct("node", "n"))).alias("m")))
     paired = F.flatten(F.transform("m", lambda x, i: F.transform(
         F.filter(F.slice("m", i + 2, F.size("m")), lambda y: like_sized(x["n"], y["n"], percent)),
-        lambda y: F.struct(x["node"].alias("p"), y["node"].alias("q"), F.least(x["f"], y["f"]).alias("f")))))
+        lambda y: F.struct(x["node"].alias("p"), y["node"].alias("q"), must_share(x["n"], y["n"], percent).alias("need")))))
     met = materialise(listed.select(F.explode(paired).alias("p")).select("p.*").groupBy("p", "q")
-                      .agg(F.count("*").alias("c"), F.first("f").alias("f")).where(F.col("c") + F.col("f") >= need))
+                      .agg(F.count("*").alias("c"), F.first("need").alias("need")))
     t = frequent.select("node", "t")
-    few = (met.where(F.col("c") < need).join(t.withColumnsRenamed({"node": "p", "t": "tp"}), "p")
+    few = (met.where("c < need").join(t.withColumnsRenamed({"node": "p", "t": "tp"}), "p")
            .join(t.withColumnsRenamed({"node": "q", "t": "tq"}), "q")
-           .where(F.col("c") + F.size(F.array_intersect("tp", "tq")) >= need))
-    return met.where(F.col("c") >= need).select("p", "q").union(few.select("p", "q"))
+           .where(F.col("c") + F.size(F.array_intersect("tp", "tq")) >= F.col("need")))
+    return met.where("c >= need").select("p", "q").union(few.select("p", "q"))
 
 
 def _heads(name: str, many: int) -> Column:
@@ -239,7 +274,8 @@ def _links(classes: DataFrame, blobs_of, k: int, percent: int) -> DataFrame:
     tokens = materialise(postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
     shared = materialise(postings.join(tokens, "token"))
     often = F.col("df") > RARE
-    frequent = materialise(shared.where(often).groupBy("node", "n").agg(F.array_sort(F.collect_list("token")).alias("t")))
+    frequent = materialise(shared.where(often).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+                           .select("node", "n", F.col("t.token").alias("t")))
     sizes = classes.select("node", "n")
     # frequent tokens: the sets of a combination are compared with a few of them
     combined = materialise(_combinations(frequent))
@@ -250,9 +286,9 @@ def _links(classes: DataFrame, blobs_of, k: int, percent: int) -> DataFrame:
     links = materialise(_verified(pairs, sizes, blobs, k, percent))
     # sets of a frequent token that links connect already need not be compared; the rest meets more heads of the
     # largest part, and what is still apart then is compared with everything that shares enough tokens with it
-    listed = frequent.where(F.size("t") >= need).select("node", "n", "t", F.explode("t").alias("x"))
+    listed = frequent.where(F.size("t") >= need).select("node", "n", "t", F.explode(F.slice("t", F.lit(1), F.size("t") - (need - 1))).alias("x"))
     for last in (False, True):
-        rows = materialise(listed.join(_hooked(links), "node", "left").withColumn("c", F.coalesce("c", "node")))
+        rows = materialise((listed if last else listed.drop("t")).join(_hooked(links), "node", "left").withColumn("c", F.coalesce("c", "node")))
         per = rows.groupBy("x", "c").agg(F.count("*").alias("size"))
         groups = per.groupBy("x").agg(F.max_by("c", F.struct("size", "c")).alias("major"), F.count("*").alias("parts"), F.sum("size").alias("all")) \
             .where("parts > 1")
@@ -263,7 +299,8 @@ def _links(classes: DataFrame, blobs_of, k: int, percent: int) -> DataFrame:
             common = F.array_intersect("tp", "t")
             two = minor.select("x", F.col("node").alias("p"), F.col("n").alias("np"), F.col("c").alias("cp"), F.col("t").alias("tp")).join(
                 rest, "x").where((F.col("c") != F.col("cp")) & ((F.col("c") == F.col("major")) | (F.col("p") < F.col("node")))
-                                 & like_sized(F.col("n"), F.col("np"), percent) & (F.size(common) >= need) & (F.get(common, F.lit(0)) == F.col("x")))
+                                 & like_sized(F.col("n"), F.col("np"), percent) & (F.get(common, F.lit(0)) == F.col("x"))
+                                 & (F.size(common) >= must_share(F.col("n"), F.col("np"), percent)))
             found = two.select(F.least("p", "node").alias("p"), F.greatest("p", "node").alias("q"))
         else:
             # each set at its most frequent token
@@ -280,9 +317,9 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, id_col: st
 
     Rows with equal sets form one class; only classes are joined.  Tokens are put in one order by a fixed-size
     frequency sketch of all documents, rare first, and each set is cut to its Jaccard prefix extended by two tokens, so
-    two similar sets share three tokens there (two where similar sets may be too small for three).  Tokens of at most
-    ``RARE`` sets are indexed singly and pair their sets directly; a pair goes on if it shares enough tokens, rare and
-    frequent.  Of the more frequent tokens, combinations of two neighbours are indexed, and the sets of a combination
+    two similar sets share three tokens there (two where similar sets may be too small for three), and more the more alike
+    their sizes are (:func:`must_share`).  Tokens of at most ``RARE`` sets are indexed singly and pair their sets
+    directly; a pair goes on if it shares enough tokens, rare and frequent.  Of the more frequent tokens, combinations of two neighbours are indexed, and the sets of a combination
     are verified against a few heads.  Then only sets that no verified link connects with the largest part of their
     token's sets go on, first against more heads, at last against everything that shares enough tokens with them.  So
     a large group costs a few comparisons a member unless its members are similar to none.  Whole sets decide every

@@ -63,3 +63,36 @@ def test_odd_ids(spark, no_docs):
     got = sorted(((r.doc_id, r.component_id) for r in j.similar_documents(df.withColumn("node", F.lit(1))).collect()), key=str)
     assert got == sorted([(3, 2), (3, 2), (2, 2), (None, 2), (None, None), (5, 5), (6, 6)], key=str)
     assert j.similar_documents(no_docs).count() == 0
+
+
+def test_large_group_of_sets_not_similar_enough(spark, monkeypatch):
+    rng, given = random.Random(4), []
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, edited(rng, base, 3)) for i in range(150)] + [(500 + i, edited(rng, base, 1)) for i in range(30)]
+    verified = j._verified
+
+    def counted(pairs, *rest):
+        given.append(pairs.count())
+        return verified(pairs, *rest)
+    monkeypatch.setattr(j, "_verified", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in j.similar_documents(df, 3, 90).collect()}
+    assert got == brute(rows, 3, 90)
+    assert given[-1] < 5 * len(rows)                           # what no link connects is not listed pair by pair (there are 16110)
+
+
+def test_tokens_that_must_be_shared(spark):
+    rng = random.Random(2)
+    for percent in (60, 80, 90):
+        sizes, shared = [], []
+        for _ in range(150):
+            common, a, b = rng.randint(1, 150), rng.randint(0, 15), rng.randint(0, 15)
+            order = rng.sample(range(1000), common + a + b)
+            p, q = sorted(order[:common + a]), sorted(order[:common] + order[common + a:])
+            if p != q and j.linked(common, len(p), len(q), percent):
+                sizes.append((len(sizes), len(p), len(q)))
+                shared.append((p, q))
+        cols = [F.col("i"), j.prefix_size(F.col("a"), percent), j.prefix_size(F.col("b"), percent), j.must_share(F.col("a"), F.col("b"), percent)]
+        for i, x, y, least in spark.createDataFrame(sizes, "i int, a long, b long").select(*cols).collect():
+            assert len(set(shared[i][0][:x]) & set(shared[i][1][:y])) >= least
+        assert len(sizes) > 20
